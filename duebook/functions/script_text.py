@@ -78,8 +78,11 @@ def missing_keys(text: Column) -> Column:
     return F.array_except(wanted, F.json_object_keys(text))
 
 
-def _too_short(value: Column) -> Column:
-    return F.coalesce(F.length(F.trim(value)) < 5, F.lit(True))
+def _too_short(text: Column, name: str) -> Column:
+    """True unless the field is a JSON string of at least five characters."""
+    field = F.try_variant_get(F.try_parse_json(text), f"$.{name}", "variant")
+    value = F.regexp_replace(F.try_variant_get(field, "$", "string"), r"^\s+|\s+$", "")
+    return ~F.coalesce((F.schema_of_variant(field) == "STRING") & (F.length(value) >= 5), F.lit(False))
 
 
 def validation_error(text: Column, script: Column) -> Column:
@@ -93,10 +96,10 @@ def validation_error(text: Column, script: Column) -> Column:
         rules.append(F.when(~F.coalesce(value.isin(allowed), F.lit(False)),
                             F.concat(F.lit(f"Invalid {name}: "), F.coalesce(value, F.lit("None")))))
     for name in ("subject", "email_body"):
-        rules.append(F.when((script.getField("action") == "send_email") & _too_short(script.getField(name)),
+        rules.append(F.when((script.getField("action") == "send_email") & _too_short(text, name),
                             F.lit(f"Field '{name}' is empty or too short.")))
     for name in ("reasoning", "playbook_reference"):
-        rules.append(F.when(_too_short(script.getField(name)), F.lit(f"Field '{name}' is empty or too short.")))
+        rules.append(F.when(_too_short(text, name), F.lit(f"Field '{name}' is empty or too short.")))
     return F.coalesce(*rules)
 
 

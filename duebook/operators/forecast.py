@@ -77,11 +77,14 @@ def forecast_vs_actual(forecast: DataFrame, actual: DataFrame, keys: list[str])
 
 
 def forecast_metrics(comparison: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """MAE, MAPE without weeks of zero actual cash, totals and their difference."""
+    """MAE, MAPE without weeks of zero actual cash, totals and their difference.
+
+    Errors are whole cents, so their mean often lies exactly between two cents: the sum has to be exact.
+    """
     keys = keys or []
     ratio = F.when(F.col("actual_cash") > 0, F.col("abs_error") / F.col("actual_cash"))
     return (comparison.groupBy(*keys)
-            .agg(F.avg("abs_error").alias("mae"), F.avg(ratio).alias("mape"),
+            .agg((money_sum(F.col("abs_error")) / F.count("abs_error")).alias("mae"), F.avg(ratio).alias("mape"),
                  money_sum(F.col("actual_cash")).alias("a"), money_sum(F.col("forecast_cash")).alias("f"))
             .select(*keys, round_even(F.col("mae"), 2).alias("forecast_mae_weekly"),
                     round_even(F.col("mape"), 2).alias("forecast_mape_weekly"),
