@@ -182,13 +182,13 @@ def vectors(spark, d):
 @query("knn_join", knn_sql("true"))
 def _(spark, d):
     q, s = vectors(spark, d)
-    return plain(RT.knn_join(q, s))
+    return plain(RT.knn_join(q, s, pivots=8))
 
 
 @query("knn_join_filtered", knn_sql("q.label = s.label"))
 def _(spark, d):
     q, s = vectors(spark, d)
-    return plain(RT.knn_join(q, s, by="label"))
+    return plain(RT.knn_join(q, s, by="label", pivots=8))
 
 
 NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
@@ -202,7 +202,7 @@ NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CA
         list_sum(list_transform(list_zip(a.v, b.v), lambda x: pow(x[1] - x[2], 2))) AS distance FROM u a CROSS JOIN u b)) WHERE rank <= 4""")
 def _(spark, d):
     q, s = vectors(spark, d)
-    return plain(RT.knn_join(RT.unit_vectors(q), RT.unit_vectors(s)))
+    return plain(RT.knn_join(RT.unit_vectors(q), RT.unit_vectors(s), pivots=8))
 
 
 def playbook(spark, d):
