@@ -43,7 +43,7 @@ HIST = f"""cust_number, CAST(reference_date AS VARCHAR) AS reference_date, {r('c
 @query("asof_customer_history", sql("hist", f"SELECT {HIST} FROM hist"))
 def _(spark, d):
     s = snaps(spark, d)
-    return plain(H.asof_customer_history(A.invoices(spark, d), s.select("cust_number", "reference_date")))
+    return plain(H.asof_customer_history(A.invoices(spark, d), s.select("cust_number", "reference_date"))).drop("probe_rows")
 
 
 @query("asof_frames", sql("paid snap", f"""

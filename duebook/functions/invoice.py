@@ -81,6 +81,3 @@ def week_bucket(days: Column, mode: str = "floor0") -> Column:
         raise ValueError(f"unknown bucket mode {mode!r}")
     return F.when(days.isNotNull(), F.least(F.greatest(raw, F.lit(low)), F.lit(high))).cast("int")
 
-
-def size_quantile_pair(quantiles: Column) -> tuple[Column, Column]:
-    return quantiles.getItem(0), quantiles.getItem(1)

@@ -21,7 +21,7 @@ def asof_customer_history(invoices: DataFrame, probes: DataFrame, clip_early: bo
     Delay and late ratio look at invoices paid on or before the date, counts at invoices sent
     strictly before it. Payments, sendings and probes are first summed per customer and day, which caps a
     customer at one row per calendar day however many invoices it has; running sums over those days then
-    answer all probes with one sort.
+    answer all probes with one sort. ``probe_rows`` counts the probes each row answers.
     """
     late = F.coalesce(F.col("invoice_paid") > F.col("due_in_date"), F.lit(False)).cast("int")
     delay = _delay(clip_early)
@@ -39,7 +39,7 @@ def asof_customer_history(invoices: DataFrame, probes: DataFrame, clip_early: bo
     daily = (events.unionByName(asked)
              .where(F.col("cust_number").isNotNull() & F.col("day").isNotNull())
              .groupBy("cust_number", "day")
-             .agg(*[F.sum(c).alias(c) for c in COUNTS[:-1]], F.max("probe").alias("probe")))
+             .agg(*[F.sum(c).alias(c) for c in COUNTS]))
 
     days = Window.partitionBy("cust_number").orderBy("day")
     until = days.rowsBetween(Window.unboundedPreceding, 0)
@@ -50,11 +50,11 @@ def asof_customer_history(invoices: DataFrame, probes: DataFrame, clip_early: bo
         F.sum("late_n").over(until).alias("late_n"), F.sum("paid_n").over(until).alias("paid_n"),
         F.coalesce(F.sum("sent_n").over(before), zero.cast("bigint")).alias("prev_transaction_count"),
         F.max(F.when(F.col("sent_n") > 0, F.col("day"))).over(before).alias("last_invoice_date"))
-    return running.where(F.col("probe") == 1).select(
+    return running.where(F.col("probe") > 0).select(
         "cust_number", "reference_date",
         F.try_divide(F.col("delay_sum").cast("double"), F.col("delay_n")).alias("customer_avg_delay"),
         F.try_divide(F.col("late_n").cast("double"), F.col("paid_n")).alias("late_payment_ratio"),
-        "prev_transaction_count", "last_invoice_date")
+        "prev_transaction_count", "last_invoice_date", F.col("probe").alias("probe_rows"))
 
 
 def customer_stats(invoices: DataFrame, as_of: Column, clip_early: bool = True,

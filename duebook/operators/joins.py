@@ -9,22 +9,30 @@ HOT_KEYS = 1000
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
-                rows_per_task: int = 1_000_000) -> DataFrame:
+                rows_per_task: int = 1_000_000, left_rows: str | None = None) -> DataFrame:
     """Join a large left side to a right side with few rows per key, splitting hot keys.
 
     At most ``HOT_KEYS`` keys, the most frequent ones above ``rows_per_task``, are salted; every other
     key holds less than a thousandth of the rows and joins as usual. Because of that limit the
     key list is small enough to broadcast whatever the size of the input.
+
+    Where the right side already counts the left rows of each key, ``left_rows`` names that column and saves
+    the counting pass; the column is dropped.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"{how!r} would repeat right rows of salted keys")
     fan = F.ceil(F.col("_rows") / rows_per_task).cast("int")
-    hot = (left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-           .where(F.col("_rows") > rows_per_task)
+    if left_rows:
+        counts = right.select(*on, F.col(left_rows).alias("_rows"))
+        right = right.drop(left_rows)
+    else:
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = (counts.where(F.col("_rows") > rows_per_task)
            .orderBy(F.desc("_rows"), *on).limit(HOT_KEYS)
            .select(*on, fan.alias("_fan")))
     fan_out = F.coalesce(F.col("_fan"), F.lit(1))
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), fan_out).cast("int")
+    # The partition id separates copies of one row; it stays the same when a task is repeated.
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in left.columns]), fan_out).cast("int")
     salted_left = left.join(F.broadcast(hot), on, "left").withColumn("_salt", spread).drop("_fan")
     salted_right = (right.join(F.broadcast(hot), on, "left")
                     .withColumn("_salt", F.explode(F.sequence(F.lit(0), fan_out - 1))).drop("_fan"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
@@ -13,13 +16,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duebook import schema
 from duebook.functions import probability as P
 from duebook.operators.metrics import (classification_report, confusion_counts, log_loss_term, model_metrics,
-                                       rank_results, report_means)
+                                       rank_results, report_means, union_results)
 from duebook.operators.quantiles import Quantile, exact_quantiles
 
 LABEL = "week_bucket"
@@ -64,8 +67,8 @@ class ExactMedianImputerModel(Model, _MedianParams, DefaultParamsReadable, Defau
 def impute_median(df: DataFrame, columns: list[str], train: DataFrame | None = None) -> DataFrame:
     """Nulls replaced by the median of ``train``, column by column."""
     medians = exact_quantiles(df if train is None else train, [Quantile(c, F.col(c), 0.5) for c in columns])
-    packed = medians.select(F.struct(*columns).alias("m")).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), packed.getField(c)) for c in columns})
+    found = medians.first()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(found[c]).cast("double")) for c in columns})
 
 
 def impute_categorical(df: DataFrame, columns: list[str], strategy: str = "constant", value: str = "Missing") -> DataFrame:
@@ -99,6 +102,12 @@ def assemble_features(features: list[str] = schema.MODEL_FEATURES) -> list:
             VectorAssembler(inputCols=filled, outputCol="features")]
 
 
+def side_by_side(spark: SparkSession, job: Callable, items: list, threads: int = 4) -> list:
+    """Run independent fits at the same time; the driver only waits for the cluster in each thread."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(job), items))
+
+
 # -- training and scoring --------------------------------------------------------------------------------
 
 def forest(trees: int = 100, depth: int = 10, seed: int = 42) -> RandomForestClassifier:
@@ -149,12 +158,13 @@ def learners(seed: int = 42) -> dict[str, Estimator]:
 
 def compare_models(train: DataFrame, test: DataFrame, candidates: dict[str, Estimator] | None = None) -> DataFrame:
     """One row of metrics per learner, best log loss first. The rows are one table: every model scores it."""
-    rows = None
-    for name, estimator in (candidates or learners()).items():
-        scored = score(train_classifier(train, estimator), test)
-        line = model_metrics(scored).withColumn("model", F.lit(name))
-        rows = line if rows is None else rows.unionByName(line)
-    return rank_results(rows, ["log_loss"])
+    chosen = candidates or learners()
+
+    def one(name: str) -> DataFrame:
+        scored = score(train_classifier(train, chosen[name]), test)
+        return model_metrics(scored).withColumn("model", F.lit(name))
+
+    return rank_results(union_results(*side_by_side(train.sparkSession, one, list(chosen))), ["log_loss"])
 
 
 # -- calibration -----------------------------------------------------------------------------------------
@@ -192,8 +202,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, id_columns: list
     order, which is a random permutation that needs no global numbering. Block sizes stay near
     ``rows_per_block`` whatever the table's size. All features and repeats are scored in one plan.
     """
-    base = model_metrics(score(model, df)).select("log_loss").scalar()
-    blocks = F.greatest(F.ceil(df.agg(F.count(F.lit(1))).scalar() / rows_per_block), F.lit(1))
+    base = model_metrics(score(model, df)).first()["log_loss"]
+    blocks = F.lit(max(1, -(-df.count() // rows_per_block)))
     ids = [F.col(c).cast("string") for c in id_columns]
     rows = df.select(*id_columns, *features, LABEL).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     placed = (rows.withColumn("_order", F.xxhash64(F.lit("order"), F.col("repeat"), *ids))
@@ -209,7 +219,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, id_columns: list
     shuffled = moved.select("repeat", LABEL, variants).select("repeat", LABEL, "v.*")
     losses = (score(model, shuffled).groupBy("feature", "repeat")
               .agg(F.avg(log_loss_term(F.col("probabilities"), F.col(LABEL))).alias("loss")))
-    return (losses.groupBy("feature").agg(F.avg(F.col("loss") - base).alias("importance_mean"),
+    return (losses.groupBy("feature").agg((F.avg("loss") - F.lit(base)).alias("importance_mean"),
                                           F.stddev_pop("loss").alias("importance_std"))
             .orderBy(F.desc("importance_mean")))
 

@@ -38,16 +38,16 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                                F.stddev_samp(q(c)).alias("std"), F.min(q(c)).cast("double").alias("min"),
                                F.max(q(c)).cast("double").alias("max")).alias(c) for c in columns])
     quartiles = exact_quantiles(df, [Quantile(f"{c}|{p}", q(c), p / 100) for c in columns for p in (25, 50, 75)])
-    packed = quartiles.select(F.struct(*[q(n) for n in quartiles.columns]).alias("s")).scalar()
+    found = quartiles.first()
     entries = []
     for c in columns:
         s = q(c)
         entries.append(F.struct(
             F.lit(c).alias("column_name"), s.getField("count").alias("count"), s.getField("mean").alias("mean"),
             s.getField("std").alias("std"), s.getField("min").alias("min"),
-            *[F.col("_quart").getField(f"{c}|{p}").alias(f"q{p}") for p in (25, 50, 75)],
+            *[F.lit(found[f"{c}|{p}"]).cast("double").alias(f"q{p}") for p in (25, 50, 75)],
             s.getField("max").alias("max")))
-    return _long(basics.withColumn("_quart", packed), entries)
+    return _long(basics, entries)
 
 
 def value_counts(df: DataFrame, column: str, where: Column | None = None) -> DataFrame:
@@ -80,11 +80,11 @@ def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 50) -
     """Rows per equal-width bin between the extremes of each numeric column; the last bin is closed."""
     columns = columns or numeric_columns(df)
     ends = df.agg(F.struct(*[F.struct(F.min(q(c)).cast("double").alias("low"), F.max(q(c)).cast("double").alias("high"))
-                             .alias(c) for c in columns]).alias("s")).scalar()
+                             .alias(c) for c in columns]).alias("s")).first()["s"]
     entries = []
     for c in columns:
         value = q(c).cast("double")
-        low, high = ends.getField(c).getField("low"), ends.getField(c).getField("high")
+        low, high = F.lit(ends[c]["low"]).cast("double"), F.lit(ends[c]["high"]).cast("double")
         position = F.when(high > low, F.floor((value - low) * F.lit(float(bins)) / (high - low))).otherwise(0)
         entries.append(F.struct(F.lit(c).alias("column_name"),
                                 F.when(value.isNotNull(), F.least(position, F.lit(bins - 1))).cast("int").alias("bin")))

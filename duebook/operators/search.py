@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import random
-from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from duebook import schema
 from duebook.operators.forecast import forecast_holdout, mape_score
-from duebook.operators.metrics import backtest_aggregate, model_metrics
-from duebook.operators.models import forest, score, train_classifier
+from duebook.operators.metrics import backtest_aggregate, model_metrics, union_results
+from duebook.operators.models import forest, score, side_by_side, train_classifier
 from duebook.operators.splits import backtest_folds, in_fold
 
 
@@ -45,8 +43,7 @@ def search(parts: list[tuple[DataFrame, DataFrame]], candidates: list[dict], mak
         mean = sum(values) / len(values)
         return {**params, "score": mean}
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(inheritable_thread_target(spark)(one), candidates))
+    results = side_by_side(spark, one, candidates, parallelism)
     return sorted(results, key=lambda x: x["score"], reverse=scoring != "log_loss")
 
 
@@ -67,24 +64,25 @@ def grid_search(df: DataFrame, space: dict[str, list], id_columns: list[str], fo
 
 
 def walk_forward(snapshots: DataFrame, classifier: Estimator | None = None, weeks: int = 6,
-                 percentiles: tuple[float, ...] = schema.BACKTEST_PERCENTILES) -> DataFrame:
+                 percentiles: tuple[float, ...] = schema.BACKTEST_PERCENTILES, parallelism: int = 4) -> DataFrame:
     """Model and cash metrics of every cutoff: train up to it, test on the weeks after it.
 
     One fit per cutoff serves both kinds of metrics. Pass a written snapshot table: it is read twice per cutoff.
     """
-    rows = None
-    for fold in sorted(backtest_folds(snapshots, percentiles).collect(), key=lambda r: r["percentile"]):
+    def one(fold: Row) -> DataFrame | None:
         before, after = in_fold(F.lit(fold["cutoff"]), weeks)
         train, test = snapshots.where(before), snapshots.where(after)
         if train.isEmpty() or test.isEmpty():
-            continue
+            return None
         scored = score(train_classifier(train, classifier), test)
-        line = (model_metrics(scored).join(forecast_holdout(scored))
+        return (model_metrics(scored).join(forecast_holdout(scored))
                 .withColumn("percentile", F.lit(fold["percentile"])).withColumn("cutoff", F.lit(fold["cutoff"])))
-        rows = line if rows is None else rows.unionByName(line)
-    if rows is None:
+
+    folds = sorted(backtest_folds(snapshots, percentiles).collect(), key=lambda r: r["percentile"])
+    rows = [x for x in side_by_side(snapshots.sparkSession, one, folds, parallelism) if x is not None]
+    if not rows:
         raise ValueError("no cutoff has both training and test rows")
-    return rows
+    return union_results(*rows)
 
 
 def backtest_summary(folds: DataFrame) -> DataFrame:

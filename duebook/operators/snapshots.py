@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duebook.functions import invoice as I
-from duebook.functions.invoice import size_quantile_pair
 from duebook.operators.history import asof_customer_history
 from duebook.operators.joins import salted_join
 from duebook.operators.quantiles import amount_quantiles
 
 
-def snapshot_grid(invoices: DataFrame, anchor: Column | None = None, horizon_weeks: int = 6) -> DataFrame:
-    """One row: first grid date and last date a snapshot may have."""
-    first = F.min("invoice_sent") if anchor is None else anchor
-    last = F.date_sub(F.max("invoice_paid"), 7 * horizon_weeks)
-    return invoices.agg(F.struct(first.alias("first"), last.alias("last")).alias("grid"))
+def snapshot_grid(invoices: DataFrame, anchor: date | None = None, horizon_weeks: int = 6) -> tuple[date, date] | None:
+    """First grid date and last date a snapshot may have; None without sent and paid invoices.
+
+    The two dates are fetched, so that the snapshot plan holds constants instead of repeated subqueries.
+    """
+    first = F.min("invoice_sent") if anchor is None else F.lit(anchor)
+    row = invoices.agg(first.alias("first"), F.date_sub(F.max("invoice_paid"), 7 * horizon_weeks).alias("last")).first()
+    return None if row["first"] is None or row["last"] is None else (row["first"], row["last"])
 
 
 def snapshot_open_invoices(invoices: DataFrame, stride_days: int = 7, horizon_weeks: int = 6,
-                           anchor: Column | None = None, bucket_mode: str = "floor0") -> DataFrame:
+                           anchor: date | None = None, until: date | None = None,
+                           bucket_mode: str = "floor0") -> DataFrame:
     """Every invoice on every grid date with ``sent <= date < paid``, with its label.
 
     The dates of an invoice form one run of the grid, so they are computed from its two ends and exploded:
-    no join, no shuffle, and rows appear where the invoice already is. ``anchor`` fixes the first grid
-    date for incremental runs.
+    no join, no shuffle, and rows appear where the invoice already is. ``anchor`` and ``until`` fix the first
+    and last grid date for incremental runs; given both, the table is not read beforehand.
     """
-    grid = snapshot_grid(invoices, anchor, horizon_weeks).scalar()
-    first, last = grid.getField("first"), grid.getField("last")
+    if anchor is None or until is None:
+        grid = snapshot_grid(invoices, anchor, horizon_weeks) or (date.max, date.min)
+        anchor, until = grid[0], until or grid[1]
+    first, last = F.lit(anchor), F.lit(until)
 
     def steps(day: Column) -> Column:
         return F.datediff(day, first) / F.lit(float(stride_days))
@@ -36,12 +43,12 @@ def snapshot_open_invoices(invoices: DataFrame, stride_days: int = 7, horizon_we
     start = F.greatest(F.ceil(steps(F.col("invoice_sent"))), F.lit(0)).cast("int")
     stop = F.least(F.ceil(steps(F.col("invoice_paid"))) - 1, F.floor(steps(last))).cast("int")
     bounded = (invoices.where(F.col("invoice_sent").isNotNull() & F.col("invoice_paid").isNotNull())
-               .withColumn("_first", first).withColumn("_start", start).withColumn("_stop", stop)
+               .withColumn("_start", start).withColumn("_stop", stop)
                .where(F.col("_start") <= F.col("_stop")))
     step = F.explode(F.sequence("_start", "_stop"))
     dated = (bounded.withColumn("_k", step)
-             .withColumn("reference_date", F.expr(f"date_add(_first, _k * {stride_days})"))
-             .drop("_first", "_start", "_stop", "_k"))
+             .withColumn("reference_date", F.date_add(first, F.col("_k") * stride_days))
+             .drop("_start", "_stop", "_k"))
     return label_snapshots(dated, bucket_mode)
 
 
@@ -67,7 +74,8 @@ def timing_features(df: DataFrame) -> DataFrame:
 
 def attach_history(snapshots: DataFrame, history: DataFrame) -> DataFrame:
     """Left join of the as-of history by customer and date, with the features made from it."""
-    joined = salted_join(snapshots, history, ["cust_number", "reference_date"])
+    counted = "probe_rows" if "probe_rows" in history.columns else None
+    joined = salted_join(snapshots, history, ["cust_number", "reference_date"], left_rows=counted)
     return (joined
             .withColumn("prev_transaction_count", F.coalesce("prev_transaction_count", F.lit(0).cast("bigint")))
             .withColumn("customer_risk_score",
@@ -79,8 +87,8 @@ def attach_history(snapshots: DataFrame, history: DataFrame) -> DataFrame:
 def amount_features(df: DataFrame, population: DataFrame) -> DataFrame:
     """Log amount and size classes; the quantile classes use the amounts of ``population``."""
     amount = F.col("total_open_amount")
-    edges = amount_quantiles(population).select(F.array("q1", "q2")).scalar()
-    low, high = size_quantile_pair(edges)
+    edges = amount_quantiles(population).first()
+    low, high = (F.lit(edges[name]).cast("double") for name in ("q1", "q2"))
     return (df.withColumn("invoice_amount", amount)
             .withColumn("invoice_amount_log", I.amount_log(amount))
             .withColumn("open_amount", amount)

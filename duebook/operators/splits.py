@@ -11,7 +11,7 @@ from duebook.operators.quantiles import date_quantile, date_quantiles, distinct_
 
 def time_split(snapshots: DataFrame, probability: float = 0.8, column: str = "invoice_sent") -> DataFrame:
     """Mark each row 'train' or 'test' by its reference date against a row-weighted date quantile."""
-    cutoff = date_quantile(snapshots, column, probability).scalar()
+    cutoff = F.lit(date_quantile(snapshots, column, probability).first()["cutoff"])
     at = F.col("reference_date").cast("timestamp")
     return snapshots.withColumn("part", F.when(at <= cutoff, "train").otherwise("test"))
 
@@ -21,11 +21,10 @@ def train_valid_test(snapshots: DataFrame, column: str = "reference_date") -> Da
 
     Training rows have fold -1 and never validate, validation rows fold 0; test rows have none.
     """
-    cuts = (date_quantiles(snapshots, column, {"q60": 0.6, "q80": 0.8})
-            .select(F.struct("q60", "q80").alias("cuts")).scalar())
+    cuts = date_quantiles(snapshots, column, {"q60": 0.6, "q80": 0.8}).first()
     at = F.col("reference_date").cast("timestamp")
-    part = (F.when(at <= cuts.getField("q60"), "train")
-            .when(at <= cuts.getField("q80"), "valid").otherwise("test"))
+    part = (F.when(at <= F.lit(cuts["q60"]), "train")
+            .when(at <= F.lit(cuts["q80"]), "valid").otherwise("test"))
     fold = F.when(F.col("part") == "train", -1).when(F.col("part") == "valid", 0)
     return snapshots.withColumn("part", part).withColumn("fold", fold.cast("int"))
 
@@ -46,11 +45,11 @@ def backtest_windows(snapshots: DataFrame, weeks: int = 6,
                      percentiles: tuple[float, ...] = schema.BACKTEST_PERCENTILES) -> DataFrame:
     """Each snapshot row once per cutoff whose training or test part it belongs to.
 
-    The handful of cutoffs travels as one array value, so no join is needed.
+    The handful of cutoffs is fetched and becomes one constant array, so no join is needed.
     """
-    folds = (backtest_folds(snapshots, percentiles)
-             .agg(F.array_sort(F.collect_list(F.struct("percentile", "cutoff"))).alias("folds")).scalar())
-    expanded = snapshots.withColumn("_f", F.explode(folds)).select(
+    folds = [F.struct(F.lit(r["percentile"]).alias("percentile"), F.lit(r["cutoff"]).alias("cutoff"))
+             for r in backtest_folds(snapshots, percentiles).collect()]
+    expanded = snapshots.withColumn("_f", F.explode(F.array(*folds))).select(
         *[F.col(f"`{c}`") for c in snapshots.columns], F.col("_f.percentile").alias("percentile"),
         F.col("_f.cutoff").alias("cutoff"))
     train, test = in_fold(F.col("cutoff"), weeks)
@@ -65,11 +64,11 @@ def time_series_folds(df: DataFrame, column: str = "reference_date", splits: int
     """
     days = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     running = days.withColumn("upto", F.sum("n").over(Window.orderBy("day")))
-    total = days.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).scalar()
-    size = F.floor(total / (splits + 1)).cast("bigint")
+    total = days.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()["total"]
+    size = F.lit(total // (splits + 1)).cast("bigint")
     fold = F.explode(F.sequence(F.lit(1), F.lit(splits)))
     marked = running.withColumn("fold", fold).withColumn("test_rows", size) \
-        .withColumn("train_rows", total - (splits + 1 - F.col("fold")) * size)
+        .withColumn("train_rows", F.lit(total).cast("bigint") - (splits + 1 - F.col("fold")) * size)
     start, end = F.col("train_rows"), F.col("train_rows") + F.col("test_rows")
     return marked.groupBy("fold", "train_rows", "test_rows").agg(
         F.min(F.when(F.col("upto") >= start, F.col("day"))).alias("train_end"),

@@ -40,9 +40,9 @@ class TrainingRun:
 def train(raw: DataFrame, classifier: Estimator | None = None, backtest_classifier: Estimator | None = None) -> TrainingRun:
     """Clean, snapshot, split by time, fit, evaluate on the holdout and by walk-forward backtests.
 
-    The snapshot table feeds a fit per cutoff and all metrics, so it is written once to the shared folder.
+    The clean table and the snapshot table have many readers, so each is written once to the shared folder.
     """
-    clean = clean_invoices(raw)
+    clean = materialise(clean_invoices(raw), "clean")
     snapshots = materialise(impute_history(build_snapshots(clean)), "snapshots")
     parts = time_split(snapshots)
     fit_part, test_part = parts.where("part = 'train'"), parts.where("part = 'test'")
