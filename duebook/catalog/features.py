@@ -14,12 +14,18 @@ from duebook.operators import metrics as M
 from duebook.operators import quantiles as Q
 from duebook.operators import snapshots as S
 from duebook.operators import splits as SP
+from duebook.session import materialise
 from duebook.sources import adapter as A
 
 def snaps(spark, d):
     return S.snapshot_open_invoices(A.invoices(spark, d))
 
 
+def paid(spark, d):
+    """The clean table, written once where a query reads it several times."""
+    return materialise(A.invoices(spark, d), "clean")
+
+
 @query("snapshot_open_invoices", sql("snap", f"""
   SELECT doc_id, cust_number, {r('total_open_amount')} AS total_open_amount, CAST(reference_date AS VARCHAR) AS reference_date,
     days_to_payment, week_bucket FROM snap"""))
@@ -42,8 +48,9 @@ HIST = f"""cust_number, CAST(reference_date AS VARCHAR) AS reference_date, {r('c
 
 @query("asof_customer_history", sql("hist", f"SELECT {HIST} FROM hist"))
 def _(spark, d):
-    s = snaps(spark, d)
-    return plain(H.asof_customer_history(A.invoices(spark, d), s.select("cust_number", "reference_date"))).drop("probe_rows")
+    inv = paid(spark, d)
+    s = S.snapshot_open_invoices(inv)
+    return plain(H.asof_customer_history(inv, s.select("cust_number", "reference_date")))
 
 
 @query("asof_frames", sql("paid snap", f"""
@@ -75,8 +82,9 @@ def _(spark, d):
     {r('late_payment_ratio')} AS late_payment_ratio, prev_transaction_count, {r('customer_risk_score')} AS customer_risk_score,
     days_since_last_invoice FROM feat"""))
 def _(spark, d):
-    s = snaps(spark, d)
-    h = H.asof_customer_history(A.invoices(spark, d), s.select("cust_number", "reference_date"))
+    inv = paid(spark, d)
+    s = S.snapshot_open_invoices(inv)
+    h = H.asof_customer_history(inv, s.select("cust_number", "reference_date"))
     return plain(S.attach_history(s, h).select(
         "doc_id", "reference_date", "customer_avg_delay", "late_payment_ratio", "prev_transaction_count",
         "customer_risk_score", "days_since_last_invoice"))
@@ -93,7 +101,7 @@ REALS = CYCLIC + ["customer_avg_delay", "late_payment_ratio", "customer_risk_sco
   SELECT doc_id, CAST(reference_date AS VARCHAR) AS reference_date, week_bucket, days_to_payment, {', '.join(FEATURES)},
     {', '.join(f'{r(c)} + 0.0 AS {c}' for c in REALS)} FROM feat"""))
 def _(spark, d):
-    s = S.build_snapshots(A.invoices(spark, d))
+    s = S.build_snapshots(paid(spark, d))
     flat = s.select("doc_id", "reference_date", "week_bucket", "days_to_payment", *FEATURES, *REALS)
     return plain(flat).select("doc_id", "reference_date", "week_bucket", "days_to_payment", *FEATURES,
                               *[(F.col(c) + F.lit(0.0)).alias(c) for c in REALS])
@@ -177,8 +185,9 @@ def _(spark, d):
 @query("customer_risk_score", sql("feat", f"""
   SELECT doc_id, CAST(reference_date AS VARCHAR) AS reference_date, {r('customer_risk_score')} AS customer_risk_score FROM feat"""))
 def _(spark, d):
-    s = snaps(spark, d)
-    h = H.asof_customer_history(A.invoices(spark, d), s.select("cust_number", "reference_date"))
+    inv = paid(spark, d)
+    s = S.snapshot_open_invoices(inv)
+    h = H.asof_customer_history(inv, s.select("cust_number", "reference_date"))
     joined = J.salted_join(s, h, ["cust_number", "reference_date"])
     return plain(joined.select("doc_id", "reference_date", I.customer_risk_score(
         F.col("late_payment_ratio"), F.col("customer_avg_delay")).alias("customer_risk_score")))
@@ -202,7 +211,7 @@ def _(spark, d):
   SELECT doc_id, CAST(reference_date AS VARCHAR) AS reference_date, {r('coalesce(customer_avg_delay, 0)')} AS customer_avg_delay,
     {r('coalesce(late_payment_ratio, 0)')} AS late_payment_ratio, coalesce(days_since_last_invoice, -1) AS days_since_last_invoice FROM feat"""))
 def _(spark, d):
-    s = C.impute_history(S.build_snapshots(A.invoices(spark, d)))
+    s = C.impute_history(S.build_snapshots(paid(spark, d)))
     return plain(s.select("doc_id", "reference_date", "customer_avg_delay", "late_payment_ratio", "days_since_last_invoice"))
 
 
@@ -210,7 +219,7 @@ def _(spark, d):
   SELECT business_year, invoice_currency, document_type, {', '.join(FEATURES)}, {r('customer_avg_delay')} AS customer_avg_delay,
     {r('invoice_amount')} AS invoice_amount, {r('invoice_amount_log')} AS invoice_amount_log FROM feat"""))
 def _(spark, d):
-    x = C.feature_projection(S.build_snapshots(A.invoices(spark, d)))
+    x = C.feature_projection(S.build_snapshots(paid(spark, d)))
     return plain(x.select("business_year", "invoice_currency", "document_type", *FEATURES, "customer_avg_delay",
                           "invoice_amount", "invoice_amount_log"))
 

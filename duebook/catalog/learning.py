@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duebook import schema
 from duebook.catalog.base import plain, query, r, sql
+from duebook.catalog.features import paid
 from duebook.functions import probability as P
 from duebook.operators import cleaning as C
 from duebook.operators import metrics as M
@@ -23,7 +24,7 @@ SMALL = dict(trees=10, depth=6)
 
 def table(spark, d):
     """The snapshot table, written once because fits read it several times."""
-    return materialise(C.impute_history(S.build_snapshots(A.invoices(spark, d))), "snapshots")
+    return materialise(C.impute_history(S.build_snapshots(paid(spark, d))), "snapshots")
 
 
 def parts(spark, d):
@@ -37,7 +38,7 @@ IMPUTED = ["customer_avg_delay", "days_since_last_invoice", "invoice_amount_log"
 @query("impute_median", sql("feat", "SELECT doc_id, CAST(reference_date AS VARCHAR) AS reference_date, " + ", ".join(
     f"""round_even(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM feat)) * 1e6, 0) / 1e6 AS {c}""" for c in IMPUTED) + " FROM feat"))
 def _(spark, d):
-    s = S.build_snapshots(A.invoices(spark, d))
+    s = S.build_snapshots(paid(spark, d))
     return plain(ML.impute_median(s, IMPUTED).select("doc_id", "reference_date", *IMPUTED))
 
 
@@ -216,4 +217,4 @@ VIF = ["invoice_age_days", "pay_terms_days", "invoice_amount_log"]
 
 @query("vif")
 def _(spark, d):
-    return plain(spark.createDataFrame(ML.vif(S.build_snapshots(A.invoices(spark, d)), VIF), "feature string, vif double"))
+    return plain(spark.createDataFrame(ML.vif(S.build_snapshots(paid(spark, d)), VIF), "feature string, vif double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duebook.catalog.base import plain, query, r, sql
+from duebook.catalog.features import paid
 from duebook.operators import profiling as PR
 from duebook.operators import snapshots as S
 from duebook.sources import adapter as A
@@ -126,4 +127,4 @@ VARIANCES = ["invoice_month_sin", "pay_terms_days", "late_payment_ratio", "invoi
 @query("variance_threshold", sql("feat", line_sql(VARIANCES, lambda c: f"""
   SELECT '{c}' AS feature, {r(f'var_pop({c})')} AS variance, CAST(var_pop({c}) > 0.05 AS INTEGER) AS kept FROM feat""")))
 def _(spark, d):
-    return plain(PR.variance_threshold(S.build_snapshots(A.invoices(spark, d)), VARIANCES))
+    return plain(PR.variance_threshold(S.build_snapshots(paid(spark, d)), VARIANCES))

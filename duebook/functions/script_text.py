@@ -78,15 +78,19 @@ def missing_keys(text: Column) -> Column:
     return F.array_except(wanted, F.json_object_keys(text))
 
 
-def _too_short(text: Column, name: str) -> Column:
+def _too_short(document: Column, name: str) -> Column:
     """True unless the field is a JSON string of at least five characters."""
-    field = F.try_variant_get(F.try_parse_json(text), f"$.{name}", "variant")
+    field = F.try_variant_get(document, f"$.{name}", "variant")
     value = F.regexp_replace(F.try_variant_get(field, "$", "string"), r"^\s+|\s+$", "")
     return ~F.coalesce((F.schema_of_variant(field) == "STRING") & (F.length(value) >= 5), F.lit(False))
 
 
-def validation_error(text: Column, script: Column) -> Column:
-    """The first rule the script breaks as text, or null for a valid script."""
+def validation_error(text: Column, script: Column, document: Column | None = None) -> Column:
+    """The first rule the script breaks as text, or null for a valid script.
+
+    ``document`` is the text parsed as a variant, where the caller has it already.
+    """
+    document = F.try_parse_json(text) if document is None else document
     missing = missing_keys(text)
     enums = [("action", schema.SCRIPT_ACTIONS), ("stage", schema.SCRIPT_STAGES),
              ("tone", schema.SCRIPT_TONES), ("priority", schema.SCRIPT_PRIORITIES)]
@@ -96,17 +100,17 @@ def validation_error(text: Column, script: Column) -> Column:
         rules.append(F.when(~F.coalesce(value.isin(allowed), F.lit(False)),
                             F.concat(F.lit(f"Invalid {name}: "), F.coalesce(value, F.lit("None")))))
     for name in ("subject", "email_body"):
-        rules.append(F.when((script.getField("action") == "send_email") & _too_short(text, name),
+        rules.append(F.when((script.getField("action") == "send_email") & _too_short(document, name),
                             F.lit(f"Field '{name}' is empty or too short.")))
     for name in ("reasoning", "playbook_reference"):
-        rules.append(F.when(_too_short(text, name), F.lit(f"Field '{name}' is empty or too short.")))
+        rules.append(F.when(_too_short(document, name), F.lit(f"Field '{name}' is empty or too short.")))
     return F.coalesce(*rules)
 
 
-def script_failure(text: Column, script: Column) -> Column:
+def script_failure(text: Column, script: Column, document: Column | None = None) -> Column:
     """Reason for manual review, or null: unreadable JSON first, then the validation rules."""
     return F.when(~is_json_object(text), F.lit("JSON parse error: not a JSON object")).otherwise(
-        F.concat(F.lit("Validation failed: "), validation_error(text, script)))
+        F.concat(F.lit("Validation failed: "), validation_error(text, script, document)))
 
 
 def fallback_script(doc_id: Column, past_due: Column, reason: Column) -> Column:

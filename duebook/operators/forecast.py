@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duebook import schema
 from duebook.functions import probability as P
-from duebook.functions.numbers import money_sum, round_even
+from duebook.functions.numbers import MONEY, money_sum, round_even
 
 WEEKS = schema.FORECAST_WEEKS
 
@@ -93,6 +93,19 @@ def forecast_metrics(comparison: DataFrame, keys: list[str] | None = None) -> Da
                     round_even(F.col("f") - F.col("a"), 2).alias("total_cf_difference")))
 
 
+def _weekly_sums(scored: DataFrame, keys: list[str], probabilities: str, temperature: float | None,
+                 extra: list[Column] | None = None) -> DataFrame:
+    """One wide row per key: forecast and actual cash of each week and the invoice total."""
+    p = F.col(probabilities)
+    if temperature is not None:
+        p = P.sharpen(p, temperature)
+    amount = F.col("total_open_amount")
+    week = payment_week(F.col("invoice_paid"), F.col("reference_date"))
+    forecast = [round_even(F.sum(amount * F.col("_p").getItem(w - 1)), 2).alias(f"forecast_{w}") for w in WEEKS]
+    return scored.withColumn("_p", p).groupBy(*keys).agg(
+        *forecast, *_sum_in_week(week, amount), round_even(money_sum(amount), 2).alias("total_invoice_amount"), *(extra or []))
+
+
 def forecast_comparison(scored: DataFrame, keys: list[str] | None = None, probabilities: str = "probabilities",
                         temperature: float | None = schema.TEMPERATURE) -> DataFrame:
     """Forecast against actual cash per key and week in one aggregate over the scored snapshots.
@@ -100,37 +113,51 @@ def forecast_comparison(scored: DataFrame, keys: list[str] | None = None, probab
     Sums come before rounding here. ``temperature=None`` takes the probabilities as they are.
     """
     keys = ["reference_date"] if keys is None else keys
-    p = F.col(probabilities)
-    if temperature is not None:
-        p = P.sharpen(p, temperature)
-    amount = F.col("total_open_amount")
-    week = payment_week(F.col("invoice_paid"), F.col("reference_date"))
-    forecast = [round_even(F.sum(amount * F.col("_p").getItem(w - 1)), 2).alias(f"forecast_{w}") for w in WEEKS]
-    sums = (scored.withColumn("_p", p).groupBy(*keys)
-            .agg(*forecast, *_sum_in_week(week, amount), round_even(money_sum(amount), 2).alias("total_invoice_amount")))
+    sums = _weekly_sums(scored, keys, probabilities, temperature)
     return forecast_errors(weeks_long(sums, [*keys, "total_invoice_amount"], {
         "forecast_cash": [f"forecast_{w}" for w in WEEKS], "actual_cash": [f"actual_{w}" for w in WEEKS]}))
 
 
-def forecast_per_reference_date(scored: DataFrame, keys: list[str] | None = None, **options) -> DataFrame:
-    """Forecast metrics of every reference date, with the check against the invoice total."""
-    keys = ["reference_date"] if keys is None else keys
-    comparison = forecast_comparison(scored, keys, **options)
-    metrics = forecast_metrics(comparison, [*keys, "total_invoice_amount"])
-    return metrics.withColumn("total_expected_cash", F.col("total_forecast_cf"))
+def forecast_per_reference_date(scored: DataFrame, keys: list[str] | None = None, probabilities: str = "probabilities",
+                                temperature: float | None = schema.TEMPERATURE, extra: list[Column] | None = None) -> DataFrame:
+    """Forecast metrics of every reference date, with the check against the invoice total.
 
-
-def forecast_holdout(scored: DataFrame, by: list[str] | None = None, **options) -> DataFrame:
-    """Means of the per-date metrics; dates whose MAPE is undefined are left out of its mean."""
+    The six weeks stay side by side in one row, so the metrics need no second grouping. ``extra`` adds
+    aggregates over the same rows.
+    """
+    keys = ["reference_date"] if keys is None else keys
+    sums = _weekly_sums(scored, keys, probabilities, temperature, extra)
+    pairs = [(F.col(f"forecast_{w}"), F.col(f"actual_{w}")) for w in WEEKS]
+    errors = [round_even(F.abs(f - a), 2) for f, a in pairs]
+    ratios = [F.when(a > 0, e / a) for e, (_, a) in zip(errors, pairs)]
+    counted = P.added([F.coalesce((a > 0).cast("int"), F.lit(0)) for _, a in pairs])
+    exact = [P.added([x.cast(MONEY) for x in side]).cast("double") for side in (errors, [f for f, _ in pairs], [a for _, a in pairs])]
+    mae, forecast, actual = exact[0] / len(WEEKS), exact[1], exact[2]
+    mape = F.when(counted > 0, P.added([F.coalesce(x, F.lit(0.0)) for x in ratios]) / counted)
+    known = [*keys, *[c for c in sums.columns if c not in keys and not c.startswith(("forecast_", "actual_"))]]
+    return sums.select(*known, round_even(mae, 2).alias("forecast_mae_weekly"), round_even(mape, 2).alias("forecast_mape_weekly"),
+                       round_even(actual, 2).alias("total_actual_cf"), round_even(forecast, 2).alias("total_forecast_cf"),
+                       round_even(forecast - actual, 2).alias("total_cf_difference"),
+                       round_even(forecast, 2).alias("total_expected_cash"))
+
+
+def forecast_holdout(scored: DataFrame, by: list[str] | None = None, probabilities: str = "probabilities",
+                     temperature: float | None = schema.TEMPERATURE, means: dict[str, Column] | None = None) -> DataFrame:
+    """Means of the per-date metrics; dates whose MAPE is undefined are left out of its mean.
+
+    ``means`` adds plain means over the scored rows, such as model losses, from the same pass.
+    """
     by = by or []
-    per_date = forecast_per_reference_date(scored, [*by, "reference_date"], **options)
+    extra = [F.struct(F.sum(c).alias("s"), F.count(c).alias("n")).alias(f"_{name}") for name, c in (means or {}).items()]
+    per_date = forecast_per_reference_date(scored, [*by, "reference_date"], probabilities, temperature, extra)
+    rolled = [(F.sum(F.col(f"_{name}").getField("s")) / F.sum(F.col(f"_{name}").getField("n"))).alias(name) for name in means or {}]
     return per_date.groupBy(*by).agg(
         F.avg("forecast_mae_weekly").alias("forecast_mae_weekly"),
         F.avg("forecast_mape_weekly").alias("forecast_mape_weekly"),
         F.avg("total_actual_cf").alias("forecast_total_actual_cf"),
         F.avg("total_forecast_cf").alias("forecast_total_forecast_cf"),
         F.avg("total_cf_difference").alias("forecast_total_cf_difference"),
-        F.count(F.lit(1)).alias("reference_dates"))
+        F.count(F.lit(1)).alias("reference_dates"), *rolled)
 
 
 def forecast_within_total(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from duebook import schema
 from duebook.functions import probability as P
 from duebook.functions.numbers import round_even
 from duebook.operators.forecast import forecast_holdout
-from duebook.operators.metrics import model_metrics, rank_results
+from duebook.operators.metrics import metric_terms, rank_results
 
 
 def expand_grid(df: DataFrame, name: str, rows: dict[str, list[float]], column: str) -> DataFrame:
@@ -19,8 +19,8 @@ def expand_grid(df: DataFrame, name: str, rows: dict[str, list[float]], column:
     return df.withColumn("_g", F.explode(grid)).select(*[F.col(f"`{c}`") for c in df.columns], "_g.*")
 
 
-def _cash_columns(holdout: DataFrame, key: str) -> DataFrame:
-    return holdout.select(key, round_even(F.col("forecast_mae_weekly"), 2).alias("forecast_mae_weekly"),
+def _cash_columns(holdout: DataFrame, kept: list) -> DataFrame:
+    return holdout.select(*kept, round_even(F.col("forecast_mae_weekly"), 2).alias("forecast_mae_weekly"),
                           round_even(F.col("forecast_mape_weekly"), 4).alias("forecast_mape_weekly"),
                           round_even(F.col("forecast_total_cf_difference"), 2).alias("forecast_total_cf_difference"))
 
@@ -33,10 +33,10 @@ def weight_grid(members: DataFrame, columns: list[str],
     voted = (expand_grid(members, "weights", rows, "_w")
              .withColumn("probabilities", P.soft_vote([F.col(c) for c in columns], weights))
              .drop("_w", *columns))
-    model = model_metrics(voted, by=["weights"])
-    model = model.select("weights", *[round_even(F.col(c), 6).alias(c) for c in model.columns if c != "weights"])
-    cash = _cash_columns(forecast_holdout(voted, by=["weights"]), "weights")
-    return rank_results(model.join(cash, "weights"), ["forecast_mae_weekly", "forecast_mape_weekly"])
+    terms = metric_terms()
+    measured = forecast_holdout(voted, by=["weights"], means=terms)
+    rounded = [round_even(F.col(c), 6).alias(c) for c in terms]
+    return rank_results(_cash_columns(measured, ["weights", *rounded]), ["forecast_mae_weekly", "forecast_mape_weekly"])
 
 
 def bias_grid(scored: DataFrame, grid: dict[str, list[float]] = schema.BIAS_GRID) -> DataFrame:
@@ -44,4 +44,4 @@ def bias_grid(scored: DataFrame, grid: dict[str, list[float]] = schema.BIAS_GRID
     tilted = (expand_grid(scored, "bias_name", grid, "_w")
               .withColumn("probabilities", P.tilt(F.col("probabilities"), F.col("_w"))).drop("_w"))
     holdout = forecast_holdout(tilted, by=["bias_name"], temperature=None)
-    return rank_results(_cash_columns(holdout, "bias_name"), ["forecast_mae_weekly", "forecast_mape_weekly"])
+    return rank_results(_cash_columns(holdout, ["bias_name"]), ["forecast_mae_weekly", "forecast_mape_weekly"])

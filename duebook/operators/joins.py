@@ -2,46 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from duebook.functions.dates import any_null
 
 HOT_KEYS = 1000
+NULL_FAN = 1024
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
-                rows_per_task: int = 1_000_000, left_rows: str | None = None) -> DataFrame:
-    """Join a large left side to a right side with few rows per key, splitting hot keys.
+def hot_keys(left: DataFrame, on: list[str], rows_per_task: int) -> list[Row]:
+    """The most frequent keys with more than ``rows_per_task`` rows and the tasks each should be spread over.
+
+    At most ``HOT_KEYS`` keys are returned; every other key holds less than a thousandth of the rows. Counting
+    combines on the map side, so a hot key costs its own counting nothing.
+    """
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_task)
+    return (counts.orderBy(F.desc("_rows"), *on).limit(HOT_KEYS)
+            .select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_fan")).collect())
 
-    At most ``HOT_KEYS`` keys, the most frequent ones above ``rows_per_task``, are salted; every other
-    key holds less than a thousandth of the rows and joins as usual. Because of that limit the
-    key list is small enough to broadcast whatever the size of the input.
 
-    Where the right side already counts the left rows of each key, ``left_rows`` names that column and saves
-    the counting pass; the column is dropped.
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
+                rows_per_task: int = 1_000_000, large: int = 256 << 20) -> DataFrame:
+    """Join a large left side to a right side with few rows per key, splitting hot keys of the left side.
+
+    A left side estimated below ``large`` bytes cannot overload a task and is joined as it is. For a larger one the
+    frequent keys are counted first: without hot keys the join is an ordinary one, otherwise their rows are
+    spread over several salts and the matching right rows repeated per salt. The list of hot keys is limited,
+    so it may be broadcast whatever the size of the input. Null keys match nothing and are spread as well.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"{how!r} would repeat right rows of salted keys")
-    fan = F.ceil(F.col("_rows") / rows_per_task).cast("int")
-    if left_rows:
-        counts = right.select(*on, F.col(left_rows).alias("_rows"))
-        right = right.drop(left_rows)
-    else:
-        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = (counts.where(F.col("_rows") > rows_per_task)
-           .orderBy(F.desc("_rows"), *on).limit(HOT_KEYS)
-           .select(*on, fan.alias("_fan")))
-    fan_out = F.coalesce(F.col("_fan"), F.lit(1))
+    if estimated_bytes(left) < large:
+        return left.join(right, on, how)
+    found = hot_keys(left, on, rows_per_task)
+    if not found:
+        return left.join(right, on, how)
+    types = T.StructType([left.schema[c] for c in on] + [T.StructField("_fan", T.IntegerType())])
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, types))
+    fan = F.when(any_null([F.col(c) for c in on]), F.lit(NULL_FAN)).otherwise(F.coalesce(F.col("_fan"), F.lit(1)))
     # The partition id separates copies of one row; it stays the same when a task is repeated.
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in left.columns]), fan_out).cast("int")
-    salted_left = left.join(F.broadcast(hot), on, "left").withColumn("_salt", spread).drop("_fan")
-    salted_right = (right.join(F.broadcast(hot), on, "left")
-                    .withColumn("_salt", F.explode(F.sequence(F.lit(0), fan_out - 1))).drop("_fan"))
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in left.columns]), fan).cast("int")
+    salted_left = left.join(hot, on, "left").withColumn("_salt", spread).drop("_fan")
+    salted_right = (right.join(hot, on, "left")
+                    .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_fan"), F.lit(1)) - 1))).drop("_fan"))
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; plans that explode rows may be several times larger."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def attach_customer_name(queue: DataFrame, names: DataFrame) -> DataFrame:
     """Left join of the customer's name by ``doc_id``; one name per invoice, so no row multiplies."""
-    one_name = names.groupBy("doc_id").agg(F.min("name_customer").alias("name_customer"))
+    wanted = names.join(queue.select("doc_id"), "doc_id", "left_semi")
+    one_name = wanted.groupBy("doc_id").agg(F.min("name_customer").alias("name_customer"))
     return queue.join(one_name, "doc_id", "left")
 
 

@@ -17,14 +17,18 @@ def log_loss_term(p: Column, label: Column) -> Column:
     return -F.log(F.least(F.greatest(p.getItem(label), F.lit(EPS)), F.lit(1.0 - EPS)))
 
 
+def metric_terms(label: str = "week_bucket", probabilities: str = "probabilities") -> dict[str, Column]:
+    """Per row: log loss, whether the class is right, whether it is among the top two. Their means are the metrics."""
+    p, y = F.col(probabilities), F.col(label)
+    return {"log_loss": log_loss_term(p, y), "top_1_accuracy": (P.predicted_class(p) == y).cast("double"),
+            "top_2_accuracy": P.in_top_k(p, y, 2).cast("double")}
+
+
 def model_metrics(scored: DataFrame, by: list[str] | None = None, label: str = "week_bucket",
                   probabilities: str = "probabilities") -> DataFrame:
     """Log loss, accuracy and top-2 accuracy in one pass."""
-    p, y = F.col(probabilities), F.col(label)
     return scored.groupBy(*(by or [])).agg(
-        F.avg(log_loss_term(p, y)).alias("log_loss"),
-        F.avg((P.predicted_class(p) == y).cast("double")).alias("top_1_accuracy"),
-        F.avg(P.in_top_k(p, y, 2).cast("double")).alias("top_2_accuracy"))
+        *[F.avg(c).alias(name) for name, c in metric_terms(label, probabilities).items()])
 
 
 def log_loss(scored: DataFrame, **options) -> DataFrame:
@@ -85,9 +89,9 @@ def calibration_bins(scored: DataFrame, bins: int = 10, label: str = "week_bucke
     binned = (long.withColumn("bin", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int"))
               .groupBy("class", "bin")
               .agg(F.sum("p").alias("p_sum"), F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("n")))
-    outcomes = binned.groupBy("class").agg(F.sum("hits").alias("_hits"), F.sum("n").alias("_n"))
-    usable = outcomes.where((F.col("_hits") > 0) & (F.col("_hits") < F.col("_n"))).select("class")
-    return (binned.join(F.broadcast(usable), "class")
+    of_class = Window.partitionBy("class")
+    return (binned.withColumn("_hits", F.sum("hits").over(of_class)).withColumn("_n", F.sum("n").over(of_class))
+            .where((F.col("_hits") > 0) & (F.col("_hits") < F.col("_n")))
             .select("class", "bin", (F.col("p_sum") / F.col("n")).alias("mean_predicted"),
                     (F.col("hits") / F.col("n")).alias("observed_rate"), "n"))
 

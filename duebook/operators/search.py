@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from duebook import schema
 from duebook.operators.forecast import forecast_holdout, mape_score
-from duebook.operators.metrics import backtest_aggregate, model_metrics, union_results
+from duebook.operators.metrics import backtest_aggregate, metric_terms, model_metrics, union_results
 from duebook.operators.models import forest, score, side_by_side, train_classifier
 from duebook.operators.splits import backtest_folds, in_fold
 
@@ -75,7 +75,7 @@ def walk_forward(snapshots: DataFrame, classifier: Estimator | None = None, week
         if train.isEmpty() or test.isEmpty():
             return None
         scored = score(train_classifier(train, classifier), test)
-        return (model_metrics(scored).join(forecast_holdout(scored))
+        return (forecast_holdout(scored, means=metric_terms())
                 .withColumn("percentile", F.lit(fold["percentile"])).withColumn("cutoff", F.lit(fold["cutoff"])))
 
     folds = sorted(backtest_folds(snapshots, percentiles).collect(), key=lambda r: r["percentile"])

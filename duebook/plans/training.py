@@ -12,7 +12,7 @@ from duebook import schema
 from duebook.operators.cleaning import clean_invoices, impute_history
 from duebook.operators.forecast import forecast_holdout, forecast_per_reference_date
 from duebook.operators.metrics import (calibration_bins, classification_report, confusion_counts, confusion_matrix,
-                                       data_summary, model_metrics)
+                                       data_summary, metric_terms)
 from duebook.operators.models import score, train_classifier
 from duebook.operators.search import backtest_summary, walk_forward
 from duebook.operators.snapshots import build_snapshots
@@ -48,7 +48,7 @@ def train(raw: DataFrame, classifier: Estimator | None = None, backtest_classifi
     fit_part, test_part = parts.where("part = 'train'"), parts.where("part = 'test'")
     model = train_classifier(fit_part, classifier)
     scored = materialise(score(model, test_part.drop("part")), "holdout")
-    metrics = model_metrics(scored).join(forecast_holdout(scored))
+    metrics = forecast_holdout(scored, means=metric_terms())
     folds = materialise(walk_forward(snapshots, backtest_classifier or classifier), "backtest")
     return TrainingRun(
         model=model, snapshots=snapshots, metrics=metrics,
