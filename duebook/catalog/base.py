@@ -62,7 +62,8 @@ def dsum(expression: str) -> str:
 
 
 def mean(expression: str, digits: int = 6) -> str:
-    return r(f"avg({expression})", digits)
+    """Mean of amounts from an exact sum."""
+    return r(f"{dsum(expression)} / count({expression})", digits)
 
 
 USD = ("CASE WHEN upper(trim(invoice_currency)) = 'CAD' THEN raw_amount * CASE business_year "

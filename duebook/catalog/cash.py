@@ -194,7 +194,7 @@ def _(spark, d):
 
 @query("forecast_kpis", sql("scored_inv", f"""
   SELECT {r('sum(forecast_cash)', 2)} AS total_forecast, arg_max(week_bucket, forecast_cash) AS best_week,
-    {r('avg(forecast_cash)', 2)} AS mean_week, min(forecast_cash) AS lowest_week FROM ({FORECAST})"""))
+    {mean('forecast_cash', 2)} AS mean_week, min(forecast_cash) AS lowest_week FROM ({FORECAST})"""))
 def _(spark, d):
     return plain(FC.forecast_kpis(FC.weekly_forecast_cash(scored_inv(spark, d))), 2)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duebook import schema
-from duebook.catalog.base import ARGMAX, CLASSES, PARTS, WEEKS, dsum, plain, query, r, scored_parts, sql
+from duebook.catalog.base import ARGMAX, CLASSES, PARTS, WEEKS, dsum, mean, plain, query, r, scored_parts, sql
 from duebook.catalog.cash import COMPARISON, ERRORS
 from duebook.functions import probability as P
 from duebook.operators import grids as G
@@ -144,8 +144,8 @@ def grid_sql(source: str, key: str, final: str) -> str:
     per_date = f"""SELECT {key}, reference_date, {r(f"{dsum('abs_error')} / count(abs_error)", 2)} AS mae,
       {r('avg(CASE WHEN actual_cash > 0 THEN abs_error / actual_cash END)', 2)} AS mape,
       {r(f"{dsum('forecast_cash')} - {dsum('actual_cash')}", 2)} AS diff FROM (SELECT *, {ERRORS} FROM ({sums})) GROUP BY 1, 2"""
-    return f"""SELECT {key}, {r('avg(mae)', 2)} AS forecast_mae_weekly, {r('avg(mape)', 4)} AS forecast_mape_weekly,
-      {r('avg(diff)', 2)} AS forecast_total_cf_difference FROM ({per_date}) GROUP BY 1 {final}"""
+    return f"""SELECT {key}, {mean('mae', 2)} AS forecast_mae_weekly, {mean('mape', 4)} AS forecast_mape_weekly,
+      {mean('diff', 2)} AS forecast_total_cf_difference FROM ({per_date}) GROUP BY 1 {final}"""
 
 
 def sharpened(columns: str, source: str, prefix: str) -> str:

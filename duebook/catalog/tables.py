@@ -65,16 +65,12 @@ def _(spark, d):
 
 
 @query("read_playbook", """
-  SELECT source, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) AS documents FROM documents GROUP BY 1""")
+  SELECT md5(text || chr(10)) AS digest, CAST(length(text) + 1 AS INTEGER) AS chars FROM documents""")
 def _(spark, d):
-    """Documents written as one Markdown folder per source, then read back whole."""
-    docs = A.table(spark, d, "documents")
+    """Every document written to a file of its own, then read back whole."""
     path = run_folder(spark, "playbook")
-    named = docs.select("source", F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("name"), "text")
-    named.write.partitionBy("source").json(path)
-    back = spark.read.schema("source string, name string, text string").json(path)
-    return back.groupBy("source").agg(F.sum(F.length("text").cast("bigint")).alias("chars"),
-                                      F.count(F.lit(1)).alias("documents"))
+    A.table(spark, d, "documents").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return RD.read_playbook(spark, path, "*.txt").select(F.md5("text").alias("digest"), F.length("text").alias("chars"))
 
 
 @query("write_clean", sql("paid", f"{CLEAN} FROM paid"))

@@ -19,6 +19,11 @@ def money_sum(value: Column) -> Column:
     return F.sum(value.cast(MONEY)).cast("double")
 
 
+def money_mean(value: Column) -> Column:
+    """Mean from an exact sum: means of whole cents often lie exactly between two cents."""
+    return money_sum(value) / F.count(value)
+
+
 def clip_low(value: Column, low: float) -> Column:
     """Raise to ``low`` but keep null, which ``greatest`` alone would not."""
     return F.when(value.isNotNull(), F.greatest(value, F.lit(low)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duebook import schema
 from duebook.functions import probability as P
-from duebook.functions.numbers import MONEY, money_sum, round_even
+from duebook.functions.numbers import MONEY, money_mean, money_sum, round_even
 
 WEEKS = schema.FORECAST_WEEKS
 
@@ -77,14 +77,11 @@ def forecast_vs_actual(forecast: DataFrame, actual: DataFrame, keys: list[str])
 
 
 def forecast_metrics(comparison: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """MAE, MAPE without weeks of zero actual cash, totals and their difference.
-
-    Errors are whole cents, so their mean often lies exactly between two cents: the sum has to be exact.
-    """
+    """MAE, MAPE without weeks of zero actual cash, totals and their difference."""
     keys = keys or []
     ratio = F.when(F.col("actual_cash") > 0, F.col("abs_error") / F.col("actual_cash"))
     return (comparison.groupBy(*keys)
-            .agg((money_sum(F.col("abs_error")) / F.count("abs_error")).alias("mae"), F.avg(ratio).alias("mape"),
+            .agg(money_mean(F.col("abs_error")).alias("mae"), F.avg(ratio).alias("mape"),
                  money_sum(F.col("actual_cash")).alias("a"), money_sum(F.col("forecast_cash")).alias("f"))
             .select(*keys, round_even(F.col("mae"), 2).alias("forecast_mae_weekly"),
                     round_even(F.col("mape"), 2).alias("forecast_mape_weekly"),
@@ -152,11 +149,11 @@ def forecast_holdout(scored: DataFrame, by: list[str] | None = None, probabiliti
     per_date = forecast_per_reference_date(scored, [*by, "reference_date"], probabilities, temperature, extra)
     rolled = [(F.sum(F.col(f"_{name}").getField("s")) / F.sum(F.col(f"_{name}").getField("n"))).alias(name) for name in means or {}]
     return per_date.groupBy(*by).agg(
-        F.avg("forecast_mae_weekly").alias("forecast_mae_weekly"),
-        F.avg("forecast_mape_weekly").alias("forecast_mape_weekly"),
-        F.avg("total_actual_cf").alias("forecast_total_actual_cf"),
-        F.avg("total_forecast_cf").alias("forecast_total_forecast_cf"),
-        F.avg("total_cf_difference").alias("forecast_total_cf_difference"),
+        money_mean(F.col("forecast_mae_weekly")).alias("forecast_mae_weekly"),
+        money_mean(F.col("forecast_mape_weekly")).alias("forecast_mape_weekly"),
+        money_mean(F.col("total_actual_cf")).alias("forecast_total_actual_cf"),
+        money_mean(F.col("total_forecast_cf")).alias("forecast_total_forecast_cf"),
+        money_mean(F.col("total_cf_difference")).alias("forecast_total_cf_difference"),
         F.count(F.lit(1)).alias("reference_dates"), *rolled)
 
 
@@ -198,7 +195,7 @@ def forecast_kpis(weekly: DataFrame, keys: list[str] | None = None) -> DataFrame
     best = F.min_by("week_bucket", F.struct(-F.col("forecast_cash"), F.col("week_bucket")))
     return weekly.groupBy(*(keys or [])).agg(
         money_sum(F.col("forecast_cash")).alias("total_forecast"), best.alias("best_week"),
-        F.avg("forecast_cash").alias("mean_week"), F.min("forecast_cash").alias("lowest_week"))
+        money_mean(F.col("forecast_cash")).alias("mean_week"), F.min("forecast_cash").alias("lowest_week"))
 
 
 def forecast_table(weekly: DataFrame) -> DataFrame:

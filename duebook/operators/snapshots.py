@@ -33,9 +33,9 @@ def snapshot_open_invoices(invoices: DataFrame, stride_days: int = 7, horizon_we
     and last grid date for incremental runs; given both, the table is not read beforehand.
     """
     if anchor is None or until is None:
-        grid = snapshot_grid(invoices, anchor, horizon_weeks) or (date.max, date.min)
+        grid = snapshot_grid(invoices, anchor, horizon_weeks) or (None, None)
         anchor, until = grid[0], until or grid[1]
-    first, last = F.lit(anchor), F.lit(until)
+    first, last = F.lit(anchor).cast("date"), F.lit(until).cast("date")
 
     def steps(day: Column) -> Column:
         return F.datediff(day, first) / F.lit(float(stride_days))

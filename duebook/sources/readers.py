@@ -50,7 +50,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_playbook(spark: SparkSession, folder: str) -> DataFrame:
+def read_playbook(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """Whole Markdown files with the file name as ``source``."""
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    return (spark.read.text(folder, wholetext=True, pathGlobFilter=pattern)
             .select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text")))
