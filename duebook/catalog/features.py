@@ -179,7 +179,7 @@ def _(spark, d):
   FROM inv CROSS JOIN (SELECT quantile_cont(total_open_amount, 0.33) AS q1, quantile_cont(total_open_amount, 0.66) AS q2 FROM inv)"""))
 def _(spark, d):
     inv = A.invoices(spark, d, only_paid=False)
-    return S.amount_features(inv, inv).select("doc_id", "invoice_size_cat_q")
+    return S.amount_features(inv, Q.amount_quantiles(inv).first()).select("doc_id", "invoice_size_cat_q")
 
 
 @query("customer_risk_score", sql("feat", f"""

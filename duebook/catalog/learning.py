@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from duebook import schema
 from duebook.catalog.base import plain, query, r, sql
 from duebook.catalog.features import paid
+from duebook.catalog.scores import METRICS
 from duebook.functions import probability as P
 from duebook.operators import cleaning as C
 from duebook.operators import metrics as M
@@ -70,13 +73,19 @@ def _(spark, d):
         *[F.avg(F.col("probabilities").getItem(c)).alias(f"p_{c + 1}") for c in range(schema.N_CLASSES)]))
 
 
-@query("assemble_features")
+def feature_sql(c: str) -> str:
+    filled = {"customer_avg_delay": "coalesce(customer_avg_delay, 0)", "days_since_last_invoice": "coalesce(days_since_last_invoice, -1)"}
+    return f"{r(filled.get(c, c))} + 0.0 AS {c}"
+
+
+@query("assemble_features", sql("feat", f"""
+  SELECT doc_id, CAST(reference_date AS VARCHAR) AS reference_date, {', '.join(feature_sql(c) for c in schema.MODEL_FEATURES)} FROM feat"""))
 def _(spark, d):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
     s = table(spark, d)
-    out = Pipeline(stages=ML.assemble_features()).fit(s).transform(s)
-    return plain(out.select("doc_id", "reference_date", F.transform(vector_to_array("features"), lambda x: F.round(x, 4)).alias("features")))
+    vector = vector_to_array("features")
+    out = Pipeline(stages=ML.assemble_features()).fit(s).transform(s).withColumn("v", vector)
+    flat = plain(out.select("doc_id", "reference_date", *[F.col("v").getItem(i).alias(c) for i, c in enumerate(schema.MODEL_FEATURES)]))
+    return flat.select("doc_id", "reference_date", *[(F.col(c) + F.lit(0.0)).alias(c) for c in schema.MODEL_FEATURES])
 
 
 @query("train_and_score")
@@ -92,7 +101,7 @@ def _(spark, d):
     """Raw invoices, open ones included, scored as of one date with the paid invoices as history."""
     train, _, _ = parts(spark, d)
     model = ML.train_classifier(train, ML.forest(**SMALL))
-    scored = scoring.score_batch(A.raw_invoices(spark, d), A.invoices(spark, d), model, A.as_of())
+    scored = scoring.score_batch(A.raw_invoices(spark, d), S.population_as_of(A.invoices(spark, d), A.as_of()), model)
     return plain(scored.select("doc_id", "total_open_amount", *P.spread(F.col("probabilities"))))
 
 
@@ -101,7 +110,7 @@ def _(spark, d):
     train, _, _ = parts(spark, d)
     model = ML.train_classifier(train, ML.forest(**SMALL))
     raw = A.raw_invoices(spark, d, with_name=True)
-    scored = materialise(scoring.score_batch(raw, A.invoices(spark, d), model, A.as_of(), carry=("name_customer",)), "scored")
+    scored = materialise(scoring.score_batch(raw, S.population_as_of(A.invoices(spark, d), A.as_of()), model, carry=("name_customer",)), "scored")
     weekly = scoring.forecast(scored).select(F.lit("forecast").alias("kind"), F.col("week_bucket").cast("bigint").alias("key"),
                                              F.col("forecast_cash").alias("amount"), F.lit(None).cast("string").alias("name"))
     queue = scoring.queue(scored, A.as_of()).select(F.lit("queue").alias("kind"), F.col("doc_id").alias("key"),
@@ -169,17 +178,30 @@ def _(spark, d):
     return spark.read.json(f"{root}/metrics/run={name}")
 
 
-@query("write_metrics")
+@query("write_metrics", sql("scored_snap", f"SELECT 'first' AS run, {METRICS} FROM scored_snap"))
 def _(spark, d):
     root = run_folder(spark, "metrics")
     W.write_metrics(M.model_metrics(A.scored(S.snapshot_open_invoices(A.invoices(spark, d)))), root, "first")
     return plain(spark.read.json(root))
 
 
-@query("data_summary")
+CUT = "quantile_cont(CAST(invoice_sent - DATE '1970-01-01' AS DOUBLE), 0.8)"
+
+
+@query("data_summary", sql("snap", f"""
+  SELECT part, week_bucket, count(*) AS rows, {len(schema.MODEL_FEATURES)} AS n_features FROM (
+    SELECT week_bucket, CASE WHEN CAST(reference_date - DATE '1970-01-01' AS DOUBLE) <= c THEN 'train' ELSE 'test' END AS part
+    FROM snap CROSS JOIN (SELECT {CUT} AS c FROM snap)) GROUP BY 1, 2"""))
 def _(spark, d):
+    """The JSON summary, read back into one row per part and class."""
     marked = SP.time_split(S.snapshot_open_invoices(A.invoices(spark, d)))
-    return M.data_summary(marked.where("part = 'train'"), marked.where("part = 'test'"), schema.MODEL_FEATURES)
+    text = M.data_summary(marked.where("part = 'train'"), marked.where("part = 'test'"), schema.MODEL_FEATURES)
+    part = "struct<rows:bigint,classes:map<string,bigint>>"
+    read = text.select(F.from_json("summary", f"train {part}, test {part}, n_features int").alias("s"))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col("s").getField(p).getField("classes").alias("classes")) for p in ("train", "test")]))
+    return (read.select(each.alias("e"), F.col("s.n_features").alias("n_features"))
+            .select("e.part", "n_features", F.explode("e.classes").alias("week_bucket", "rows"))
+            .withColumn("week_bucket", F.col("week_bucket").cast("int")))
 
 
 @query("save_and_load_model")
@@ -215,6 +237,19 @@ def _(spark, d):
 VIF = ["invoice_age_days", "pay_terms_days", "invoice_amount_log"]
 
 
-@query("vif")
+def vif_sql() -> str:
+    """Diagonal of the product matrix times the diagonal of its inverse, by cofactors."""
+    g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    det = f"({g(0, 0)} * ({g(1, 1)} * {g(2, 2)} - {g(1, 2)} * {g(1, 2)}) - {g(0, 1)} * ({g(0, 1)} * {g(2, 2)} - {g(1, 2)} * {g(0, 2)}) " \
+          f"+ {g(0, 2)} * ({g(0, 1)} * {g(1, 2)} - {g(1, 1)} * {g(0, 2)}))"
+    sums = ", ".join(f"sum(CAST({VIF[i]} AS DOUBLE) * {VIF[j]}) AS g{i}{j}" for i in range(3) for j in range(i, 3))
+    rows = []
+    for i in range(3):
+        j, k = [x for x in range(3) if x != i]
+        rows.append(f"SELECT '{VIF[i]}' AS feature, {r(f'{g(i, i)} * ({g(j, j)} * {g(k, k)} - {g(j, k)} * {g(j, k)}) / {det}', 4)} AS vif FROM g")
+    return f", g AS (SELECT {sums} FROM feat) " + " UNION ALL ".join(rows)
+
+
+@query("vif", sql("feat", vif_sql()))
 def _(spark, d):
-    return plain(spark.createDataFrame(ML.vif(S.build_snapshots(paid(spark, d)), VIF), "feature string, vif double"))
+    return plain(spark.createDataFrame(ML.vif(S.build_snapshots(paid(spark, d)), VIF), "feature string, vif double"), 4)

@@ -8,6 +8,7 @@ from duebook.catalog.base import dsum, plain, query, r, sql
 from duebook.catalog.learning import SMALL, parts
 from duebook.functions import probability as P
 from duebook.operators import models as ML
+from duebook.operators import snapshots as S
 from duebook.session import run_folder
 from duebook.sources import adapter as A
 from duebook.streaming import arrivals as X
@@ -36,8 +37,8 @@ def _(spark, d):
     news = every.where("invoice_paid is null").withColumn("total_open_amount", F.col("total_open_amount") + 1)
     news.repartition(3).write.parquet(path)
     source = X.landing(spark, path, news.schema, maxFilesPerTrigger=1)
-    X.stream_upsert_history(source, every, root, run_folder(spark, "checkpoint")).awaitTermination()
-    return plain(X.read_latest_version(spark, root).select("doc_id", "total_open_amount", "invoice_sent"))
+    X.stream_upsert_history(source, root, run_folder(spark, "checkpoint")).awaitTermination()
+    return plain(X.read_upserted_history(spark, every, root).select("doc_id", "total_open_amount", "invoice_sent"))
 
 
 @query("stream_score")
@@ -48,5 +49,6 @@ def _(spark, d):
     path, out = run_folder(spark, "uploads"), run_folder(spark, "scored")
     raw.repartition(2).write.parquet(path)
     source = X.landing(spark, path, raw.schema, maxFilesPerTrigger=1)
-    X.stream_score(source, A.invoices(spark, d), model, A.as_of(), out, run_folder(spark, "checkpoint")).awaitTermination()
+    population = S.population_as_of(A.invoices(spark, d), A.as_of())
+    X.stream_score(source, population, model, out, run_folder(spark, "checkpoint")).awaitTermination()
     return plain(X.read_scored(spark, out).select("doc_id", "total_open_amount", *P.spread(F.col("probabilities"))))

@@ -64,7 +64,7 @@ def attach_customer_name(queue: DataFrame, names: DataFrame) -> DataFrame:
 
 def attach_probabilities(invoices: DataFrame, scored: DataFrame) -> DataFrame:
     """Invoices that have probabilities, matched by ``doc_id``."""
-    return invoices.join(scored, "doc_id", "inner")
+    return salted_join(invoices, scored, ["doc_id"], "inner")
 
 
 def add_missing_columns(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -75,18 +75,15 @@ def add_missing_columns(left: DataFrame, right: DataFrame, key: str = "doc_id")
     first = right.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in extra])).alias("_extra"))
     kept = [F.col(f"`{c}`") for c in left.columns]
     added = [F.col("_extra").getField(c).alias(c) for c in extra]
-    return left.join(first, key, "left").select(*kept, *added)
+    return salted_join(left, first, [key]).select(*kept, *added)
 
 
 def fx_lookup_join(invoices: DataFrame, rates: DataFrame) -> DataFrame:
-    """Rate of the business year next to each invoice; CAD amounts in USD, null where no rate is known.
-
-    ``rates`` has one row per calendar year, which bounds what is broadcast.
-    """
+    """Rate of the business year next to each invoice; CAD amounts in USD, null where no rate is known."""
     per_year = rates.groupBy("business_year").agg(F.max("cad_usd_rate").alias("cad_usd_rate"))
     is_cad = F.col("invoice_currency") == "CAD"
     amount_usd = F.when(is_cad, F.col("invoice_amount") * F.col("cad_usd_rate")).otherwise(F.col("invoice_amount"))
-    return (invoices.join(F.broadcast(per_year), "business_year", "left")
+    return (salted_join(invoices, per_year, ["business_year"])
             .withColumn("amount_usd", amount_usd)
             .withColumn("amount_usd_log", F.log1p(F.when(F.col("amount_usd").isNotNull(),
                                                          F.greatest(F.col("amount_usd"), F.lit(0.0))))))
@@ -104,7 +101,7 @@ def enrich_request(requests: DataFrame, history: DataFrame, fields: list[str]) -
     wanted = [c for c in fields if c != "doc_id" and c in history.columns]
     known = (history.groupBy("doc_id")
              .agg(F.min(F.struct(*wanted)).alias("_known")))
-    joined = requests.join(known, "doc_id", "inner")
+    joined = salted_join(requests, known, ["doc_id"], "inner")
     filled = []
     for c in wanted:
         stored = F.col("_known").getField(c)
@@ -115,4 +112,4 @@ def enrich_request(requests: DataFrame, history: DataFrame, fields: list[str]) -
 
 def unknown_requests(requests: DataFrame, history: DataFrame) -> DataFrame:
     """Requests whose invoice the history does not have."""
-    return requests.join(history.select("doc_id"), "doc_id", "left_anti")
+    return salted_join(requests, history.select("doc_id"), ["doc_id"], "left_anti")

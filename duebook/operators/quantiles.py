@@ -22,7 +22,7 @@ class Quantile:
     probability: float
 
 
-def quantile_rows(df: DataFrame, wanted: list[Quantile], accuracy: int = 20_000) -> DataFrame:
+def quantile_rows(df: DataFrame, wanted: list[Quantile], accuracy: int = 50_000) -> DataFrame:
     """One row (name, quantile) per wanted quantile, linear interpolation, nulls skipped.
 
     The sketch is off by at most rows/accuracy ranks; the bracket leaves three times that on both sides.
@@ -61,7 +61,7 @@ def quantile_rows(df: DataFrame, wanted: list[Quantile], accuracy: int = 20_000)
     return picked.select(F.element_at(names, F.col("i") + 1).alias("name"), checked.alias("quantile"))
 
 
-def exact_quantiles(df: DataFrame, wanted: list[Quantile], accuracy: int = 20_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, wanted: list[Quantile], accuracy: int = 50_000) -> DataFrame:
     """All wanted quantiles as one row with a column per name; null where a column has no value."""
     rows = quantile_rows(df, wanted, accuracy)
     return rows.agg(*[F.max(F.when(F.col("name") == q.name, F.col("quantile"))).alias(q.name) for q in wanted])

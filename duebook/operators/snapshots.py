@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from duebook.functions import invoice as I
-from duebook.operators.history import asof_customer_history
+from duebook.operators.history import asof_customer_history, customer_stats
 from duebook.operators.joins import salted_join
 from duebook.operators.quantiles import amount_quantiles
 
@@ -73,8 +74,12 @@ def timing_features(df: DataFrame) -> DataFrame:
 
 
 def attach_history(snapshots: DataFrame, history: DataFrame) -> DataFrame:
-    """Left join of the as-of history by customer and date, with the features made from it."""
-    joined = salted_join(snapshots, history, ["cust_number", "reference_date"])
+    """Left join of the as-of history by customer and date, with the features made from it.
+
+    A history without dates belongs to one date and is joined by customer.
+    """
+    keys = [c for c in ("cust_number", "reference_date") if c in history.columns]
+    joined = salted_join(snapshots, history, keys)
     return (joined
             .withColumn("prev_transaction_count", F.coalesce("prev_transaction_count", F.lit(0).cast("bigint")))
             .withColumn("customer_risk_score",
@@ -83,10 +88,9 @@ def attach_history(snapshots: DataFrame, history: DataFrame) -> DataFrame:
             .drop("last_invoice_date"))
 
 
-def amount_features(df: DataFrame, population: DataFrame) -> DataFrame:
-    """Log amount and size classes; the quantile classes use the amounts of ``population``."""
+def amount_features(df: DataFrame, edges: Row) -> DataFrame:
+    """Log amount and size classes; ``edges`` are the amount quantiles of the population."""
     amount = F.col("total_open_amount")
-    edges = amount_quantiles(population).first()
     low, high = (F.lit(edges[name]).cast("double") for name in ("q1", "q2"))
     return (df.withColumn("invoice_amount", amount)
             .withColumn("invoice_amount_log", I.amount_log(amount))
@@ -99,7 +103,8 @@ def engineer_features(dated: DataFrame, population: DataFrame) -> DataFrame:
     """All features of invoices at their ``reference_date``; history and quantiles come from ``population``."""
     probes = dated.select("cust_number", "reference_date")
     history = asof_customer_history(population, probes)
-    return dated.transform(timing_features).transform(attach_history, history).transform(amount_features, population)
+    edges = amount_quantiles(population).first()
+    return dated.transform(timing_features).transform(attach_history, history).transform(amount_features, edges)
 
 
 def build_snapshots(invoices: DataFrame, **options) -> DataFrame:
@@ -107,6 +112,22 @@ def build_snapshots(invoices: DataFrame, **options) -> DataFrame:
     return engineer_features(snapshot_open_invoices(invoices, **options), invoices)
 
 
-def features_as_of(invoices: DataFrame, population: DataFrame, as_of: Column) -> DataFrame:
+@dataclass(frozen=True)
+class Population:
+    """What scoring needs to know about the invoice history at one date."""
+
+    as_of: Column
+    customers: DataFrame
+    edges: Row
+
+
+def population_as_of(invoices: DataFrame, as_of: Column) -> Population:
+    """History of all customers at one date, a single grouped pass, and the amount quantiles."""
+    return Population(as_of, customer_stats(invoices, as_of), amount_quantiles(invoices).first())
+
+
+def features_as_of(invoices: DataFrame, population: Population) -> DataFrame:
     """Features of every invoice at one date, the form used for scoring and for the history table."""
-    return engineer_features(invoices.withColumn("reference_date", as_of), population)
+    dated = invoices.withColumn("reference_date", population.as_of)
+    return (dated.transform(timing_features).transform(attach_history, population.customers)
+            .transform(amount_features, population.edges))

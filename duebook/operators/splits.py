@@ -11,9 +11,8 @@ from duebook.operators.quantiles import date_quantile, date_quantiles, distinct_
 
 def time_split(snapshots: DataFrame, probability: float = 0.8, column: str = "invoice_sent") -> DataFrame:
     """Mark each row 'train' or 'test' by its reference date against a row-weighted date quantile."""
-    cutoff = F.lit(date_quantile(snapshots, column, probability).first()["cutoff"])
-    at = F.col("reference_date").cast("timestamp")
-    return snapshots.withColumn("part", F.when(at <= cutoff, "train").otherwise("test"))
+    cutoff = F.to_date(F.lit(date_quantile(snapshots, column, probability).first()["cutoff"]))
+    return snapshots.withColumn("part", F.when(F.col("reference_date") <= cutoff, "train").otherwise("test"))
 
 
 def train_valid_test(snapshots: DataFrame, column: str = "reference_date") -> DataFrame:
@@ -22,9 +21,9 @@ def train_valid_test(snapshots: DataFrame, column: str = "reference_date") -> Da
     Training rows have fold -1 and never validate, validation rows fold 0; test rows have none.
     """
     cuts = date_quantiles(snapshots, column, {"q60": 0.6, "q80": 0.8}).first()
-    at = F.col("reference_date").cast("timestamp")
-    part = (F.when(at <= F.lit(cuts["q60"]), "train")
-            .when(at <= F.lit(cuts["q80"]), "valid").otherwise("test"))
+    at = F.col("reference_date")
+    part = (F.when(at <= F.to_date(F.lit(cuts["q60"])), "train")
+            .when(at <= F.to_date(F.lit(cuts["q80"])), "valid").otherwise("test"))
     fold = F.when(F.col("part") == "train", -1).when(F.col("part") == "valid", 0)
     return snapshots.withColumn("part", part).withColumn("fold", fold.cast("int"))
 
@@ -36,9 +35,12 @@ def backtest_folds(snapshots: DataFrame,
 
 
 def in_fold(cutoff: Column, weeks: int = 6) -> tuple[Column, Column]:
-    """Conditions for the training part and the test part of a cutoff."""
-    at = F.col("reference_date").cast("timestamp")
-    return at <= cutoff, (at > cutoff) & (at <= cutoff + F.expr(f"interval {7 * weeks} days"))
+    """Conditions for the training part and the test part of a cutoff.
+
+    Reference dates have no time of day, so the cutoff's date decides, and the plain date comparison reaches the scan.
+    """
+    at, day = F.col("reference_date"), F.to_date(cutoff)
+    return at <= day, (at > day) & (at <= F.date_add(day, 7 * weeks))
 
 
 def backtest_windows(snapshots: DataFrame, weeks: int = 6,

@@ -51,6 +51,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_playbook(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
-    """Whole Markdown files with the file name as ``source``."""
+    """Whole Markdown files with the file name as ``source`` and their path."""
     return (spark.read.text(folder, wholetext=True, pathGlobFilter=pattern)
-            .select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text")))
+            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("source"),
+                    F.col("value").alias("text")))

@@ -12,7 +12,7 @@ from duebook.operators.cleaning import keep_one
 from duebook.operators.history import upsert_history
 from duebook.operators.joins import add_missing_columns
 from duebook.operators.queue import prediction_records
-from duebook.operators.snapshots import features_as_of
+from duebook.operators.snapshots import features_as_of, population_as_of
 from duebook.sources.readers import table_exists
 
 
@@ -22,7 +22,7 @@ def write_clean(df: DataFrame, path: str) -> None:
 
 def history_table(clean: DataFrame, raw: DataFrame, as_of: Column) -> DataFrame:
     """Features at one date, one row per ``doc_id``, with the columns only the raw table has."""
-    featured = features_as_of(clean, clean, as_of).drop("reference_date")
+    featured = features_as_of(clean, population_as_of(clean, as_of)).drop("reference_date")
     order = [F.col(c) for c in ("invoice_sent", "invoice_paid", "total_open_amount", "cust_number")]
     one_each = keep_one(featured, "doc_id", order)
     return add_missing_columns(one_each, raw.withColumn("doc_id", F.col("doc_id").cast("bigint")))

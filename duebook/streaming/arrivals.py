@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import date
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from duebook.operators.cleaning import clean_invoices, impute_history, keep_one
-from duebook.operators.history import upsert_history
-from duebook.operators.models import score
-from duebook.operators.snapshots import features_as_of
-from duebook.sources.readers import table_exists
+from duebook.operators.cleaning import keep_one
+from duebook.operators.history import union_history
+from duebook.operators.snapshots import Population
+from duebook.plans.scoring import score_batch
+from duebook.session import materialise
 
 
 def landing(spark: SparkSession, path: str, table: T.StructType, fmt: str = "parquet", **options) -> DataFrame:
@@ -22,17 +25,17 @@ def landing(spark: SparkSession, path: str, table: T.StructType, fmt: str = "par
     return reader.load(path)
 
 
-def stream_score(source: DataFrame, history: DataFrame, model: PipelineModel, as_of: Column, out: str,
-                 checkpoint: str) -> StreamingQuery:
+def stream_score(source: DataFrame, population: Population, model: PipelineModel, out: str, checkpoint: str) -> StreamingQuery:
     """Clean, feature and score every arriving batch of raw invoices.
 
-    Each micro-batch goes through the batch code, so a stream gives what a batch over its files gives. Its
-    result has its own folder named after the batch; a repeated batch overwrites that folder.
+    Each micro-batch goes through the batch code, so a stream gives what a batch over its files gives. The
+    customers' history is written once, so a batch only joins it. The result of a batch has its own folder;
+    a repeated batch overwrites that folder.
     """
+    known = replace(population, customers=materialise(population.customers, "customers"))
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        clean = clean_invoices(batch, only_paid=False)
-        featured = impute_history(features_as_of(clean, history, as_of))
-        score(model, featured).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        score_batch(batch, known, model).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -44,30 +47,26 @@ def read_scored(spark: SparkSession, out: str) -> DataFrame:
     return keep_one(every, "doc_id", [-F.col("batch"), F.col("total_open_amount")]).drop("batch")
 
 
-def stream_upsert_history(source: DataFrame, initial: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Merge arriving rows into the history, the last row of each ``doc_id`` winning.
+def stream_upsert_history(source: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Add arriving rows to the history, one folder per batch.
 
-    Every batch writes a new version next to the one it read, so a failed or repeated batch starts from the
-    same input and readers always see a complete table.
+    A batch writes its own rows only, whatever the size of the history; a repeated batch overwrites its folder.
     """
-    spark = source.sparkSession
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        previous = f"{root}/version={batch_id - 1:012d}"
-        history = spark.read.parquet(previous) if table_exists(spark, previous) else initial
-        upsert_history(history, batch).write.mode("overwrite").parquet(f"{root}/version={batch_id:012d}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
-    return (source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def read_latest_version(spark: SparkSession, root: str) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(folder)
-                      if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    return spark.read.parquet(f"{root}/{versions[-1]}")
+def read_upserted_history(spark: SparkSession, initial: DataFrame, root: str) -> DataFrame:
+    """The history with all arrivals merged in: the last row of each ``doc_id`` wins.
+
+    Writing this table and starting a new ``root`` from it keeps the number of batches to merge small.
+    """
+    merged = union_history(initial.withColumn("batch", F.lit(-1)), spark.read.parquet(root))
+    rest = [F.col(f"`{c}`") for c in merged.columns if c not in ("batch", "doc_id")]
+    return keep_one(merged, "doc_id", [-F.col("batch"), *rest]).drop("batch")
 
 
 def weekly_cash(payments: DataFrame, reference_date: str, late_by: str = "7 days") -> DataFrame:
@@ -75,9 +74,7 @@ def weekly_cash(payments: DataFrame, reference_date: str, late_by: str = "7 days
 
     Windows start at the reference date; payments later than the watermark are dropped, as any closed week is.
     """
-    epoch_week = F.lit("1970-01-01").cast("date")
-    offset = payments.sparkSession.range(1).select(
-        F.pmod(F.datediff(F.lit(reference_date).cast("date"), epoch_week), F.lit(7)).alias("d")).first()["d"]
+    offset = (date.fromisoformat(reference_date) - date(1970, 1, 1)).days % 7
     week = F.window("paid_ts", "7 days", "7 days", f"{offset} days")
     return (payments.withWatermark("paid_ts", late_by).groupBy(week.alias("week"))
             .agg(F.sum(F.col("total_open_amount").cast("decimal(28,6)")).alias("cash"))

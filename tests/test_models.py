@@ -137,7 +137,7 @@ def test_training_and_scoring_jobs(spark, folder):
     name = training.save_run(run, root)
     assert {"log_loss", "forecast_mae_weekly"} <= set(spark.read.json(f"{root}/metrics/run={name}").columns)
     model = W.load_latest_model(spark, f"{root}/models")
-    scored = scoring.score_batch(raw, A.invoices(spark, folder), model, A.as_of(), carry=("name_customer",))
+    scored = scoring.score_batch(raw, S.population_as_of(A.invoices(spark, folder), A.as_of()), model, carry=("name_customer",))
     assert scored.count() == raw.count()
     assert [r["week_bucket"] for r in scoring.forecast(scored).orderBy("week_bucket").collect()] == [1, 2, 3, 4, 5, 6]
     queue = scoring.queue(scored, A.as_of()).collect()

@@ -75,6 +75,8 @@ def test_read_playbook(spark, tmp_path):
     (tmp_path / "c.txt").write_text("no", encoding="utf-8")
     rows = {r["source"]: r["text"] for r in RD.read_playbook(spark, str(tmp_path)).collect()}
     assert rows == {"a.md": "# A\nä", "b.md": "# B\ntext"}
+    twin = RD.read_playbook(spark, str(tmp_path)).withColumn("source", F.lit("same"))
+    assert RT.chunk_by_headers(twin, key="path").count() == 2
     summary = RT.chunk_summary(RT.chunk_by_headers(RD.read_playbook(spark, str(tmp_path)))).orderBy("source").collect()
     assert [(r["source"], r["chunk"], r["h2"], r["chars"]) for r in summary] == [("a.md", 1, "-", 5), ("b.md", 1, "-", 8)]
 

@@ -108,9 +108,10 @@ def test_history_boundaries(spark):
 def test_customer_without_history(spark):
     inv = some(spark)
     asked = invoices(spark, [(1, "new", 5, 9, None, 10.0)])
-    row = S.features_as_of(asked, inv, F.lit(day(50))).first()
+    population = S.population_as_of(inv, F.lit(day(50)))
+    row = S.features_as_of(asked, population).first()
     assert row["customer_avg_delay"] is None and row["prev_transaction_count"] == 0 and row["customer_risk_score"] == 0
-    filled = C.impute_history(S.features_as_of(asked, inv, F.lit(day(50)))).first()
+    filled = C.impute_history(S.features_as_of(asked, population)).first()
     assert (filled["customer_avg_delay"], filled["late_payment_ratio"], filled["days_since_last_invoice"]) == (0, 0, -1)
 
 

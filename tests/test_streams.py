@@ -51,14 +51,14 @@ def test_upsert_stream_equals_batch(spark, folder):
     news.repartition(3).write.parquet(path)
 
     def drain():
-        X.stream_upsert_history(X.landing(spark, path, news.schema, maxFilesPerTrigger=1), every, root, checkpoint).awaitTermination()
+        X.stream_upsert_history(X.landing(spark, path, news.schema, maxFilesPerTrigger=1), root, checkpoint).awaitTermination()
 
     drain()
-    got = X.read_latest_version(spark, root)
+    got = X.read_upserted_history(spark, every, root)
     want = H.upsert_history(every, news)
     assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == want.count()
     drain()
-    assert X.read_latest_version(spark, root).count() == want.count()
+    assert X.read_upserted_history(spark, every, root).count() == want.count()
 
 
 def test_score_stream_equals_batch(spark, folder):
@@ -67,8 +67,9 @@ def test_score_stream_equals_batch(spark, folder):
     raw = A.raw_invoices(spark, folder)
     path, out, checkpoint = (run_folder(spark, n) for n in ("raw", "scored", "checkpoint"))
     raw.coalesce(1).write.parquet(path)
-    X.stream_score(X.landing(spark, path, raw.schema), paid, model, A.as_of(), out, checkpoint).awaitTermination()
+    population = S.population_as_of(paid, A.as_of())
+    X.stream_score(X.landing(spark, path, raw.schema), population, model, out, checkpoint).awaitTermination()
     columns = ["doc_id", "total_open_amount", "probabilities"]
     got = X.read_scored(spark, out).select(*columns)
-    want = scoring.score_batch(raw, paid, model, A.as_of()).select(*columns)
+    want = scoring.score_batch(raw, population, model).select(*columns)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
