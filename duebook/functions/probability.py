@@ -82,7 +82,7 @@ def spread(p: Column, prefix: str = "p_") -> list[Column]:
 
 def in_top_k(p: Column, label: Column, k: int) -> Column:
     """True when fewer than ``k`` classes rank before the true one (ties: the higher class first)."""
-    truth = p.getItem(label)
+    truth = p[label]
     before = [((x > truth) | ((x == truth) & (F.lit(c) > label))).cast("int") for c, x in enumerate(entries(p))]
     return added(before) < k
 

@@ -14,7 +14,7 @@ CLASSES = list(range(schema.N_CLASSES))
 
 def log_loss_term(p: Column, label: Column) -> Column:
     """-ln of the true class's probability, clipped away from 0 and 1."""
-    return -F.log(F.least(F.greatest(p.getItem(label), F.lit(EPS)), F.lit(1.0 - EPS)))
+    return -F.log(F.least(F.greatest(p[label], F.lit(EPS)), F.lit(1.0 - EPS)))
 
 
 def metric_terms(label: str = "week_bucket", probabilities: str = "probabilities") -> dict[str, Column]:

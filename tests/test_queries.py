@@ -1,4 +1,7 @@
-"""Every query with SQL against that SQL on the smallest tables; the others for rows and a stable schema."""
+"""Every query with SQL against that SQL on the smallest tables; the others for rows.
+
+Queries named SLOW fit several models; their operators are tested in test_models, test_streams and test_scripts.
+"""
 
 import re
 
@@ -9,7 +12,8 @@ from check import rows
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 SLOW = {"compare_models", "random_search", "random_search_by_mape", "grid_search", "recursive_elimination", "train",
-        "walk_forward_cash_backtest", "score_forecast_and_queue", "save_and_load_model", "stream_score"}
+        "walk_forward_backtest", "walk_forward_cash_backtest", "score_forecast_and_queue", "save_and_load_model",
+        "stream_score", "calibrate_sigmoid", "score_batch", "permutation_importance", "prepare_prompts"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
