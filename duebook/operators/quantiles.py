@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SKETCH_TASKS = 2000
+
+
 @dataclass(frozen=True)
 class Quantile:
     """One wanted quantile: a name, the column expression and the probability."""
@@ -22,7 +25,7 @@ class Quantile:
     probability: float
 
 
-def quantile_rows(df: DataFrame, wanted: list[Quantile], accuracy: int = 50_000) -> DataFrame:
+def quantile_rows(df: DataFrame, wanted: list[Quantile], accuracy: int = 10_000) -> DataFrame:
     """One row (name, quantile) per wanted quantile, linear interpolation, nulls skipped.
 
     The sketch is off by at most rows/accuracy ranks; the bracket leaves three times that on both sides.
@@ -39,7 +42,8 @@ def quantile_rows(df: DataFrame, wanted: list[Quantile], accuracy: int = 50_000)
         high = F.when(few | (F.lit(edges[1]) >= 1), F.max(value)).otherwise(bracket.getItem(1))
         rank = F.lit(q.probability) * (F.count(value) - 1)
         sketches.append(F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"), rank.alias("rank")))
-    plan = df.agg(F.array(*sketches).alias("plan")).scalar()
+    # Every task sends a sketch to one reducer, so their number is limited; reading is not reshuffled by that.
+    plan = df.coalesce(SKETCH_TASKS).agg(F.array(*sketches).alias("plan")).scalar()
 
     # One entry per row and wanted quantile: the value inside its bracket, null below it, nothing above.
     values = F.array(*[q.value.cast("double") for q in wanted])
@@ -61,7 +65,7 @@ def quantile_rows(df: DataFrame, wanted: list[Quantile], accuracy: int = 50_000)
     return picked.select(F.element_at(names, F.col("i") + 1).alias("name"), checked.alias("quantile"))
 
 
-def exact_quantiles(df: DataFrame, wanted: list[Quantile], accuracy: int = 50_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, wanted: list[Quantile], accuracy: int = 10_000) -> DataFrame:
     """All wanted quantiles as one row with a column per name; null where a column has no value."""
     rows = quantile_rows(df, wanted, accuracy)
     return rows.agg(*[F.max(F.when(F.col("name") == q.name, F.col("quantile"))).alias(q.name) for q in wanted])
