@@ -9,9 +9,14 @@ from duebook import schema
 from duebook.operators.quantiles import date_quantile, date_quantiles, distinct_date_percentiles
 
 
+def utc_day(cutoff: Column) -> Column:
+    """The UTC calendar day of a cutoff, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(cutoff) / F.lit(86_400_000_000)).cast("int"))
+
+
 def time_split(snapshots: DataFrame, probability: float = 0.8, column: str = "invoice_sent") -> DataFrame:
     """Mark each row 'train' or 'test' by its reference date against a row-weighted date quantile."""
-    cutoff = F.to_date(F.lit(date_quantile(snapshots, column, probability).first()["cutoff"]))
+    cutoff = utc_day(F.lit(date_quantile(snapshots, column, probability).first()["cutoff"]))
     return snapshots.withColumn("part", F.when(F.col("reference_date") <= cutoff, "train").otherwise("test"))
 
 
@@ -22,8 +27,8 @@ def train_valid_test(snapshots: DataFrame, column: str = "reference_date") -> Da
     """
     cuts = date_quantiles(snapshots, column, {"q60": 0.6, "q80": 0.8}).first()
     at = F.col("reference_date")
-    part = (F.when(at <= F.to_date(F.lit(cuts["q60"])), "train")
-            .when(at <= F.to_date(F.lit(cuts["q80"])), "valid").otherwise("test"))
+    part = (F.when(at <= utc_day(F.lit(cuts["q60"])), "train")
+            .when(at <= utc_day(F.lit(cuts["q80"])), "valid").otherwise("test"))
     fold = F.when(F.col("part") == "train", -1).when(F.col("part") == "valid", 0)
     return snapshots.withColumn("part", part).withColumn("fold", fold.cast("int"))
 
@@ -39,7 +44,7 @@ def in_fold(cutoff: Column, weeks: int = 6) -> tuple[Column, Column]:
 
     Reference dates have no time of day, so the cutoff's date decides, and the plain date comparison reaches the scan.
     """
-    at, day = F.col("reference_date"), F.to_date(cutoff)
+    at, day = F.col("reference_date"), utc_day(cutoff)
     return at <= day, (at > day) & (at <= F.date_add(day, 7 * weeks))
 
 

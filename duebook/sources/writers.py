@@ -23,8 +23,9 @@ def write_clean(df: DataFrame, path: str) -> None:
 def history_table(clean: DataFrame, raw: DataFrame, as_of: Column) -> DataFrame:
     """Features at one date, one row per ``doc_id``, with the columns only the raw table has."""
     featured = features_as_of(clean, population_as_of(clean, as_of)).drop("reference_date")
-    order = [F.col(c) for c in ("invoice_sent", "invoice_paid", "total_open_amount", "cust_number")]
-    one_each = keep_one(featured, "doc_id", order)
+    first = ["invoice_sent", "invoice_paid", "total_open_amount", "cust_number"]
+    rest = [c for c in featured.columns if c not in first]
+    one_each = keep_one(featured, "doc_id", [F.col(c) for c in first + rest])
     return add_missing_columns(one_each, raw.withColumn("doc_id", F.col("doc_id").cast("bigint")))
 
 

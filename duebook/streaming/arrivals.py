@@ -44,7 +44,8 @@ def stream_score(source: DataFrame, population: Population, model: PipelineModel
 def read_scored(spark: SparkSession, out: str) -> DataFrame:
     """The last score of every invoice."""
     every = spark.read.parquet(out)
-    return keep_one(every, "doc_id", [-F.col("batch"), F.col("total_open_amount")]).drop("batch")
+    rest = [F.col(f"`{c}`") for c in every.columns if c not in ("batch", "doc_id")]
+    return keep_one(every, "doc_id", [-F.col("batch"), *rest]).drop("batch")
 
 
 def stream_upsert_history(source: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
