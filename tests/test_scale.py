@@ -1,9 +1,13 @@
 """The parts written for large and skewed data, forced onto their large-data paths, and the shape of plans."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +103,17 @@ def test_knn_equals_brute_force(spark, pivots, block_rows, query_rows, by):
     assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == brute(q, s, 4, same)
 
 
+def test_task_functions_need_no_package(spark):
+    """Executors may lack the package: the functions sent to them must not refer to it."""
+    from pyspark import cloudpickle
+    from duebook.operators import retrieval
+    for function in (retrieval._nearest_in_block(3), retrieval._pivot_distances(np.zeros((2, 2))).func):
+        code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read()); print('duebook' in sys.modules)"
+        done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(function), capture_output=True, cwd="/",
+                              env={**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(pyspark.__file__))})
+        assert done.returncode == 0 and done.stdout.strip() == b"False", done.stderr
+
+
 def test_knn_without_store(spark):
     empty = spark.createDataFrame([], "id long, vector array<double>")
     queries = spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>")
