@@ -1,6 +1,7 @@
 """Every query with SQL against that SQL on the smallest tables; the others for rows.
 
-Queries named SLOW fit several models; their operators are tested in test_models, test_streams and test_scripts.
+Queries named SLOW fit several models. Most of their operators are tested in test_models, test_streams and test_scripts;
+compare_models, grid_search and random_search_by_mape as queries are run by tools/check.py only.
 """
 
 import re
