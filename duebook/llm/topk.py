@@ -13,10 +13,10 @@ from duebook.session import materialise
 
 #: Rows of a block of candidates and of queries: one pair of blocks is one unit of work.
 CANDIDATES, QUERIES = 4096, 1024
-#: Dimensions of one step of the search.
-STEP = 8
-#: Beyond this bound on a score the products are summed as Python integers; below it doubles are exact.
-EXACT = 2 ** 53
+#: Dimensions of one step of the search, and pairs that one product of survivors takes.
+STEP, PART = 8, 1 << 18
+#: Below these bounds on a score, sums in single and in double precision are exact.
+SINGLE, DOUBLE = 2 ** 24, 2 ** 53
 
 
 def quantised(vectors: DataFrame, scale: int = 64, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -32,48 +32,67 @@ def _matrix(scalar: pa.ListScalar) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(rows), -1 if len(rows.flatten()) else 0)
 
 
-def search(queries: np.ndarray, ids: np.ndarray, vertical: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> list[tuple]:
-    """Top k of one block for each query: ``(query place, ids, scores)``.
+def search(queries: np.ndarray, ids: np.ndarray, vertical: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple:
+    """Top k of one block of candidates for each query: ``(query places, ids, scores)``.
 
-    ``vertical`` holds one row per dimension. A query visits its dimensions by falling size, ``STEP`` at a time, and adds up the scores of the
-    candidates still alive. What the remaining dimensions can add is at most the product of the remaining norms; a candidate whose sum and
-    bound stay below the k-th best sure score is dropped and the columns are compacted. ``floor`` is a score that the query's k-th
-    best is known to reach.
+    ``vertical`` holds one row per dimension. The block's queries visit the dimensions in one order, those that weigh most with them first,
+    ``STEP`` at a time, and add up the scores of all candidates. What the dimensions still to come can add is at most the product of the
+    remaining norms. ``floor`` is a score that a query's k-th best is known to reach: a pair whose sum and bound stay below it is dropped. As soon as
+    few pairs survive they are compacted, and only they go on. Sums are exact: single or double precision where every sum fits, else integers.
     """
-    found = []
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(vertical).max(initial=0)) * max(len(vertical), 1) < EXACT
-    columns = vertical.astype(np.float64) if exact else vertical.astype(object)
-    squares = columns.astype(np.float64) ** 2
-    mass = squares.sum(0)
-    for at, q in enumerate(queries):
-        order = np.argsort(-np.abs(q), kind="stable")
-        alive = np.flatnonzero(ids != own[at])
-        score, rest = np.zeros(len(alive), dtype=columns.dtype), mass[alive].copy()
-        left = float((q.astype(np.float64) ** 2).sum())
-        for start in range(0, len(order), STEP):
-            dims = order[start:start + STEP]
-            part = columns[dims] if len(alive) == len(ids) else columns[np.ix_(dims, alive)]
-            score = score + q[dims].astype(columns.dtype) @ part
-            rest -= (squares[dims] if len(alive) == len(ids) else squares[np.ix_(dims, alive)]).sum(0)
-            left -= float((q[dims].astype(np.float64) ** 2).sum())
-            if start + STEP >= len(order):
-                break
-            bound = np.sqrt(np.maximum(rest, 0) * max(left, 0.0)) * (1 + 1e-9) + 1e-6
-            plain = score.astype(np.float64)
-            sure = floor[at]
-            if len(alive) > k:
-                sure = max(sure, np.partition(plain - bound, len(alive) - k)[len(alive) - k])
-            keep = np.flatnonzero(plain + bound >= sure - abs(sure) * 1e-12)
-            if len(keep) < len(alive):
-                alive, score, rest = alive[keep], score[keep], rest[keep]
-            if not len(alive):
-                break
-        if len(alive):
-            keep = np.flatnonzero(score.astype(np.float64) >= floor[at] - abs(floor[at]) * 1e-12)
-            alive, score = alive[keep], score[keep]
-            best = np.lexsort((ids[alive], -score))[:k] if exact else sorted(range(len(alive)), key=lambda i: (-score[i], ids[alive[i]]))[:k]
-            found.append((at, ids[alive[best]], [int(s) for s in score[best]]))
-    return found
+    dims = len(vertical)
+    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(vertical).max(initial=0)) * max(dims, 1)
+    if largest >= DOUBLE:
+        sums = queries.astype(object) @ vertical.astype(object) if dims else np.zeros((len(queries), len(ids)), dtype=object)
+        return _best([(q, c, sums[q, c]) for q in range(len(own)) for c in range(len(ids)) if ids[c] != own[q]], ids, k)
+    kind = np.float32 if largest < SINGLE else np.float64
+    order = np.argsort(-np.abs(queries).sum(0), kind="stable")
+    columns, asked = vertical[order].astype(kind), np.ascontiguousarray(queries[:, order].astype(kind))
+    rest, left = (columns.astype(np.float64) ** 2).sum(0), (asked.astype(np.float64) ** 2).sum(1)
+    least = floor.astype(kind) - kind(1) - np.abs(floor.astype(kind)) * kind(1e-6)
+    sums, at, pairs = np.zeros((len(own), len(ids)), dtype=kind), 0, None
+    sums[own[:, None] == ids[None, :]] = -np.inf
+    while at < dims and pairs is None:
+        some = slice(at, at + STEP)
+        sums += asked[:, some] @ columns[some]
+        rest -= (columns[some].astype(np.float64) ** 2).sum(0)
+        left -= (asked[:, some].astype(np.float64) ** 2).sum(1)
+        at += STEP
+        if at < dims and np.isfinite(floor).all() and 2 * at >= dims:
+            alive = sums + (np.sqrt(np.maximum(left, 0)) * 1.00001).astype(kind)[:, None] * np.sqrt(np.maximum(rest, 0)).astype(kind) >= least[:, None]
+            if 4 * np.count_nonzero(alive) < alive.size:
+                q, c = np.nonzero(alive)
+                pairs = q, c, sums[q, c]
+    if pairs is None:
+        if len(ids) > k:
+            kth = np.partition(sums, len(ids) - k, axis=1)[:, len(ids) - k]
+            least = np.maximum(np.where(np.isfinite(floor), floor, -np.inf), kth)
+        q, c = np.nonzero((sums >= least[:, None]) & np.isfinite(sums))
+        pairs = q, c, sums[q, c]
+    rows = np.ascontiguousarray(columns.T)
+    while at < dims:
+        some, (q, c, score) = slice(at, at + STEP), pairs
+        score = score + np.concatenate([np.einsum("ij,ij->i", asked[q[i:i + PART], some], rows[c[i:i + PART], some]) for i in range(0, len(q), PART)] or [score])
+        rest -= (columns[some].astype(np.float64) ** 2).sum(0)
+        left -= (asked[:, some].astype(np.float64) ** 2).sum(1)
+        at += STEP
+        bound = (np.sqrt(np.maximum(left, 0)) * 1.00001).astype(kind)[q] * np.sqrt(np.maximum(rest, 0)).astype(kind)[c] if at < dims else kind(0)
+        keep = np.flatnonzero(score + bound >= least[q])
+        pairs = q[keep], c[keep], score[keep]
+    q, c, score = pairs
+    order = np.lexsort((ids[c], -score, q))
+    q, c, score = q[order], c[order], score[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = place < k
+    return q[keep], ids[c[keep]], score[keep].astype(np.int64)
+
+
+def _best(pairs: list[tuple], ids: np.ndarray, k: int) -> tuple:
+    by: dict[int, list] = {}
+    for q, c, score in pairs:
+        by.setdefault(q, []).append((-score, int(ids[c])))
+    top = [(q, i, -score) for q, found in by.items() for score, i in sorted(found)[:k]]
+    return tuple(np.array([x[i] for x in top], dtype=np.int64) for i in range(3))
 
 
 def _pairs(k: int):
@@ -86,8 +105,8 @@ def _pairs(k: int):
                 q_ids, ids = (batch.column(c)[i].values.to_numpy() for c in ("q_ids", "ids"))
                 floors = np.array([-np.inf if x is None else x for x in batch.column("floors")[i].as_py()], dtype=np.float64)
                 queries, candidates = _matrix(batch.column("q")[i]), _matrix(batch.column("v")[i])
-                for at, found, scores in search(queries, ids, np.ascontiguousarray(candidates.T), q_ids, floors, k):
-                    yield pa.RecordBatch.from_pydict({"query_id": np.full(len(found), q_ids[at]), "vec_id": found, "score": scores}, schema=schema)
+                at, found, scores = search(queries, ids, np.ascontiguousarray(candidates.T), q_ids, floors, k)
+                yield pa.RecordBatch.from_pydict({"query_id": q_ids[at], "vec_id": found, "score": scores}, schema=schema)
     return run
 
 
