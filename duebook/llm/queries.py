@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from duebook.llm import mixing, topk, warc
+from duebook.llm import idfiles, mixing, tokens, topk, warc, winnowing
 from duebook.llm.common import table
 
 
+def op1_token_counts(spark, folder):
+    return tokens.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_fingerprints(spark, folder):
+    return winnowing.fingerprints(table(spark, folder, "documents"))
+
+
+def op5_token_id_files(spark, folder):
+    """What the files hold of every document."""
+    read = idfiles.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_mix_to_targets(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -28,5 +43,5 @@ def op9_warc_derivatives(spark, folder):
         header["Source-Links"].cast("long").alias("n_links"), F.decode("block", "UTF-8").alias("content"))
 
 
-QUERIES = {f.__name__: f for f in (op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_fingerprints, op5_token_id_files, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives)}
 SQL: dict[str, str] = {}
