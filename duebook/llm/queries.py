@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duebook.llm import idfiles, mixing, tokens, topk, warc, winnowing
-from duebook.llm.common import table
+from duebook.llm import idfiles, mixing, suffixes, tokens, topk, warc, winnowing
+from duebook.llm.common import table, whole_text
 
 
 def op1_token_counts(spark, folder):
@@ -23,6 +23,15 @@ def op5_token_id_files(spark, folder):
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_repeated_passages(spark, folder):
+    """Sizes and digests of what is left of every text."""
+    documents = table(spark, folder, "documents").select("doc_id", whole_text().alias("text"))
+    cut = suffixes.remove_repeats(documents, 400)
+    return cut.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
+                      (F.octet_length("text") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                      F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mix_to_targets(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -43,5 +52,5 @@ def op9_warc_derivatives(spark, folder):
         header["Source-Links"].cast("long").alias("n_links"), F.decode("block", "UTF-8").alias("content"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_fingerprints, op5_token_id_files, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_fingerprints, op5_token_id_files, op6_repeated_passages, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives)}
 SQL: dict[str, str] = {}
