@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duebook.llm import idfiles, mixing, suffixes, tokens, topk, warc, winnowing
+from duebook.llm import idfiles, jaccard, mixing, suffixes, tokens, topk, warc, winnowing
 from duebook.llm.common import table, whole_text
 
 
@@ -52,5 +52,10 @@ def op9_warc_derivatives(spark, folder):
         header["Source-Links"].cast("long").alias("n_links"), F.decode("block", "UTF-8").alias("content"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_fingerprints, op5_token_id_files, op6_repeated_passages, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives)}
+def op10_ngram_jaccard_join(spark, folder):
+    return jaccard.similarity_join(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_fingerprints, op5_token_id_files, op6_repeated_passages, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives,
+                                 op10_ngram_jaccard_join)}
 SQL: dict[str, str] = {}
