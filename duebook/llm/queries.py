@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duebook.llm import idfiles, jaccard, mixing, suffixes, tokens, topk, warc, winnowing
+from duebook.llm import bpe, idfiles, jaccard, mixing, suffixes, tokens, topk, warc, winnowing
 from duebook.llm.common import table, whole_text
 
 
@@ -13,6 +17,19 @@ def op1_token_counts(spark, folder):
     return tokens.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@F.pandas_udf("string")
+def _decimal_sha256(ids: pd.Series) -> pd.Series:
+    return ids.map(lambda x: hashlib.sha256(" ".join(map(str, np.frombuffer(x, dtype="<i4").tolist())).encode()).hexdigest())
+
+
+def op2_bpe_round_trip(spark, folder):
+    """Sizes and digests of ids and of the texts that they decode to."""
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    decoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), tokenizer), tokenizer)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), _decimal_sha256("ids").alias("ids_sha256"),
+                          F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op4_fingerprints(spark, folder):
     return winnowing.fingerprints(table(spark, folder, "documents"))
 
@@ -56,6 +73,6 @@ def op10_ngram_jaccard_join(spark, folder):
     return jaccard.similarity_join(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_fingerprints, op5_token_id_files, op6_repeated_passages, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op4_fingerprints, op5_token_id_files, op6_repeated_passages, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives,
                                  op10_ngram_jaccard_join)}
 SQL: dict[str, str] = {}
