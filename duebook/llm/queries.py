@@ -9,7 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from duebook.llm import bpe, idfiles, jaccard, mixing, suffixes, tokens, topk, warc, winnowing
+from duebook.llm import bpe, idfiles, jaccard, mixing, quality, suffixes, tokens, topk, warc, winnowing
 from duebook.llm.common import table, whole_text
 
 
@@ -30,6 +30,13 @@ def op2_bpe_round_trip(spark, folder):
                           F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op3_quality(spark, folder):
+    """Evidence, priors, score and decision of every document."""
+    documents = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    scored = quality.classify(documents, table(spark, folder, "labels"))
+    return scored.select("doc_id", "source", "lang", "quality_evidence", "quality_host", "quality_path", "quality_score", "quality_keep")
+
+
 def op4_fingerprints(spark, folder):
     return winnowing.fingerprints(table(spark, folder, "documents"))
 
@@ -73,6 +80,6 @@ def op10_ngram_jaccard_join(spark, folder):
     return jaccard.similarity_join(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op4_fingerprints, op5_token_id_files, op6_repeated_passages, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_quality, op4_fingerprints, op5_token_id_files, op6_repeated_passages, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives,
                                  op10_ngram_jaccard_join)}
 SQL: dict[str, str] = {}
