@@ -245,7 +245,10 @@ def _set_id(found: np.ndarray) -> int:
 
 
 def signatures(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, s1, n_shingles, signature``: identifier, size and MinHash values of the shingle set; null for texts without words."""
+    """``doc_id, text_key, s1, n_shingles, signature``: a hash of the text; identifier, size and MinHash values of its shingle set.
+
+    Identifier and values are null for texts without words.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             ids, sizes, values = [], [], []
@@ -254,10 +257,10 @@ def signatures(documents: DataFrame, words: int = WORDS) -> DataFrame:
                 ids.append(_set_id(found) if len(found) else None)
                 sizes.append(len(found))
                 values.append(signature(found).view(np.int32) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
-                                              pa.array(values, pa.list_(pa.int32()))], names=["doc_id", "s1", "n_shingles", "signature"])
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, s1 long, n_shingles long, signature array<int>")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
+                                              pa.array(values, pa.list_(pa.int32()))], names=["doc_id", "text_key", "s1", "n_shingles", "signature"])
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), whole_text().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, s1 long, n_shingles long, signature array<int>")
 
 
 def _elements(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -286,7 +289,7 @@ def _elements(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def similarity_join(documents: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, class_id, copy_id, n_links, n_shingles`` for every row.
+    """``doc_id, text_key, class_id, copy_id, n_links, n_shingles`` for every row.
 
     Two documents are linked if the Jaccard similarity of their sets of word shingles is ``threshold`` or more. ``n_links`` counts the other
     documents that a document is linked to, ``copy_id`` is the least ``doc_id`` of those with the same set, ``class_id`` the least of all that
@@ -320,7 +323,21 @@ def similarity_join(documents: DataFrame, words: int = WORDS, threshold: float =
     facts = copies.join(links, "s1", "left").join(joined.join(least, "label").select("s1", "class_id"), "s1", "left").select(
         "s1", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "s1", "n_shingles").join(facts, "s1", "left").select(
-        "doc_id", F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    return signed.select("doc_id", "text_key", "s1", "n_shingles").join(facts, "s1", "left").select(
+        "doc_id", "text_key", F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")
+
+
+def one_of_each(documents: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents without near duplicates: of all that links connect, the row of least ``doc_id`` stays, the least text hash deciding ties.
+
+    Rows equal in ``doc_id`` and text count as one. Texts without words and rows without any ``doc_id`` in their class stay.
+    """
+    found = similarity_join(documents, words, threshold)
+    kept = found.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key")).alias("best")).select("best.*")
+    kept = kept.where("doc_id IS NOT NULL").unionByName(found.where("class_id IS NULL").select("doc_id", "text_key").distinct())
+    kept = kept.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    rows = documents.withColumn("_text_key", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text_key"] == kept["_key"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")

@@ -77,7 +77,7 @@ def op9_warc_derivatives(spark, folder):
 
 
 def op10_ngram_jaccard_join(spark, folder):
-    return jaccard.similarity_join(table(spark, folder, "documents"))
+    return jaccard.similarity_join(table(spark, folder, "documents")).drop("text_key")
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_quality, op4_fingerprints, op5_token_id_files, op6_repeated_passages, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives,
