@@ -22,26 +22,37 @@ FILE_ROWS = 4096
 MAGIC, LEVEL = b"DBPL0001", 1
 
 
+def _turned(square: np.ndarray) -> np.ndarray:
+    """Each 64-bit integer as an 8 by 8 square of bits, mirrored at its diagonal: squares of 1, 2 and 4 bits change places."""
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        moved = (square ^ (square >> np.uint64(shift))) & np.uint64(mask)
+        square = square ^ moved ^ (moved << np.uint64(shift))
+    return square
+
+
 def shuffle_bits(ids: np.ndarray) -> list[bytes]:
-    """The bit planes of unsigned 32-bit ids, lowest first, up to the highest that is in use; 8 ids to a byte."""
-    top = int(ids.max(initial=0)).bit_length()
-    as_bytes = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8).reshape(-1, 4)
+    """The bit planes of unsigned 32-bit ids, lowest first, up to the highest that is in use; 8 ids to a byte, the first lowest."""
+    top, size = int(ids.max(initial=0)).bit_length(), -(-len(ids) // 8)
+    padded = np.zeros(8 * size, dtype="<u4")
+    padded[:len(ids)] = ids
+    as_bytes = padded.view(np.uint8).reshape(-1, 4)
     planes = []
     for byte in range(-(-top // 8)):
-        bits = np.unpackbits(np.ascontiguousarray(as_bytes[:, byte])[:, None], axis=1, bitorder="little")
-        planes += [np.packbits(np.ascontiguousarray(bits[:, bit]), bitorder="little").tobytes() for bit in range(min(8, top - 8 * byte))]
+        squares = _turned(np.ascontiguousarray(as_bytes[:, byte]).view("<u8"))
+        rows = np.ascontiguousarray(squares.view(np.uint8).reshape(-1, 8).T)
+        planes += [rows[bit].tobytes() for bit in range(min(8, top - 8 * byte))]
     return planes
 
 
 def join_bits(planes: list[bytes], size: int) -> np.ndarray:
     """The ids whose bit planes these are."""
-    out = np.zeros((size, 4), dtype=np.uint8)
+    out = np.zeros((-(-size // 8) * 8, 4), dtype=np.uint8)
     for byte in range(-(-len(planes) // 8)):
-        bits = np.zeros((size, 8), dtype=np.uint8)
+        rows = np.zeros((8, len(out) // 8), dtype=np.uint8)
         for bit, plane in enumerate(planes[8 * byte:8 * byte + 8]):
-            bits[:, bit] = np.unpackbits(np.frombuffer(plane, dtype=np.uint8), count=size, bitorder="little")
-        out[:, byte] = np.packbits(bits, axis=1, bitorder="little")[:, 0]
-    return out.reshape(-1).view("<u4")
+            rows[bit] = np.frombuffer(plane, dtype=np.uint8)
+        out[:, byte] = _turned(np.ascontiguousarray(rows.T).view("<u8").reshape(-1)).view(np.uint8)
+    return out.reshape(-1).view("<u4")[:size]
 
 
 class Writer:
@@ -173,7 +184,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                             out = []
                     if out:
                         yield pa.RecordBatch.from_pylist(out, schema=schema)
-    spread = files.select("file", "bytes", "start").repartition("file")
+    spread = files.select("file", "bytes", "start").repartition(max(1, files.count()), "file")
     return spread.mapInArrow(run, "doc_id long, start long, ids binary")
 
 

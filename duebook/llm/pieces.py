@@ -14,7 +14,7 @@ import unicodedata
 from functools import lru_cache
 
 #: Entries of a table's young half; a full one becomes the old half, from which what is asked for again moves to the young one.
-RUNS, PRETOKENS = 350_000, 200_000
+RUNS, PRETOKENS = 500_000, 250_000
 #: Longer runs are not kept.
 KEPT = 64
 
@@ -34,14 +34,17 @@ _MARK = "\0"
 
 
 class Halves(dict):
-    """A bounded table of two halves: the dict itself is the young one."""
+    """A bounded table of two halves: the dict itself is the young one, which ``dict.get`` reads."""
 
     def __init__(self, most: int):
         super().__init__()
         self.most, self.old = most, {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.old[key]
+    def revive(self, key: str) -> bytes | None:
+        """The value of a key that ``get`` did not find a moment ago, if any; it is young again."""
+        value = self.old.get(key)
+        if value is None:
+            return self.get(key)
         self[key] = value
         return value
 
@@ -154,35 +157,40 @@ class Pieces:
         return 1 if pretoken[:1] == _MARK else len(self.model.tokenize(pretoken))
 
     def _pretoken_ids(self, pretoken: str) -> bytes:
-        try:
-            return self._ids[pretoken]
-        except KeyError:
+        table = self._ids
+        ids = table.get(pretoken) or table.revive(pretoken)
+        if ids is None:
             got = [self.special[pretoken[1:]]] if pretoken[:1] == _MARK else [t.id for t in self.model.tokenize(pretoken)]
             ids = struct.pack(f"<{len(got)}i", *got)
             if len(pretoken) <= KEPT:
-                self._ids.keep(pretoken, ids)
-            return ids
+                table.keep(pretoken, ids)
+        return ids
 
     def _run_ids(self, run: str) -> bytes:
         if self.kind == "other":
             got = self.tokenizer.encode(run, add_special_tokens=False).ids
             return struct.pack(f"<{len(got)}i", *got)
-        return b"".join(map(self._pretoken_ids, self.pretokens(run)))
+        return b"".join([self._pretoken_ids(p) for p in self.pretokens(run)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
-        left, known = iter(self.runs(text)), self._runs
-        out = []
-        while True:  # known parts go the quick way, up to the next that is not known
+        parts, known = self.runs(text), self._runs
+        out = list(map(known.get, parts))
+        at = -1
+        while None in out:
             try:
-                out.extend(map(known.__getitem__, left))
-                return b"".join(out)
-            except KeyError as unknown:
-                run = unknown.args[0]
-            ids = self._run_ids(run)
-            if len(run) <= KEPT:
-                known.keep(run, ids)
-            out.append(ids)
+                while True:
+                    at = out.index(None, at + 1)
+                    run = parts[at]
+                    ids = known.revive(run)
+                    if ids is None:
+                        ids = self._run_ids(run)
+                        if len(run) <= KEPT:
+                            known.keep(run, ids)
+                    out[at] = ids
+            except ValueError:  # no further part that was not known
+                break
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
