@@ -83,14 +83,14 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = 3.0, tolerance:
 
 
 def _corrected(plan: DataFrame, most: float, part: int) -> DataFrame:
-    """Give or take copies in cells of sizes below a part of what a source is off, largest size first."""
+    """Give or take copies in cells of sizes up to a part of what a source is off, largest size first, as many as come nearest."""
     every, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy(F.desc("size"))
     off = F.round("target") - F.sum(F.col("copies") * F.col("size")).over(every)
     room = F.when(F.col("off") > 0, F.col("n") * F.lit(int(most)) - F.col("copies")).otherwise(F.col("copies"))
     usable = (F.col("size") > 0) & (F.col("size") * part <= F.abs("off"))
     eligible = plan.withColumn("off", off).withColumn("room", F.when(usable, F.greatest(room, F.lit(0))).otherwise(F.lit(0)))
     before = F.coalesce(F.sum(F.col("room") * F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    take = F.greatest(F.lit(0), F.least(F.col("room"), F.floor((F.abs("off") - before) / F.greatest(F.col("size"), F.lit(1)))))
+    take = F.greatest(F.lit(0), F.least(F.col("room"), F.floor((F.abs("off") - before) / F.greatest(F.col("size"), F.lit(1)) + 0.5)))
     return eligible.withColumn("copies", (F.col("copies") + F.signum("off") * take).cast("long")).drop("off", "room")
 
 
@@ -101,7 +101,7 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
     Size is the number of words; null text has none, and a document without words is taken once, which adds no words. A null source is a
     source of its own, last in order. Rates come from ``balance`` over cells of equal source and size, so a source with a third of
     all rows is one row per distinct size. Rounding: per source, sizes falling, the running sum of ideal copies is rounded, which keeps
-    the words within half of the largest document; three corrections then give or take copies of ever smaller documents. Inside a cell
+    the words within half of the largest document; three corrections then give or take copies of smaller documents. Inside a cell
     the copies go to documents in the order of a hash of ``doc_id``; cells of over ``CELL_ROWS`` rows are dealt over several
     tasks. Repeated rows are counted and taken one by one. An empty table gives an empty result.
     """
@@ -120,7 +120,7 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
     copies = F.col("upto") - F.coalesce(F.lag("upto").over(order), F.lit(0))
     plan = ideal.withColumn("copies", F.least(F.greatest(copies, F.lit(0)), F.col("n") * most)).drop("upto")
     plan = plan.withColumn("copies", F.when(F.col("size") == 0, F.col("n")).otherwise(F.col("copies")))
-    for part in (4, 4, 1):
+    for part in (4, 1, 1):
         plan = _corrected(plan, most, part)
     plan = materialise(plan.withColumn("deals", F.ceil(F.col("n") / CELL_ROWS)), "copies")
     place = F.xxhash64("doc_id", F.lit(7))
