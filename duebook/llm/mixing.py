@@ -12,7 +12,7 @@ from duebook.llm.common import WORD, whole_text
 from duebook.session import materialise
 
 #: Rows of one cell that one task numbers; larger cells are dealt over several.
-CELL_ROWS = 20_000
+CELL_ROWS = 1_000
 
 
 def _key(source: str) -> Column:
