@@ -17,6 +17,8 @@ CANDIDATES, QUERIES = 4096, 1024
 STEP, PART = 8, 1 << 18
 #: Below these bounds on a score, sums in single and in double precision are exact.
 SINGLE, DOUBLE = 2 ** 24, 2 ** 53
+#: Scores beyond this bound, the largest long, count as the bound.
+LAST = 2 ** 63 - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 64, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -90,7 +92,7 @@ def search(queries: np.ndarray, ids: np.ndarray, vertical: np.ndarray, own: np.n
 def _best(pairs: list[tuple], ids: np.ndarray, k: int) -> tuple:
     by: dict[int, list] = {}
     for q, c, score in pairs:
-        by.setdefault(q, []).append((-score, int(ids[c])))
+        by.setdefault(q, []).append((-max(-LAST, min(LAST, int(score))), int(ids[c])))
     top = [(q, i, -score) for q, found in by.items() for score, i in sorted(found)[:k]]
     return tuple(np.array([x[i] for x in top], dtype=np.int64) for i in range(3))
 
