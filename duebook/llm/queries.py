@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from duebook.llm import bpe, idfiles, jaccard, mixing, quality, suffixes, tokens, topk, warc, winnowing
 from duebook.llm.common import table, whole_text
@@ -17,7 +18,7 @@ def op1_token_counts(spark, folder):
     return tokens.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decimal_sha256(ids: pd.Series) -> pd.Series:
     return ids.map(lambda x: hashlib.sha256(" ".join(map(str, np.frombuffer(x, dtype="<i4").tolist())).encode()).hexdigest())
 
