@@ -20,8 +20,9 @@ def dedupe_rows(df: DataFrame) -> DataFrame:
 
 
 def drop_invalid_ids(df: DataFrame) -> DataFrame:
-    """Keep rows whose invoice id is a number."""
-    return df.where(F.col("invoice_id").try_cast("double").isNotNull())
+    """Keep rows whose invoice id is a number; the text NaN is none."""
+    number = F.col("invoice_id").try_cast("double")
+    return df.where(number.isNotNull() & ~F.isnan(number))
 
 
 def parse_dates(df: DataFrame) -> DataFrame:

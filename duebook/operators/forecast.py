@@ -40,8 +40,9 @@ def weekly_forecast_cash(scored: DataFrame, keys: list[str] | None = None) -> Da
 
 
 def payment_week(paid: Column, at: Column) -> Column:
-    """Week 1..7 of a payment seen from a date; earlier payments count as week 1."""
-    return F.least(F.greatest(F.floor(F.datediff(paid, at) / 7), F.lit(0)), F.lit(6)) + 1
+    """Week 1..7 of a payment seen from a date; earlier payments count as week 1, invoices not yet paid have none."""
+    week = F.floor(F.datediff(paid, at) / 7)
+    return F.when(week.isNotNull(), F.least(F.greatest(week, F.lit(0)), F.lit(6)) + 1)
 
 
 def _sum_in_week(week: Column, amount: Column) -> list[Column]:

@@ -121,17 +121,16 @@ def upsert_history(history: DataFrame, batch: DataFrame, features: DataFrame | N
                    batch_order: str | None = None) -> DataFrame:
     """Append a batch with its features and keep the last row of each ``doc_id``.
 
-    Rows of the batch replace rows of the history; within one side ``batch_order`` decides, by default
-    the whole row so that the outcome does not depend on file order.
+    Rows of the batch replace rows of the history; within the batch the row with the largest ``batch_order`` is the last, by
+    default the one read last.
     """
     from duebook.operators.cleaning import keep_one
     from duebook.operators.joins import add_missing_columns
 
+    batch = batch.withColumn("_seq", F.col(batch_order) if batch_order else F.monotonically_increasing_id())
     if features is not None:
         batch = add_missing_columns(batch, features)
     combined = union_history(history.withColumn("_side", F.lit(0)), batch.withColumn("_side", F.lit(1)))
-    order = [-F.col("_side")]
-    if batch_order:
-        order.append(-F.col(batch_order))
-    order += [F.col(f"`{c}`") for c in combined.columns if c not in ("_side", "doc_id")]
-    return keep_one(combined, "doc_id", order).drop("_side")
+    order = [-F.col("_side"), -F.col("_seq")]
+    order += [F.col(f"`{c}`") for c in combined.columns if c not in ("_side", "_seq", "doc_id")]
+    return keep_one(combined, "doc_id", order).drop("_side", "_seq")

@@ -2,59 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duebook.functions.dates import any_null
-
-HOT_KEYS = 1000
-NULL_FAN = 1024
 
+def hot_keys(left: DataFrame, on: list[str], rows_per_task: int) -> DataFrame:
+    """Every key with more than ``rows_per_task`` rows as ``_hot0, _hot1, ...`` and the tasks it is spread over, ``_fan``.
 
-def hot_keys(left: DataFrame, on: list[str], rows_per_task: int) -> list[Row]:
-    """The most frequent keys with more than ``rows_per_task`` rows and the tasks each should be spread over.
-
-    At most ``HOT_KEYS`` keys are returned; every other key holds less than a thousandth of the rows. Counting
-    combines on the map side, so a hot key costs its own counting nothing.
+    There are at most rows / ``rows_per_task`` of them. Counting combines on the map side, so a hot key costs its own counting nothing.
     """
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_task)
-    return (counts.orderBy(F.desc("_rows"), *on).limit(HOT_KEYS)
-            .select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_fan")).collect())
+    return counts.select(*[F.col(f"`{c}`").alias(f"_hot{i}") for i, c in enumerate(on)],
+                         F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_fan"))
+
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
-                rows_per_task: int = 1_000_000, large: int = 256 << 20) -> DataFrame:
-    """Join a large left side to a right side with few rows per key, splitting hot keys of the left side.
 
-    A left side estimated below ``large`` bytes cannot overload a task and is joined as it is. For a larger one the
-    frequent keys are counted first: without hot keys the join is an ordinary one, otherwise their rows are
-    spread over several salts and the matching right rows repeated per salt. The list of hot keys is limited,
-    so it may be broadcast whatever the size of the input. Null keys match nothing and are spread as well.
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows_per_task: int = 1_000_000) -> DataFrame:
+    """Join a left side to a right side with few rows per key, splitting hot keys of the left side.
+
+    Keys with more than ``rows_per_task`` rows on the left, null keys among them, are counted as part of the query; their rows are spread
+    over several salts and the matching right rows repeated per salt. The table of hot keys has one row for every
+    ``rows_per_task`` rows at most and is broadcast: 10**12 rows and the default make a million short rows.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"{how!r} would repeat right rows of salted keys")
-    if estimated_bytes(left) < large:
-        return left.join(right, on, how)
-    found = hot_keys(left, on, rows_per_task)
-    if not found:
-        return left.join(right, on, how)
-    types = T.StructType([left.schema[c] for c in on] + [T.StructField("_fan", T.IntegerType())])
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, types))
-    fan = F.when(any_null([F.col(c) for c in on]), F.lit(NULL_FAN)).otherwise(F.coalesce(F.col("_fan"), F.lit(1)))
+    hot = F.broadcast(hot_keys(left, on, rows_per_task))
+
+    def fanned(side: DataFrame) -> DataFrame:
+        same = reduce(and_, [side[f"`{c}`"].eqNullSafe(F.col(f"_hot{i}")) for i, c in enumerate(on)])
+        return side.join(hot, same, "left").drop(*[f"_hot{i}" for i in range(len(on))]).withColumn("_fan", F.coalesce("_fan", F.lit(1)))
     # The partition id separates copies of one row; it stays the same when a task is repeated.
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in left.columns]), fan).cast("int")
-    salted_left = left.join(hot, on, "left").withColumn("_salt", spread).drop("_fan")
-    salted_right = (right.join(hot, on, "left")
-                    .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_fan"), F.lit(1)) - 1))).drop("_fan"))
+    row = [F.col(f"`{f.name}`") for f in left.schema.fields if _hashable(f.dataType)]
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *row), F.col("_fan")).cast("int")
+    salted_left = fanned(left).withColumn("_salt", salt).drop("_fan")
+    salted_right = fanned(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_fan") - 1))).drop("_fan")
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; plans that explode rows may be several times larger."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def attach_customer_name(queue: DataFrame, names: DataFrame) -> DataFrame:
     """Left join of the customer's name by ``doc_id``; one name per invoice, so no row multiplies."""
     wanted = names.join(queue.select("doc_id"), "doc_id", "left_semi")

@@ -77,13 +77,16 @@ def constant_columns(df: DataFrame, columns: list[str] | None = None) -> DataFra
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 50) -> DataFrame:
-    """Rows per equal-width bin between the extremes of each numeric column; the last bin is closed."""
+    """Rows per equal-width bin between the extremes of each numeric column, NaN left out; the last bin is closed."""
     columns = columns or numeric_columns(df)
-    ends = df.agg(F.struct(*[F.struct(F.min(q(c)).cast("double").alias("low"), F.max(q(c)).cast("double").alias("high"))
+    def number(c: str) -> Column:
+        value = q(c).cast("double")
+        return F.when(~F.isnan(value), value)
+    ends = df.agg(F.struct(*[F.struct(F.min(number(c)).alias("low"), F.max(number(c)).alias("high"))
                              .alias(c) for c in columns]).alias("s")).first()["s"]
     entries = []
     for c in columns:
-        value = q(c).cast("double")
+        value = number(c)
         low, high = F.lit(ends[c]["low"]).cast("double"), F.lit(ends[c]["high"]).cast("double")
         position = F.when(high > low, F.floor((value - low) * F.lit(float(bins)) / (high - low))).otherwise(0)
         entries.append(F.struct(F.lit(c).alias("column_name"),

@@ -1,19 +1,19 @@
 """Exact quantiles without gathering a column in one task.
 
-``percentile`` keeps every distinct value of a column in one buffer, which does not hold for amounts at scale.
-Here a sketch brackets each wanted rank first; only the values inside the bracket, a fixed small share of
-the rows, are then sorted, and everything below it enters as one count.
+``percentile`` keeps every distinct value of a column in one buffer, which does not hold for amounts at scale. Here the rows between the
+extremes are counted in bins; the bin that holds the wanted rank is cut into bins again, until it holds one value.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-SKETCH_TASKS = 2000
+#: Bins of one round: what a task sends on for each rank, at most.
+BINS = 4096
 
 
 @dataclass(frozen=True)
@@ -25,50 +25,77 @@ class Quantile:
     probability: float
 
 
-def quantile_rows(df: DataFrame, wanted: list[Quantile], accuracy: int = 10_000) -> DataFrame:
-    """One row (name, quantile) per wanted quantile, linear interpolation, nulls skipped.
+def _number(value: Column) -> Column:
+    """The value as a double, NaN as null."""
+    value = value.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def order_statistics(df: DataFrame, values: list[Column], ranks: list[tuple[int, int]], ends: list[tuple], bins: int = BINS) -> dict[tuple, float]:
+    """The value at every wanted (column, rank), ranks from 0; ``ends`` holds the least and greatest value of every column.
 
-    The sketch is off by at most rows/accuracy ranks; the bracket leaves three times that on both sides.
-    A column with few values is taken whole.
+    A round counts the rows of every open interval in bins, together with the least and greatest value of a bin, so the interval shrinks to
+    values that occur and ends at a single one. Every round is one aggregate that returns at most ``bins`` rows per rank.
     """
-    slack = 3.0 / accuracy
-    sketches = []
-    for i, q in enumerate(wanted):
-        edges = [max(0.0, q.probability - slack), min(1.0, q.probability + slack)]
-        value = q.value.cast("double")
-        bracket = F.percentile_approx(value, edges, accuracy)
-        few = F.count(value) < 4 * accuracy
-        low = F.when(few | (F.lit(edges[0]) <= 0), F.min(value)).otherwise(bracket.getItem(0))
-        high = F.when(few | (F.lit(edges[1]) >= 1), F.max(value)).otherwise(bracket.getItem(1))
-        rank = F.lit(q.probability) * (F.count(value) - 1)
-        sketches.append(F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"), rank.alias("rank")))
-    # Every task sends a sketch to one reducer, so their number is limited; reading is not reshuffled by that.
-    plan = df.coalesce(SKETCH_TASKS).agg(F.array(*sketches).alias("plan")).scalar()
-
-    # One entry per row and wanted quantile: the value inside its bracket, null below it, nothing above.
-    values = F.array(*[q.value.cast("double") for q in wanted])
-    entries = (df.select(values.alias("values"), F.explode(plan).alias("s"))
-               .select("s.*", F.element_at("values", F.col("s.i") + 1).alias("x")).where(F.col("x") <= F.col("high")))
-    counted = (entries.groupBy("i", "rank", F.when(F.col("x") >= F.col("low"), F.col("x")).alias("v"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    upto = F.sum("n").over(Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first())
-                           .rowsBetween(Window.unboundedPreceding, 0))
-    cumulated = counted.withColumn("upto", upto)
-    lower = F.min(F.when(F.col("upto") > F.floor("rank"), F.struct(F.col("upto"), F.col("v"))))
-    upper = F.min(F.when(F.col("upto") > F.ceil("rank"), F.struct(F.col("upto"), F.col("v"))))
-    picked = (cumulated.groupBy("i", "rank").agg(lower.getField("v").alias("a"), upper.getField("v").alias("b")))
-    names = F.array(*[F.lit(q.name) for q in wanted])
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
-    checked = F.when(F.col("a").isNull() | F.col("b").isNull(),
-                     F.raise_error(F.lit("quantile bracket missed its rank; raise the accuracy")).cast("double")
-                     ).otherwise(value)
-    return picked.select(F.element_at(names, F.col("i") + 1).alias("name"), checked.alias("quantile"))
-
-
-def exact_quantiles(df: DataFrame, wanted: list[Quantile], accuracy: int = 10_000) -> DataFrame:
+    open_, found = {}, {}
+    for i, rank in ranks:
+        open_[(i, rank)] = (*ends[i], 0)
+    while open_:
+        for key in [k for k, (low, high, _) in open_.items() if low == high]:
+            found[key] = open_.pop(key)[0]
+        if not open_:
+            break
+        spans = sorted({(i, low, high) for (i, _), (low, high, _) in open_.items()})
+        entries = []
+        for n, (i, low, high) in enumerate(spans):
+            v = _number(values[i])
+            # Halves keep the width finite for any two doubles.
+            width = high / 2 - low / 2
+            place = F.floor((v / 2 - F.lit(low / 2)) / F.lit(width) * F.lit(float(bins))) if width > 0 else F.when(v > low, bins - 1).otherwise(0)
+            entries.append(F.when(v.between(F.lit(low), F.lit(high)), F.struct(
+                F.lit(n).alias("n"), F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"), v.alias("v"))))
+        counted = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*").groupBy("n", "bin").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        of = {}
+        for r in sorted(counted, key=lambda r: (r["n"], r["low"])):
+            of.setdefault(spans[r["n"]], []).append(r)
+        for (i, rank), (low, high, below) in list(open_.items()):
+            for r in of[(i, low, high)]:
+                if below + r["rows"] > rank:
+                    open_[(i, rank)] = (r["low"], r["high"], below)
+                    break
+                below += r["rows"]
+    return found
+
+
+def exact_quantile_values(df: DataFrame, wanted: list[Quantile], bins: int = BINS) -> dict[str, float | None]:
+    """Every wanted quantile by name, linear interpolation, nulls and NaN skipped; None where a column has no value."""
+    texts, values = [], []
+    for q in wanted:  # quantiles of one column share its counts
+        if str(q.value) not in texts:
+            texts.append(str(q.value))
+            values.append(q.value)
+    facts = df.agg(F.array(*[F.struct(F.count(_number(v)).alias("n"), F.min(_number(v)).alias("low"), F.max(_number(v)).alias("high"))
+                             for v in values]).alias("f")).first()["f"]
+    at = {q.name: texts.index(str(q.value)) for q in wanted}
+    place = {q.name: q.probability * (facts[at[q.name]]["n"] - 1) for q in wanted if facts[at[q.name]]["n"]}
+    ranks = sorted({(at[name], r) for name, x in place.items() for r in (math.floor(x), math.ceil(x))})
+    found = order_statistics(df, values, ranks, [(f["low"], f["high"]) for f in facts], bins)
+    out = {}
+    for q in wanted:
+        if q.name not in place:
+            out[q.name] = None
+            continue
+        x = place[q.name]
+        a, b = found[(at[q.name], math.floor(x))], found[(at[q.name], math.ceil(x))]
+        out[q.name] = a + (b - a) * (x - math.floor(x))
+    return out
+
+
+def exact_quantiles(df: DataFrame, wanted: list[Quantile], bins: int = BINS) -> DataFrame:
     """All wanted quantiles as one row with a column per name; null where a column has no value."""
-    rows = quantile_rows(df, wanted, accuracy)
-    return rows.agg(*[F.max(F.when(F.col("name") == q.name, F.col("quantile"))).alias(q.name) for q in wanted])
+    found = exact_quantile_values(df, wanted, bins)
+    return df.sparkSession.range(1).select(*[F.lit(found[q.name]).cast("double").alias(q.name) for q in wanted])
 
 
 def amount_quantiles(invoices: DataFrame, column: str = "total_open_amount",

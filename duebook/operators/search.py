@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from itertools import product
+from math import prod
 
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, Row
@@ -18,8 +19,18 @@ from duebook.operators.splits import backtest_folds, in_fold
 
 def draws(space: dict[str, list], n: int, seed: int = 42) -> list[dict]:
     """``n`` random parameter sets from lists of values, without repeats."""
-    every = [dict(zip(space, values)) for values in product(*space.values())]
-    return every if n >= len(every) else random.Random(seed).sample(every, n)
+    total = prod(len(values) for values in space.values())
+    picked = range(total) if n >= total else random.Random(seed).sample(range(total), n)
+    return [_numbered(space, i) for i in picked]
+
+
+def _numbered(space: dict[str, list], number: int) -> dict:
+    """The set with this number in the order of ``grid``; the product itself is not built."""
+    chosen = {}
+    for name, values in reversed(space.items()):
+        number, at = divmod(number, len(values))
+        chosen[name] = values[at]
+    return {name: chosen[name] for name in space}
 
 
 def grid(space: dict[str, list]) -> list[dict]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,13 +20,26 @@ def read_invoices(spark: SparkSession, path: str, fmt: str = "csv",
         raise ValueError(f"unknown format {fmt!r}")
     reader = spark.read.schema(table)
     if fmt == "csv":
-        # Columns are matched by their header names, so a file may order them differently.
-        header = spark.read.option("header", True).csv(path).columns
-        by_name = {f.name: f.dataType for f in table.fields}
+        return _read_csv(spark, path, table)
+    return reader.format(fmt).load(path)
+
+
+def _read_csv(spark: SparkSession, path: str, table: T.StructType) -> DataFrame:
+    """Columns are matched by their header names: files with the same header are read together, then all by name."""
+    by_name = {f.name: f.dataType for f in table.fields}
+
+    def read(files: str | list[str]) -> DataFrame:
+        header = spark.read.option("header", True).csv(files).columns
         stripped = T.StructType([T.StructField(h, by_name.get(h.strip(), T.StringType())) for h in header])
-        df = spark.read.schema(stripped).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        df = spark.read.schema(stripped).option("header", True).option("mode", "PERMISSIVE").csv(files)
         return df.toDF(*[h.strip() for h in header])
-    return reader.format(fmt).load(path)
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) == 1:
+        return read(path)
+    first = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
+                         F.monotonically_increasing_id().alias("line")).where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    kinds = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read(k["files"]) for k in kinds])
 
 
 def read_uploaded_batch(spark: SparkSession, landing: str) -> DataFrame:

@@ -6,12 +6,13 @@ from dataclasses import replace
 from datetime import date
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from duebook.operators.cleaning import keep_one
+from duebook.operators.forecast import payment_week
 from duebook.operators.history import union_history
 from duebook.operators.snapshots import Population
 from duebook.plans.scoring import score_batch
@@ -42,10 +43,15 @@ def stream_score(source: DataFrame, population: Population, model: PipelineModel
 
 
 def read_scored(spark: SparkSession, out: str) -> DataFrame:
-    """The last score of every invoice."""
+    """The last scores of every invoice: all rows of the last batch that holds it, as the batch code keeps repeated ids."""
     every = spark.read.parquet(out)
-    rest = [F.col(f"`{c}`") for c in every.columns if c not in ("batch", "doc_id")]
-    return keep_one(every, "doc_id", [-F.col("batch"), *rest]).drop("batch")
+    last = every.groupBy(F.col("doc_id").alias("_id")).agg(F.max("batch").alias("_last"))
+    return every.join(last, every["doc_id"].eqNullSafe(last["_id"]) & (F.col("batch") == F.col("_last")), "left_semi").drop("batch")
+
+
+def compact(merged: DataFrame, target: str) -> None:
+    """Write a merged table as the first batch of a new folder, from which the streams' readers go on."""
+    merged.write.parquet(f"{target}/batch=-1")
 
 
 def stream_upsert_history(source: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
@@ -54,26 +60,29 @@ def stream_upsert_history(source: DataFrame, root: str, checkpoint: str) -> Stre
     A batch writes its own rows only, whatever the size of the history; a repeated batch overwrites its folder.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        batch.withColumn("_seq", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     return (source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def read_upserted_history(spark: SparkSession, initial: DataFrame, root: str) -> DataFrame:
-    """The history with all arrivals merged in: the last row of each ``doc_id`` wins.
+    """The history with all arrivals merged in: the last row of each ``doc_id`` wins, in order of batch and place in it.
 
-    Writing this table and starting a new ``root`` from it keeps the number of batches to merge small.
+    ``compact`` writes this table as the first batch of a new root, which keeps the number of batches to merge small.
     """
-    merged = union_history(initial.withColumn("batch", F.lit(-1)), spark.read.parquet(root))
-    rest = [F.col(f"`{c}`") for c in merged.columns if c not in ("batch", "doc_id")]
-    return keep_one(merged, "doc_id", [-F.col("batch"), *rest]).drop("batch")
+    arrived = spark.read.parquet(root)
+    arrived = arrived if "_seq" in arrived.columns else arrived.withColumn("_seq", F.lit(0).cast("long"))
+    merged = union_history(initial.withColumn("batch", F.lit(-2)), arrived)
+    rest = [F.col(f"`{c}`") for c in merged.columns if c not in ("batch", "_seq", "doc_id")]
+    return keep_one(merged, "doc_id", [-F.col("batch"), -F.col("_seq"), *rest]).drop("batch", "_seq")
 
 
 def weekly_cash(payments: DataFrame, reference_date: str, late_by: str = "7 days") -> DataFrame:
     """Cash per week after a reference date from a stream with paid_ts and total_open_amount.
 
-    Windows start at the reference date; payments later than the watermark are dropped, as any closed week is.
+    Windows start at the reference date; a week is closed when the watermark has passed it, and later payments are dropped. Totals that must
+    hold every payment come from ``stream_weekly_cash``.
     """
     offset = (date.fromisoformat(reference_date) - date(1970, 1, 1)).days % 7
     week = F.window("paid_ts", "7 days", "7 days", f"{offset} days")
@@ -82,21 +91,25 @@ def weekly_cash(payments: DataFrame, reference_date: str, late_by: str = "7 days
             .select(F.to_date("week.start").alias("week_start"), F.col("cash").cast("double").alias("cash")))
 
 
-def stream_weekly_cash(payments: DataFrame, reference_date: str, out: str, checkpoint: str,
-                       late_by: str = "7 days") -> StreamingQuery:
-    """Weekly sums as they change; every batch writes the weeks it touched to its own folder."""
+def stream_weekly_cash(payments: DataFrame, reference_date: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Cash per week after a reference date: every batch writes the sums of its own payments to its own folder.
+
+    No payment is too late: the sums of all batches are added on read. A repeated batch overwrites its folder.
+    """
+    at = F.lit(reference_date).cast("date")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        week = payment_week(F.col("paid_ts").cast("date"), at).cast("int").alias("week_bucket")
+        sums = batch.groupBy(week).agg(F.sum(F.col("total_open_amount").cast("decimal(28,6)")).alias("cash"))
+        sums.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (weekly_cash(payments, reference_date, late_by).writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return (payments.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
-def read_weekly_cash(spark: SparkSession, out: str, reference_date: str) -> DataFrame:
-    """The last sum of the weeks 1..6 after the reference date; weeks without payments are 0."""
-    at = F.lit(reference_date).cast("date")
-    last = Window.partitionBy("week_start").orderBy(F.desc("batch"))
-    sums = (spark.read.schema("week_start date, cash double, batch long").parquet(out)
-            .withColumn("n", F.row_number().over(last)).where("n = 1")
-            .withColumn("week_bucket", (F.floor(F.datediff("week_start", at) / 7) + 1).cast("int")))
-    return sums.where(F.col("week_bucket").between(1, 6)).select("week_bucket", F.col("cash").alias("actual_cash"))
+def read_weekly_cash(spark: SparkSession, out: str) -> DataFrame:
+    """Cash of the weeks 1..6 after the reference date as the batch has it: earlier payments in week 1, weeks without payments 0."""
+    sums = spark.read.schema("week_bucket int, cash decimal(38,6), batch long").parquet(out)
+    total = sums.groupBy("week_bucket").agg(F.sum("cash").cast("double").alias("cash"))
+    weeks = spark.range(1, 7).select(F.col("id").cast("int").alias("week_bucket"))
+    return weeks.join(total, "week_bucket", "left").select("week_bucket", F.coalesce("cash", F.lit(0.0)).alias("actual_cash"))

@@ -216,3 +216,36 @@ def test_readable_ids_and_dates(spark):
     assert one(spark, R.format_date(F.lit("20200210.0"))) == "2020-02-10"
     assert one(spark, R.format_date(F.lit("soon"))) == "soon"
     assert one(spark, R.format_date(F.lit("123"))) == "123"
+
+
+def test_ids_that_are_not_numbers(spark):
+    rows = [("NaN",), ("nan",), ("2",), ("x",), (None,), ("1e3",)]
+    got = C.drop_invalid_ids(spark.createDataFrame(rows, "invoice_id string"))
+    assert sorted(r["invoice_id"] for r in got.collect()) == ["1e3", "2"]
+
+
+def test_open_invoices_are_no_cash(spark):
+    from duebook.operators.forecast import weekly_actual_cash
+    rows = [("2020-01-06", None, 100.0), ("2020-01-06", "2020-01-07", 5.0), ("2020-01-06", "2020-01-01", 2.0)]
+    df = spark.createDataFrame(rows, "reference_date string, invoice_paid string, total_open_amount double")
+    df = df.withColumn("reference_date", F.to_date("reference_date")).withColumn("invoice_paid", F.to_date("invoice_paid"))
+    got = {r["week_bucket"]: r["actual_cash"] for r in weekly_actual_cash(df).collect()}
+    assert got == {1: 7.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0}
+
+
+def test_csv_files_of_different_order(spark):
+    from duebook.session import run_folder
+    from duebook.sources.readers import read_uploaded_batch
+    folder = run_folder(spark, "uploads")
+    a = spark.createDataFrame([(1.0, 10.0)], "doc_id double, total_open_amount double")
+    a.coalesce(1).write.option("header", True).csv(folder)
+    a.select((F.col("total_open_amount") * 2).alias("total_open_amount"), (F.col("doc_id") + 1).alias(" doc_id ")) \
+        .coalesce(1).write.mode("append").option("header", True).csv(folder)
+    got = read_uploaded_batch(spark, folder).select(F.col("doc_id").cast("double"), "total_open_amount").collect()
+    assert sorted(tuple(r) for r in got) == [(1.0, 10.0), (2.0, 20.0)]
+
+
+def test_histogram_leaves_out_nan(spark):
+    from duebook.operators.profiling import histogram
+    df = spark.createDataFrame([(0.0,), (1.0,), (float("nan"),), (None,)], "a double")
+    assert sorted((r["bin"], r["n"]) for r in histogram(df, bins=2).collect()) == [(0, 1), (1, 1)]

@@ -30,7 +30,7 @@ def test_salted_join_equals_join(spark, how):
     keys = ["hot"] * 300 + ["warm"] * 100 + [None] * 150 + [rnd.choice("abcdef") for _ in range(200)]
     left = spark.createDataFrame([(k, i % 7) for i, k in enumerate(keys)], "k string, x int")
     right = spark.createDataFrame([("hot", 1.0), ("a", 2.0), ("b", 3.0), ("b", 4.0), (None, 5.0)], "k string, y double")
-    salted = J.salted_join(left, right, ["k"], how, rows_per_task=20, large=0)
+    salted = J.salted_join(left, right, ["k"], how, rows_per_task=20)
     assert "_salt" in salted._jdf.queryExecution().logical().toString()
     def norm(df):
         return sorted(str(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
@@ -49,7 +49,7 @@ def test_salted_join_spreads_a_hot_key(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = J.salted_join(left, right, ["k"], rows_per_task=200, large=0)
+        joined = J.salted_join(left, right, ["k"], rows_per_task=200)
         sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -57,19 +57,37 @@ def test_salted_join_spreads_a_hot_key(spark):
     assert sum(sizes) == 4000 and max(sizes) < 3000
 
 
-@pytest.mark.parametrize("accuracy", [5, 50, 20_000])
-def test_exact_quantiles(spark, accuracy):
+@pytest.mark.parametrize("bins", [2, 50, 4096])
+def test_exact_quantiles(spark, bins):
     rnd = np.random.default_rng(5)
     values = np.concatenate([rnd.normal(size=1500), np.full(900, 0.25), rnd.integers(0, 5, 300)]).round(3)
     df = spark.createDataFrame([(float(v), None if i % 3 else float(v) * 2) for i, v in enumerate(values)], "a double, b double")
     b = np.array([v * 2 for i, v in enumerate(values) if i % 3 == 0])
     wanted = [Quantile(f"a{p}", F.col("a"), p) for p in (0.0, 0.33, 0.5, 0.66, 0.999, 1.0)] + [Quantile("b", F.col("b"), 0.5)]
-    got = exact_quantiles(df.repartition(7), wanted, accuracy).first()
+    got = exact_quantiles(df.repartition(7), wanted, bins).first()
     for q in wanted[:-1]:
         assert got[q.name] == pytest.approx(np.quantile(values, q.probability), abs=1e-12)
     assert got["b"] == pytest.approx(np.quantile(b, 0.5), abs=1e-12)
 
 
+def test_quantiles_far_apart(spark):
+    values = [-1.7e308, -1.0, 0.0, 5e-324, 1.0, 1.0, 1.0, 2.0, 1.7e308]
+    df = spark.createDataFrame([(v,) for v in values] + [(float("nan"),), (None,)], "a double")
+    got = exact_quantiles(df, [Quantile(str(i), F.col("a"), i / 8) for i in range(9)]).first()
+    assert [got[str(i)] for i in range(9)] == values
+
+
+def test_many_hot_keys_and_a_map_column(spark):
+    """3 000 keys above the bound are all split, nulls too, and a column of a type without hash is carried."""
+    left = spark.range(60_000).select((F.col("id") % 3001).alias("k"), F.create_map(F.lit("x"), "id").alias("m")) \
+        .withColumn("k", F.when(F.col("k") < 3000, F.col("k")))
+    right = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y"))
+    assert J.hot_keys(left, ["k"], 10).count() == 3001
+    joined = J.salted_join(left, right, ["k"], rows_per_task=10)
+    assert joined.count() == 60_000
+    assert joined.where("y is not null and y <> k * 2").count() == 0 and joined.where("y is null").count() == left.where("k is null").count()
+
+
 def test_quantile_of_few_and_no_values(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None), (3.0, None), (4.0, None)], "a double, b double")
     got = exact_quantiles(df, [Quantile("a", F.col("a"), 0.5), Quantile("b", F.col("b"), 0.5)]).first()

@@ -1,10 +1,11 @@
-"""Streams give what the batch gives, drop late payments, and survive a repeated batch."""
+"""Streams give what the batch gives, take late payments, and survive a repeated batch."""
 
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from duebook.operators import cleaning as C
+from duebook.operators import forecast as FC
 from duebook.operators import history as H
 from duebook.operators import models as ML
 from duebook.operators import snapshots as S
@@ -22,7 +23,7 @@ def pay(spark, path, rows):
 
 
 def weekly(spark, out):
-    return {r["week_bucket"]: r["actual_cash"] for r in X.read_weekly_cash(spark, out, "2020-01-06").collect()}
+    return {r["week_bucket"]: r["actual_cash"] for r in X.read_weekly_cash(spark, out).collect()}
 
 
 def test_weekly_cash_and_late_payments(spark):
@@ -34,11 +35,13 @@ def test_weekly_cash_and_late_payments(spark):
 
     pay(spark, path, [(0, 10.0), (6, 5.0), (7, 1.0), (60, 3.0), (-1, 9.0)])
     drain()
-    assert weekly(spark, out) == {1: 15.0, 2: 1.0}
+    assert weekly(spark, out) == {1: 24.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0}
     pay(spark, path, [(3, 100.0), (55, 7.0)])
     drain()
-    # Day 60 moved the watermark past weeks 1 and 2: the payment of day 3 comes too late.
-    assert weekly(spark, out) == {1: 15.0, 2: 1.0}
+    assert weekly(spark, out) == {1: 124.0, 2: 1.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0}  # day 3 counts although day 60 came before
+    paid = spark.read.parquet(path).select(F.col("paid_ts").cast("date").alias("invoice_paid"), "total_open_amount")
+    batch = FC.weekly_actual_cash(paid, [], F.lit("2020-01-06").cast("date"))
+    assert weekly(spark, out) == {r["week_bucket"]: r["actual_cash"] for r in batch.collect()}
     before = weekly(spark, out)
     drain()
     assert weekly(spark, out) == before
@@ -59,6 +62,30 @@ def test_upsert_stream_equals_batch(spark, folder):
     assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == want.count()
     drain()
     assert X.read_upserted_history(spark, every, root).count() == want.count()
+    fresh = run_folder(spark, "history")
+    X.compact(got, fresh)
+    again = X.read_upserted_history(spark, every, fresh)
+    assert again.exceptAll(got.select(again.columns)).count() == 0 and again.count() == got.count()
+
+
+def test_the_last_row_of_a_batch_wins(spark):
+    history = spark.createDataFrame([(1, "old", 5.0), (2, "kept", 6.0)], "doc_id long, name string, amount double")
+    batch = spark.createDataFrame([(1, "zzz", 9.0), (1, "aaa", 1.0), (3, "aaa", 1.0), (3, "zzz", 9.0)], history.schema).coalesce(1)
+    want = {(1, "aaa", 1.0), (2, "kept", 6.0), (3, "zzz", 9.0)}
+    assert {tuple(r) for r in H.upsert_history(history, batch).select("doc_id", "name", "amount").collect()} == want
+    by = H.upsert_history(history, batch, batch_order="amount")
+    assert {tuple(r) for r in by.select("doc_id", "name", "amount").collect()} == {(1, "zzz", 9.0), (2, "kept", 6.0), (3, "zzz", 9.0)}
+    path, root, checkpoint = (run_folder(spark, n) for n in ("news", "history", "checkpoint"))
+    batch.write.parquet(path)
+    X.stream_upsert_history(X.landing(spark, path, batch.schema), root, checkpoint).awaitTermination()
+    assert {tuple(r) for r in X.read_upserted_history(spark, history, root).select("doc_id", "name", "amount").collect()} == want
+
+
+def test_scores_of_repeated_ids(spark):
+    out = run_folder(spark, "scored")
+    for batch, rows in enumerate([[(1, 5.0), (1, 6.0), (2, 7.0)], [(2, 8.0), (2, 9.0)]]):
+        spark.createDataFrame(rows, "doc_id long, total_open_amount double").write.parquet(f"{out}/batch={batch}")
+    assert sorted(tuple(r) for r in X.read_scored(spark, out).collect()) == [(1, 5.0), (1, 6.0), (2, 8.0), (2, 9.0)]
 
 
 def test_score_stream_equals_batch(spark, folder):
