@@ -83,4 +83,41 @@ def op10_ngram_jaccard_join(spark, folder):
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_quality, op4_fingerprints, op5_token_id_files, op6_repeated_passages, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives,
                                  op10_ngram_jaccard_join)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_repeated_passages": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, n, part, substr(h, 400 * part + 1, 1200) AS h FROM (SELECT r, h, length(h) // 2 AS n, unnest(range(0, length(h) // 400 + 1)) AS part FROM d)),
+p AS (SELECT r, 200 * part + i AS pos, substr(h, 2 * i + 1, 800) AS s FROM (SELECT r, n, part, h, unnest(range(0, 200)) AS i FROM c) WHERE 200 * part + i + 400 <= n),
+k AS (SELECT r, pos, hash(s) AS a, md5_number(s) AS b FROM p),
+g AS (SELECT a, b FROM k GROUP BY a, b HAVING count(*) > 1),
+m AS (SELECT r, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) <= 400 THEN 0 ELSE 1 END AS fresh FROM k SEMI JOIN g USING (a, b)),
+n AS (SELECT r, pos, sum(fresh) OVER (PARTITION BY r ORDER BY pos) AS span FROM m),
+e AS (SELECT r, min(pos) AS low, max(pos) + 400 AS high FROM n GROUP BY r, span),
+f AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM e),
+t AS (SELECT r, sum(high - low) AS gone, count(*) AS spans, max(high) AS last,
+  string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS kept FROM f JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(from_hex(CASE WHEN kept IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (r)""",
+    "op8_exact_top_k": """
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.id % 20 = 0 AND q.id <> c.id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op10_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN []
+  ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT r, len(s) AS n, unnest(s) AS x FROM s),
+c AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e AS a JOIN e AS b ON a.x = b.x AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT a, b, k = na AND k = nb AS same FROM c WHERE 5 * k >= 4 * (na + nb - k)),
+reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+class AS (SELECT reach.a AS r, min(s.doc_id) AS class_id FROM reach JOIN s ON reach.b = s.r GROUP BY 1),
+copies AS (SELECT a AS r, min(s.doc_id) AS copy_id FROM l JOIN s ON l.b = s.r WHERE same GROUP BY 1),
+links AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY 1)
+SELECT doc_id, class_id, least(doc_id, coalesce(copy_id, doc_id)) AS copy_id, coalesce(n_links, 0) AS n_links, len(s) AS n_shingles
+FROM s JOIN class USING (r) LEFT JOIN copies USING (r) LEFT JOIN links USING (r)""",
+}
