@@ -10,8 +10,9 @@ import pytest
 
 import __spark_entry__ as entry
 from check import rows
+from duebook import catalog
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.load()
 SLOW = {"compare_models", "random_search", "random_search_by_mape", "grid_search", "recursive_elimination", "train",
         "walk_forward_backtest", "walk_forward_cash_backtest", "score_forecast_and_queue", "save_and_load_model",
         "stream_score", "calibrate_sigmoid", "score_batch", "permutation_importance", "prepare_prompts"}
