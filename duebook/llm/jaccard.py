@@ -143,25 +143,23 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
     return total.astype(np.int64)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """Edges that connect what all the given edges connect."""
-    parent, out = list(range(size)), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-    order = np.unique(a * size + b)
-    for key in order.tolist():
-        x, y = divmod(key, size)
-        i, j = root(x), root(y)
-        if i != j:
-            parent[max(i, j)] = min(i, j)
-            out.append((x, y))
-            if len(out) == size - 1:
-                break
-    return out
+def _stars(a: np.ndarray, b: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """What the given edges connect, as edges from the least id of each component to its other members."""
+    order = np.argsort(np.array(ids))
+    label = np.empty(len(ids), dtype=np.int64)
+    label[order] = np.arange(len(ids))
+    own = label.copy()
+    while True:
+        near = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, near)
+        np.minimum.at(new, b, near)
+        new = np.minimum(new, new[order[new]])
+        if (new == label).all():
+            break
+        label = new
+    members, values = np.flatnonzero(label != own), np.array(ids)
+    return values[order[label[members]]], values[members]
 
 
 def _blocked(members: DataFrame, group: str, count: str) -> DataFrame:
@@ -198,10 +196,9 @@ def _candidates(members: DataFrame) -> DataFrame:
             values = [np.array([r[5] for r in side], dtype=np.int32) for side in (left, right) if side]
             a, b = promising(values[0], values[1] if right else None, least)
             ids = [r[4] for r in left] + [r[4] for r in right]
-            edges = _forest(a, b + (len(left) if right else 0), len(ids))
-            if edges:
-                yield pa.RecordBatch.from_pydict({"a": [ids[x] for x, _ in edges], "b": [ids[y] for _, y in edges]},
-                                                 schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            roots, others = _stars(a, b + (len(left) if right else 0), ids)
+            if len(roots):
+                yield pa.RecordBatch.from_pydict({"a": roots, "b": others}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
     return _blocked(members, "bucket", "n_members").select("bucket", "one", "two", "own", "s1", "signature").mapInArrow(run, "a long, b long")
 
 
@@ -227,12 +224,12 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
                 sums = [linked @ copies[0], np.zeros(0, dtype=np.int64)]
             ids = [r[4] for r in left] + [r[4] for r in right]
             a, b = np.nonzero(linked)
-            edges = _forest(a, b + (len(left) if right else 0), len(ids))
+            roots, others = _stars(a, b + (len(left) if right else 0), ids)
             total = np.concatenate(sums)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict(
-                {"s1": [ids[i] for i in some] + [ids[x] for x, _ in edges], "links": [*total[some].tolist(), *[0] * len(edges)],
-                 "b": [*[None] * len(some), *[ids[y] for _, y in edges]]},
+                {"s1": [ids[i] for i in some] + roots.tolist(), "links": [*total[some].tolist(), *[0] * len(roots)],
+                 "b": [*[None] * len(some), *others.tolist()]},
                 schema=pa.schema([("s1", pa.int64()), ("links", pa.int64()), ("b", pa.int64())]))
     ready = _blocked(members, "cluster", "n_members").select("cluster", "one", "two", "own", "s1", "copies", "elements")
     return ready.mapInArrow(run, "s1 long, links long, b long")
@@ -299,7 +296,7 @@ def similarity_join(documents: DataFrame, words: int = WORDS, threshold: float =
     Documents with equal sets count as one class until the end. Classes that share a band of MinHash values meet in a bucket; buckets with the
     same members are one. Pairs of a bucket are compared value by value and dropped when they can no longer be similar; what is
     left only connects classes to clusters, inside which all pairs are decided by exact overlap. Buckets and clusters of over
-    ``BLOCK`` members are dealt over pairs of blocks; a task passes on sums and the edges of a forest, not pairs.
+    ``BLOCK`` members are dealt over pairs of blocks; a task passes on sums and stars of what is connected, not pairs.
     """
     signed = materialise(signatures(documents, words), "signatures")
     known = signed.where("s1 IS NOT NULL")
