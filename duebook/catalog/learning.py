@@ -35,7 +35,12 @@ def parts(spark, d):
     return [marked.where(F.col("part") == p).drop("part", "fold") for p in ("train", "valid", "test")]
 
 
-IMPUTED = ["customer_avg_delay", "days_since_last_invoice", "invoice_amount_log"]
+def before_test(spark, d):
+    """Everything up to the 80 % date."""
+    return SP.train_valid_test(table(spark, d)).where(F.col("part") != "test").drop("part", "fold")
+
+
+IMPUTED = schema.MODEL_FEATURES
 
 
 @query("impute_median", sql("feat", "SELECT doc_id, CAST(reference_date AS VARCHAR) AS reference_date, " + ", ".join(
@@ -91,7 +96,7 @@ def _(spark, d):
 @query("train_and_score")
 def _(spark, d):
     train, _, test = parts(spark, d)
-    scored = ML.score(ML.train_classifier(train, ML.forest(**SMALL)), test)
+    scored = ML.score(ML.train_classifier(train, ML.forest()), test)
     return plain(scored.select("doc_id", "reference_date", P.predicted_class(F.col("probabilities")).alias("predicted_class"),
                                *P.spread(F.col("probabilities"))))
 
@@ -147,8 +152,7 @@ def _(spark, d):
 
 @query("grid_search")
 def _(spark, d):
-    train, _, _ = parts(spark, d)
-    return plain(rows_of(spark, SE.grid_search(train, {"trees": [5], "depth": [4, 6]}, ["doc_id", "reference_date"], folds=3)))
+    return plain(rows_of(spark, SE.grid_search(before_test(spark, d), {"trees": [5], "depth": [4, 6]}, ["doc_id", "reference_date"], folds=3)))
 
 
 @query("random_search_by_mape")
@@ -215,8 +219,7 @@ def _(spark, d):
 
 @query("feature_importance")
 def _(spark, d):
-    train, _, _ = parts(spark, d)
-    pairs = ML.feature_importance(ML.train_classifier(train, ML.forest(**SMALL)))
+    pairs = ML.feature_importance(ML.train_classifier(before_test(spark, d), ML.forest()))
     return plain(spark.createDataFrame(pairs, "feature string, importance double"))
 
 
@@ -229,9 +232,8 @@ def _(spark, d):
 
 @query("recursive_elimination")
 def _(spark, d):
-    train, _, _ = parts(spark, d)
-    folds = SE.hash_folds(train, ["doc_id", "reference_date"], 2)
-    return spark.createDataFrame(ML.recursive_elimination(folds, classifier=ML.forest(trees=5, depth=5), minimum=4))
+    folds = SE.hash_folds(before_test(spark, d), ["doc_id", "reference_date"], 2)
+    return spark.createDataFrame(ML.recursive_elimination(folds, classifier=ML.forest(trees=5, depth=5), minimum=1))
 
 
 VIF = ["invoice_age_days", "pay_terms_days", "invoice_amount_log"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from duebook import schema
 from duebook.catalog.base import plain, query, r, sql
 from duebook.catalog.features import paid
 from duebook.operators import profiling as PR
@@ -15,11 +16,14 @@ def line_sql(columns, body):
     return " UNION ALL ".join(body(c) for c in columns)
 
 
-@query("null_profile", sql("inv", line_sql(["doc_id", "cust_number", "due_in_date", "total_open_amount", "invoice_sent", "invoice_paid"], lambda c: f"""
+CLEAN = list(schema.CLEAN_COLUMNS.values())
+
+
+@query("null_profile", sql("inv", line_sql(CLEAN, lambda c: f"""
   SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls, {r(f'100.0 * (count(*) - count({c})) / count(*)')} AS null_percent FROM inv""")))
 def _(spark, d):
     inv = A.invoices(spark, d, only_paid=False)
-    return plain(PR.null_profile(inv.select("doc_id", "cust_number", "due_in_date", "total_open_amount", "invoice_sent", "invoice_paid")))
+    return plain(PR.null_profile(inv.select(*CLEAN)))
 
 
 NUMERIC = ["o_orderkey", "o_custkey", "o_totalprice"]
@@ -46,7 +50,7 @@ def _(spark, d):
     return PR.value_counts(inv, "business_year", F.upper(F.trim("invoice_currency")) == "CAD")
 
 
-COUNTED = ["cust_number", "business_year", "invoice_currency", "document_type", "cust_payment_terms", "due_in_date"]
+COUNTED = CLEAN
 
 
 @query("distinct_counts", sql("inv", line_sql(COUNTED, lambda c: f"""
@@ -121,7 +125,7 @@ def _(spark, d):
     return PR.open_closed_counts(A.raw_invoices(spark, d))
 
 
-VARIANCES = ["invoice_month_sin", "pay_terms_days", "late_payment_ratio", "invoice_amount_log"]
+VARIANCES = schema.MODEL_FEATURES
 
 
 @query("variance_threshold", sql("feat", line_sql(VARIANCES, lambda c: f"""
