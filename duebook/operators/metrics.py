@@ -43,13 +43,10 @@ def confusion_counts(scored: DataFrame, by: list[str] | None = None, label: str
 
 def confusion_matrix(scored: DataFrame, label: str = "week_bucket") -> DataFrame:
     """True classes as rows, predicted classes as columns, all classes present."""
-    counts = (scored.select(F.col(label).alias("actual"), P.predicted_class(F.col("probabilities")).alias("predicted"))
-              .groupBy("actual").agg(*[F.count_if(F.col("predicted") == c).alias(f"pred_{c}") for c in CLASSES]))
-    rows = counts.select("actual", *[F.col(f"pred_{c}") for c in CLASSES])
-    everything = counts.agg(F.collect_set("actual").alias("seen"))
-    absent = (everything.select(F.explode(F.array_except(F.array(*[F.lit(c) for c in CLASSES]), "seen")).alias("actual"))
-              .select("actual", *[F.lit(0).cast("bigint").alias(f"pred_{c}") for c in CLASSES]))
-    return rows.unionByName(absent)
+    pairs = scored.select(F.col(label).alias("actual"), P.predicted_class(F.col("probabilities")).alias("predicted"))
+    counts = pairs.agg(*[F.count_if((F.col("actual") == a) & (F.col("predicted") == c)).alias(f"n{a}{c}") for a in CLASSES for c in CLASSES])
+    rows = F.array(*[F.struct(F.lit(a).alias("actual"), *[F.col(f"n{a}{c}").alias(f"pred_{c}") for c in CLASSES]) for a in CLASSES])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def classification_report(counts: DataFrame, by: list[str] | None = None) -> DataFrame:

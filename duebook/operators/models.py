@@ -120,9 +120,18 @@ def build_model(classifier: Estimator | None = None, features: list[str] = schem
 
 
 def train_classifier(train: DataFrame, classifier: Estimator | None = None,
-                     features: list[str] = schema.MODEL_FEATURES) -> PipelineModel:
-    """Fit on the labelled rows; only the features and the label travel to the learner."""
+                     features: list[str] = schema.MODEL_FEATURES, balanced: bool = False) -> PipelineModel:
+    """Fit on the labelled rows; only the features and the label travel to the learner.
+
+    ``balanced`` weighs rows by rows / (classes * rows of the class), so that all classes count alike.
+    """
     rows = train.where(F.col(LABEL).isNotNull()).select(*features, F.col(LABEL).cast("double").alias(LABEL))
+    if balanced:
+        counts = {r[LABEL]: r["count"] for r in rows.groupBy(LABEL).count().collect()}
+        total = sum(counts.values())
+        weight = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, total / (len(counts) * n))])[F.col(LABEL)]
+        rows = rows.withColumn("_weight", weight)
+        classifier = (classifier or forest()).copy().setWeightCol("_weight")
     return build_model(classifier, features).fit(rows)
 
 
@@ -157,12 +166,13 @@ def learners(seed: int = 42) -> dict[str, Estimator]:
 
 
 def compare_models(train: DataFrame, test: DataFrame, candidates: dict[str, Estimator] | None = None) -> DataFrame:
-    """One row of metrics per learner, best log loss first. The rows are one table: every model scores it."""
+    """One row of metrics per learner, macro F1 among them, best log loss first. Every model scores the same table."""
     chosen = candidates or learners()
 
     def one(name: str) -> DataFrame:
         scored = score(train_classifier(train, chosen[name]), test)
-        return model_metrics(scored).withColumn("model", F.lit(name))
+        macro = classification_report(confusion_counts(scored)).agg(F.avg("f1").alias("f1_macro"))
+        return model_metrics(scored).withColumn("f1_macro", macro.scalar()).withColumn("model", F.lit(name))
 
     return rank_results(union_results(*side_by_side(train.sparkSession, one, list(chosen))), ["log_loss"])
 

@@ -44,8 +44,8 @@ def collections_rank(risk: DataFrame, n: int = TOP) -> DataFrame:
     return top_ranked(risk, [F.desc_nulls_last("priority_score"), F.asc("doc_id")], "collections_rank", n)
 
 
-def top_n_priority(risk: DataFrame, n: int = TOP) -> DataFrame:
-    columns = ["collections_rank", "doc_id", "cust_number", "total_open_amount", "days_overdue", "risk_category"]
+def top_n_priority(risk: DataFrame, n: int = TOP, carry: tuple[str, ...] = ()) -> DataFrame:
+    columns = ["collections_rank", "doc_id", "cust_number", "total_open_amount", "days_overdue", "risk_category", *carry]
     return collections_rank(risk, n).select(*columns)
 
 

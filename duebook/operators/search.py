@@ -6,7 +6,7 @@ import random
 from itertools import product
 from math import prod
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -63,6 +63,19 @@ def random_search(train: DataFrame, valid: DataFrame, space: dict[str, list], n:
     return search([(train, valid)], draws(space, n, seed), **options)
 
 
+def fit_best(results: list[dict], train: DataFrame, valid: DataFrame, make=forest) -> PipelineModel:
+    """The first parameter set of a search, fitted on training and validation rows together."""
+    params = {k: v for k, v in results[0].items() if k != "score"}
+    return train_classifier(train.unionByName(valid), make(**params))
+
+
+def expanding_folds(df: DataFrame, cutoffs: list, date: str = "reference_date") -> list[tuple[DataFrame, DataFrame]]:
+    """Train and validation parts in time order: all rows before a cutoff, and those from it to the next."""
+    ends = [*cutoffs[1:], None]
+    return [(df.where(F.col(date) < start), df.where((F.col(date) >= start) & (F.lit(True) if stop is None else F.col(date) < stop)))
+            for start, stop in zip(cutoffs, ends, strict=True)]
+
+
 def hash_folds(df: DataFrame, id_columns: list[str], folds: int = 5) -> list[tuple[DataFrame, DataFrame]]:
     """Train and validation parts of a cross validation; the fold of a row depends on its key only."""
     marked = df.withColumn("_fold", F.pmod(F.xxhash64(*id_columns), F.lit(folds)))

@@ -43,7 +43,8 @@ def snapshot_open_invoices(invoices: DataFrame, stride_days: int = 7, horizon_we
 
     start = F.greatest(F.ceil(steps(F.col("invoice_sent"))), F.lit(0)).cast("int")
     stop = F.least(F.ceil(steps(F.col("invoice_paid"))) - 1, F.floor(steps(last))).cast("int")
-    bounded = (invoices.where(F.col("invoice_sent").isNotNull() & F.col("invoice_paid").isNotNull())
+    # Plain comparisons of the two dates, so that they reach the scan.
+    bounded = (invoices.where((F.col("invoice_sent") <= last) & (F.col("invoice_paid") > first))
                .withColumn("_start", start).withColumn("_stop", stop)
                .where(F.col("_start") <= F.col("_stop")))
     step = F.explode(F.sequence("_start", "_stop"))

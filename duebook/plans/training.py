@@ -43,7 +43,8 @@ def train(raw: DataFrame, classifier: Estimator | None = None, backtest_classifi
     The clean table and the snapshot table have many readers, so each is written once to the shared folder.
     """
     clean = materialise(clean_invoices(raw), "clean")
-    snapshots = materialise(impute_history(build_snapshots(clean)), "snapshots")
+    # Cutoffs and splits read a range of dates each.
+    snapshots = materialise(impute_history(build_snapshots(clean)), "snapshots", partition_by="reference_date")
     parts = time_split(snapshots)
     fit_part, test_part = parts.where("part = 'train'"), parts.where("part = 'test'")
     model = train_classifier(fit_part, classifier)

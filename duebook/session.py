@@ -54,11 +54,11 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
+def materialise(df: DataFrame, purpose: str, partition_by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder, by the values of a column if one is named, and read it back.
 
     Cuts the lineage of tables with many consumers in a way that survives lost executors.
     """
     path = run_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    (df.repartition(partition_by).write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

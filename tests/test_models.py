@@ -1,5 +1,6 @@
 """Models by their properties: better than guessing, repeatable, consistent after saving."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -142,3 +143,47 @@ def test_training_and_scoring_jobs(spark, folder):
     assert [r["week_bucket"] for r in scoring.forecast(scored).orderBy("week_bucket").collect()] == [1, 2, 3, 4, 5, 6]
     queue = scoring.queue(scored, A.as_of()).collect()
     assert len(queue) == 10 and all(r["name_customer"] for r in queue)
+
+
+def small_table(spark):
+    rows = [(i, i % 4 if i % 3 else 0, float(i % 4), float(i % 7)) for i in range(300)]
+    features = schema.MODEL_FEATURES
+    df = spark.createDataFrame(rows, "doc_id long, week_bucket int, a double, b double")
+    for i, c in enumerate(features):
+        df = df.withColumn(c, F.col("a") if i == 0 else F.col("b") * i)
+    return df.withColumn("reference_date", F.date_add(F.lit("2020-01-06").cast("date"), (F.col("doc_id") % 10).cast("int")))
+
+
+def test_refit_of_the_best(spark):
+    train, valid = (small_table(spark).where(F.col("doc_id") % 2 == i) for i in (0, 1))
+    results = SE.search([(train, valid)], [{"trees": 2, "depth": 2}, {"trees": 3, "depth": 3}])
+    model = SE.fit_best(results, train, valid)
+    assert model.stages[-1].getNumTrees == results[0]["trees"]
+
+
+def test_expanding_folds(spark):
+    df = small_table(spark)
+    cutoffs = [dt.date(2020, 1, 9), dt.date(2020, 1, 12)]
+    folds = SE.expanding_folds(df, cutoffs)
+    assert [(t.count(), v.count()) for t, v in folds] == [(90, 90), (180, 120)]
+
+
+def test_balanced_classes_weigh_alike(spark):
+    df = small_table(spark)
+    plain, even = (ML.train_classifier(df, ML.forest(trees=3, depth=1), balanced=b) for b in (False, True))
+    rare = [ML.score(m, df).agg(F.avg(F.col("probabilities")[3])).first()[0] for m in (plain, even)]
+    assert rare[1] > rare[0]
+
+
+def test_comparison_has_macro_f1(spark):
+    df = small_table(spark)
+    got = ML.compare_models(df, df, {"forest": ML.forest(trees=3, depth=4)}).first()
+    assert 0 < got["f1_macro"] <= 1
+
+
+def test_draws_do_not_build_the_product():
+    space = {f"p{i}": list(range(10)) for i in range(10)}
+    got = SE.draws(space, 5)
+    assert len({tuple(x.items()) for x in got}) == 5 and list(got[0]) == list(space)
+    small = {"a": [1, 2], "b": [3, 4, 5]}
+    assert SE.draws(small, 10) == SE.grid(small)
