@@ -255,7 +255,8 @@ def _(spark, d):
     return RT.section_usage(RT.build_context(hits(spark, d)))
 
 
-@query("embed_text")
+@query("embed_text", """
+  SELECT doc_id, 256 AS size, CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}_]') THEN 1.0e0 ELSE 0.0e0 END AS norm FROM documents""")
 def _(spark, d):
     docs = A.table(spark, d, "documents").select("doc_id", "text")
     embedded = RT.embed_text(RT.text_model(docs), docs)
@@ -263,10 +264,20 @@ def _(spark, d):
     return plain(embedded.select("doc_id", F.size("vector").alias("size"), norm.alias("norm")))
 
 
-@query("prepare_prompts")
-def _(spark, d):
+def prompts(spark, d):
     docs = A.table(spark, d, "documents")
     chunks = docs.select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("section_h2"), "text")
     model = RT.text_model(chunks)
-    prompts = PS.prepare_prompts(requests(spark, d, with_name=False), RT.embed_text(model, chunks), model)
-    return plain(prompts.select("doc_id", "query", "invoice_context", F.length("context").alias("context_chars"), "retrieved_sections"))
+    return PS.prepare_prompts(requests(spark, d, with_name=False), RT.embed_text(model, chunks), model)
+
+
+@query("prepare_prompts_question", sql("inv", f"SELECT doc_id, {QUESTION} AS query, " + " || chr(10) || ".join(
+    f"'{label.ljust(22)}' || {value}" for label, value in LINES) + " AS invoice_context, 4 AS sections FROM inv"))
+def _(spark, d):
+    """What of the prompts SQL can state: question, invoice block and number of retrieved chunks."""
+    return prompts(spark, d).select("doc_id", "query", "invoice_context", F.size("retrieved_sections").alias("sections"))
+
+
+@query("prepare_prompts")
+def _(spark, d):
+    return plain(prompts(spark, d).select("doc_id", "query", "invoice_context", F.length("context").alias("context_chars"), "retrieved_sections"))
