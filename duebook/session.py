@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,11 +56,30 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+_open_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove on exit what ``materialise`` writes inside; results must be written or collected by then."""
+    written: list[str] = []
+    _open_scratch.append(written)
+    try:
+        yield
+    finally:
+        _open_scratch.remove(written)
+        for path in written:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialise(df: DataFrame, purpose: str, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder, by the values of a column if one is named, and read it back.
 
     Cuts the lineage of tables with many consumers in a way that survives lost executors.
     """
     path = run_folder(df.sparkSession, purpose)
+    if _open_scratch:
+        _open_scratch[-1].append(path)
     (df.repartition(partition_by).write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -171,3 +171,12 @@ def test_scan_reads_what_it_needs(spark, folder):
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,10.0)]" in text
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in text
     assert math.isfinite(orders.count())
+
+
+def test_scratch_tables_go(spark):
+    from duebook.session import materialise, scratch
+    with scratch(spark):
+        table = materialise(spark.range(10).withColumn("k", F.col("id") % 2), "scratch", partition_by="k")
+        assert table.where("k = 1").count() == 5 and sorted(table.columns) == ["id", "k"]
+        files = table.inputFiles()
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
