@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text that they decode to."""
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), TOKENIZER), TOKENIZER)
+    decoded = bpe.encode(docs.select("doc_id", "text"), TOKENIZER, decoded=True)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "text")
 
 

@@ -92,18 +92,25 @@ def join_tree(own: Pieces, text: str, ends: list[int], parts: list[Part]) -> np.
     return parts[0][0]
 
 
-def encode(documents: DataFrame, tokenizer: str, leaf: int = LEAF, text: str = "text") -> DataFrame:
-    """``doc_id, ids`` for every row; ``ids`` are little-endian 32-bit integers, as the tokenizers library gives them without added tokens.
+def encode(documents: DataFrame, tokenizer: str, leaf: int = LEAF, text: str = "text", decoded: bool = False) -> DataFrame:
+    """``doc_id, ids`` for every row, with ``decoded`` also ``text``, what the ids decode to; ``ids`` are little-endian 32-bit integers, as the tokenizers library gives them without added tokens.
 
     Null text is empty and has no ids; special strings inside a text count as the library takes them; repeated rows come out one by one. Texts of over
     ``leaf`` characters are cut into halves of halves, whose parts any task may encode; the task that puts a text together holds
     that one text and its ids.
     """
+    schema = "doc_id long, ids binary" + ", text string" * decoded
+
+    def out(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        columns = {"doc_id": doc_ids, "ids": pa.array(ids, pa.binary())}
+        if decoded:
+            columns["text"] = pa.array(map(decoder(tokenizer).decode, ids), pa.string())
+        return pa.RecordBatch.from_pydict(columns)
+
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(tokenizer)
         for part in slices(batches):
-            ids = pa.array(map(own.encode, part.column("text").to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
+            yield out(part.column("doc_id"), list(map(own.encode, part.column("text").to_pylist())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 8):
@@ -123,28 +130,27 @@ def encode(documents: DataFrame, tokenizer: str, leaf: int = LEAF, text: str = "
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = pieces(tokenizer), []
 
-        def out() -> pa.RecordBatch:
+        def whole() -> pa.RecordBatch:
             value = "".join(r["text"] for r in held)
             ends = np.concatenate([[0], np.cumsum([len(r["text"]) for r in held])]).tolist()
             parts = [(np.frombuffer(r["ids"], "<i4"), *[np.frombuffer(r[c], "<i4").astype(np.int64) + at for c in ("starts", "stops")])
                      for r, at in zip(held, ends, strict=False)]
             ids = join_tree(own, value, ends, parts)
-            return pa.RecordBatch.from_pydict({"doc_id": pa.array([held[0]["doc_id"]], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary())})
+            return out(pa.array([held[0]["doc_id"]], pa.int64()), [ids.tobytes()])
         for batch in slices(batches, 8):
             for row in batch.to_pylist():
                 if held and row["row"] != held[-1]["row"]:
-                    yield out()
+                    yield whole()
                     held = []
                 held.append(row)
         if held:
-            yield out()
+            yield whole()
 
     rows = numbered(documents, "doc_id", text).select("row", F.col("doc_id").cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    small = rows.where(F.length("text") <= leaf).select("doc_id", "text").mapInArrow(short, "doc_id long, ids binary")
+    small = rows.where(F.length("text") <= leaf).select("doc_id", "text").mapInArrow(short, schema)
     parts = rows.where(F.length("text") > leaf).mapInArrow(cut, "row long, doc_id long, leaf int, text string").repartition("row", "leaf")
     encoded = parts.mapInArrow(each, "row long, doc_id long, leaf int, text string, ids binary, starts binary, stops binary")
-    whole = encoded.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(joined, "doc_id long, ids binary")
-    return small.unionByName(whole)
+    return small.unionByName(encoded.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(joined, schema))
 
 
 class Decoder:
@@ -152,7 +158,8 @@ class Decoder:
 
     def __init__(self, path: str):
         import json
-        self.tokenizer = pieces(path).tokenizer
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
         decoder = json.loads(self.tokenizer.to_str())["decoder"]
         self.kind = "blank" if decoder is None else "bytes" if decoder["type"] == "ByteLevel" else "other"
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -174,7 +181,7 @@ class Decoder:
         return self.tokenizer.decode(found, skip_special_tokens=False)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def decoder(path: str) -> Decoder:
     return Decoder(path)
 

@@ -19,6 +19,8 @@ from duebook.session import materialise, run_folder
 BLOCK = 1 << 16
 #: Rows of a range of documents: one file each.
 FILE_ROWS = 4096
+#: Parts of texts whose ids a worker keeps, some 200 bytes each.
+TABLE = 500_000
 MAGIC, LEVEL = b"DBPL0001", 1
 
 
@@ -143,7 +145,7 @@ def write_ids(documents: DataFrame, tokenizer: str, folder: str, end: int | None
     table names those of the attempts that succeeded. Only the table of files, a row for ``FILE_ROWS`` documents, is summed in order.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, out, stop = pieces(tokenizer), None, np.array([] if end is None else [end], dtype=np.uint32)
+        own, out, stop = pieces(tokenizer, TABLE), None, np.array([] if end is None else [end], dtype=np.uint32)
         for batch in slices(batches):
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if out is None:

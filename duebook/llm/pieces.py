@@ -13,8 +13,8 @@ import struct
 import unicodedata
 from functools import lru_cache
 
-#: Entries of a table's young half; a full one becomes the old half, from which what is asked for again moves to the young one.
-RUNS, PRETOKENS = 500_000, 250_000
+#: Parts in a table's young half, half as many pre-tokens; a full half becomes the old half, from which what is asked for again moves to the young one.
+RUNS = 120_000
 #: Longer runs are not kept.
 KEPT = 64
 
@@ -75,7 +75,7 @@ _BYTES = _byte_characters()
 class Pieces:
     """One tokenizer file, ready for use in a task."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, runs: int = RUNS):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -86,7 +86,7 @@ class Pieces:
         self._find_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.kind = self._kind(spec)
         self._pattern = _plain_pattern(WORD_PATTERN if self.kind == "word" else BYTE_PATTERN)
-        self._runs, self._ids = Halves(RUNS), Halves(PRETOKENS)
+        self._runs, self._ids = Halves(runs), Halves(runs // 2)
 
     def _kind(self, spec: dict) -> str:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]) or spec["post_processor"]:
@@ -194,6 +194,6 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
-    """The tables of a tokenizer file; a worker keeps them from task to task."""
-    return Pieces(path)
+def pieces(path: str, runs: int = RUNS) -> Pieces:
+    """The tables of a tokenizer file, for parts and half as many pre-tokens; a worker keeps them from task to task."""
+    return Pieces(path, runs)

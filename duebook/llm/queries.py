@@ -26,7 +26,7 @@ def _decimal_sha256(ids: pd.Series) -> pd.Series:
 def op2_bpe_round_trip(spark, folder):
     """Sizes and digests of ids and of the texts that they decode to."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    decoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), tokenizer), tokenizer)
+    decoded = bpe.encode(table(spark, folder, "documents"), tokenizer, decoded=True)
     return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), _decimal_sha256("ids").alias("ids_sha256"),
                           F.sha2("text", 256).alias("decoded_sha256"))
 
