@@ -82,14 +82,14 @@ def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The text classifier. A labelled document is good if its quality is 1 and it is not toxic; rows without a quality label are left out.
 
-    At most ``sample`` labelled rows are used. One half finds the words, the other the weights, so that words are not weighed where they were
+    At most ``sample`` labelled rows, an id and a number each, are sent to the tasks that read the texts. One half finds the words, the other the weights, so that words are not weighed where they were
     found. Without both kinds of rows all evidence is 0.
     """
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(good.cast("int")).alias("good")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents.select("doc_id", whole_text().alias("text"))
-    rows = materialise(texts.join(known, "doc_id").select("doc_id", "text", "good", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).alias("half")),
+    rows = materialise(texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "good", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).alias("half")),
                        "labelled")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
