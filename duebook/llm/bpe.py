@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import numbered, slices, whole_text
+from duebook.llm.common import numbered, ship, slices, whole_text
 from duebook.llm.pieces import _BYTES, Pieces, pieces
 
 #: Characters of a part of a long text; texts of up to so many are encoded whole.
@@ -99,6 +99,7 @@ def encode(documents: DataFrame, tokenizer: str, leaf: int = LEAF, text: str = "
     ``leaf`` characters are cut into halves of halves, whose parts any task may encode; the task that puts a text together holds
     that one text and its ids.
     """
+    ship(documents.sparkSession)
     schema = "doc_id long, ids binary" + ", text string" * decoded
 
     def out(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
@@ -188,6 +189,7 @@ def decoder(path: str) -> Decoder:
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, ids, text``: the text that the library makes of the ids, special tokens kept."""
+    ship(encoded.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = decoder(tokenizer)
         for part in slices(batches):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duebook.llm.common import file_system, slices, whole_text
+from duebook.llm.common import file_system, ship, slices, whole_text
 from duebook.llm.pieces import pieces
 from duebook.session import materialise, run_folder
 
@@ -144,6 +144,7 @@ def write_ids(documents: DataFrame, tokenizer: str, folder: str, end: int | None
     appended to every document, null ids come first, rows of equal id are in order of text. A file gets a new name in every attempt; the
     table names those of the attempts that succeeded. Only the table of files, a row for ``FILE_ROWS`` documents, is summed in order.
     """
+    ship(documents.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, out, stop = pieces(tokenizer, TABLE), None, np.array([] if end is None else [end], dtype=np.uint32)
         for batch in slices(batches):
@@ -171,6 +172,7 @@ def write_ids(documents: DataFrame, tokenizer: str, folder: str, end: int | None
 
 def read_ids(files: DataFrame) -> DataFrame:
     """``doc_id, start, ids`` of every document in the files; ``ids`` holds little-endian unsigned 32-bit integers."""
+    ship(files.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
         for batch in batches:

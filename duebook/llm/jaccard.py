@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import slices, whole_text
+from duebook.llm.common import ship, slices, whole_text
 from duebook.llm.graph import components
 from duebook.session import materialise
 
@@ -246,6 +246,7 @@ def signatures(documents: DataFrame, words: int = WORDS) -> DataFrame:
 
     Identifier and values are null for texts without words.
     """
+    ship(documents.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             ids, sizes, values = [], [], []
@@ -298,6 +299,7 @@ def similarity_join(documents: DataFrame, words: int = WORDS, threshold: float =
     left only connects classes to clusters, inside which all pairs are decided by exact overlap. Buckets and clusters of over
     ``BLOCK`` members are dealt over pairs of blocks; a task passes on sums and stars of what is connected, not pairs.
     """
+    ship(documents.sparkSession)
     signed = materialise(signatures(documents, words), "signatures")
     known = signed.where("s1 IS NOT NULL")
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.element_at("signature", b * ROWS + r + 1) for r in range(ROWS)]) for b in range(BANDS)])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import slices, whole_text
+from duebook.llm.common import ship, slices, whole_text
 from duebook.session import materialise
 
 #: Labelled rows that the text classifier is fitted on at most, chosen by a hash of ``doc_id``.
@@ -85,6 +85,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     At most ``sample`` labelled rows, an id and a number each, are sent to the tasks that read the texts. One half finds the words, the other the weights, so that words are not weighed where they were
     found. Without both kinds of rows all evidence is 0.
     """
+    ship(documents.sparkSession)
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(good.cast("int")).alias("good")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -166,6 +167,7 @@ def classify(documents: DataFrame, labels: DataFrame, host: Column | None = None
     ``host`` defaults to ``source``, ``path`` to ``lang`` below it; null hosts and paths are groups of their own. Null text is empty;
     repeated rows are classified one by one; an empty table gives an empty result.
     """
+    ship(documents.sparkSession)
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model = fit(documents, labels, sample)

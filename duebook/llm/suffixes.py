@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import slices, whole_text
+from duebook.llm.common import ship, slices, whole_text
 from duebook.session import materialise
 
 #: Ranges of anchor places, and the part of the length that an anchor has.
@@ -336,6 +336,7 @@ def repeated_spans(texts: DataFrame, length: int = 400, most: int | None = None)
 
     ``texts`` has ``t1, t2, text``; equal texts are places of their own. Spans of a text may overlap.
     """
+    ship(texts.sparkSession)
     most = SURROUNDINGS if most is None else most
     reach = Cutter(length).spread - 1
     cores = materialise(repeated_cores(texts, length), "cores")
@@ -391,6 +392,7 @@ def remove_repeats(documents: DataFrame, length: int = 400, characters: bool = F
     count, and strings are judged on the input. Null text is empty; texts shorter than ``length`` stay as they are; copies of a
     text of at least ``length`` bytes all go whole. With ``characters``, characters that a span holds in part stay.
     """
+    ship(documents.sparkSession)
     names = documents.columns
     texts = documents.select(whole_text().alias("text")).select(*_keys(F.col("text")), "text")
     spans = repeated_spans(texts, length, most).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "spans")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import numbered, slices, whole_text
+from duebook.llm.common import numbered, ship, slices, whole_text
 from duebook.llm.pieces import pieces
 from duebook.session import materialise
 
@@ -21,6 +21,7 @@ HELD = 400_000
 
 def pretoken_frequencies(documents: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``pretoken, n``: how often each pre-token stands in the table, added up in the tasks first."""
+    ship(documents.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = pieces(tokenizer), Counter()
 
@@ -42,6 +43,7 @@ def pretoken_frequencies(documents: DataFrame, tokenizer: str, text: str = "text
 
 def piece_counts(frequencies: DataFrame, tokenizer: str) -> DataFrame:
     """``pretoken, n, pieces``: the model reads each distinct pre-token once; ids are not kept."""
+    ship(frequencies.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(tokenizer)
         for part in slices(batches, 8192):
@@ -57,6 +59,7 @@ def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 2048, text:
     The frequencies of a document meet the piece counts in two ways: the most frequent pre-tokens, of bounded number and length, are sent
     to all tasks and summed where the document is read, all others are joined by a shuffle.
     """
+    ship(documents.sparkSession)
     counted = materialise(piece_counts(pretoken_frequencies(documents, tokenizer, text), tokenizer), "pieces")
     top = counted.where(F.length("pretoken") <= LONGEST).orderBy(F.desc("n"), "pretoken").limit(FREQUENT).select("pretoken", "pieces").collect()
     frequent = documents.sparkSession.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in top})

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from duebook.llm.common import ship
 from duebook.session import materialise
 
 #: Rows of a block of candidates and of queries: one pair of blocks is one unit of work.
@@ -134,6 +135,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, pilot: int = C
     little. A row with the query's own id is no candidate; other repeated ids count one by one. Rows with null ids take no part, vectors meet
     only vectors of as many dimensions, and zero dimensions score 0. Empty sides give an empty result.
     """
+    ship(candidates.sparkSession)
     spark = candidates.sparkSession
     rows, asked = candidates.where("id IS NOT NULL"), queries.where("id IS NOT NULL").dropDuplicates(["id"])
     n, m = max(1, -(-rows.count() // CANDIDATES)), max(1, -(-asked.count() // QUERIES))

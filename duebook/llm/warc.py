@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duebook.llm.common import file_system, slices
+from duebook.llm.common import file_system, ship, slices
 from duebook.session import materialise
 
 RECORD = "record_id string, type string, refers_to string, uri string, date string, headers map<string,string>, block binary"
@@ -115,6 +115,7 @@ def _response(page_id, url, body: str, date: str) -> dict:
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """One response record for every page; null pages are empty ones, a null address is an empty one."""
+    ship(pages.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices([batch]):
@@ -161,6 +162,7 @@ def derive(records: DataFrame) -> DataFrame:
     headers, its links and meta tags as JSON and says whether the stored digest holds. The conversion record is the plain text and names
     the metadata record. Repeated responses give repeated records.
     """
+    ship(records.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices([batch], 64):
@@ -195,6 +197,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
 
     Files get new names in every attempt; the table names those of the attempts that succeeded.
     """
+    ship(records.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = file_system(folder)
         name, n, out = f"part-{uuid.uuid4().hex}.warc.gz", 0, None
@@ -213,6 +216,8 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
 
 def read_warc(spark: SparkSession, files: DataFrame) -> DataFrame:
     """The records of the files that a table names, one task per file at most."""
+    ship(spark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column("file").to_pylist():

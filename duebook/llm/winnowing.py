@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import whole_text
+from duebook.llm.common import ship, whole_text
 
 #: Characters of a gram and grams of a window: texts that share GRAM + WINDOW - 1 characters share a selected gram.
 GRAM, WINDOW = 20, 61
@@ -110,6 +110,7 @@ def with_next(documents: DataFrame) -> DataFrame:
 
     The last range gets the first document of all. Texts move once; only the lower ends of the ranges reach the driver.
     """
+    ship(documents.sparkSession)
     starts = range_starts(documents)
     spark = documents.sparkSession
     ends = spark.sparkContext.broadcast(np.array(starts, dtype=np.int64))
@@ -141,6 +142,7 @@ def fingerprints(documents: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     others; rows of equal id follow each other in order of text. Fingerprints list ``hash@place``; a text shorter than a gram is one
     gram, one with fewer grams than a window is one window. Documents of a range are read in order, one after the other.
     """
+    ship(documents.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # bucket, id, text, fingerprint of the document before
 
