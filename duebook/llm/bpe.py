@@ -160,11 +160,11 @@ class Decoder:
     def __init__(self, path: str):
         import json
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        decoder = json.loads(self.tokenizer.to_str())["decoder"]
+        tokenizer = Tokenizer.from_file(path)
+        decoder = json.loads(tokenizer.to_str())["decoder"]
         self.kind = "blank" if decoder is None else "bytes" if decoder["type"] == "ByteLevel" else "other"
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        names = [self.tokenizer.id_to_token(i) for i in range(size)]
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        names = [tokenizer.id_to_token(i) for i in range(size)]
         if self.kind == "bytes":
             back = {c: bytes([b]) for b, c in _BYTES.items()}
             if not all(n is not None and all(c in back for c in n) for n in names):
@@ -172,6 +172,7 @@ class Decoder:
             else:
                 names = [b"".join(back[c] for c in n) for n in names]
         self.names = names
+        self.tokenizer = tokenizer if self.kind == "other" else None  # a worker keeps the names alone
 
     def decode(self, ids: bytes) -> str:
         found = np.frombuffer(ids, dtype="<i4").tolist()

@@ -14,7 +14,7 @@ import unicodedata
 from functools import lru_cache
 
 #: Parts in a table's young half, half as many pre-tokens; a full half becomes the old half, from which what is asked for again moves to the young one.
-RUNS = 120_000
+RUNS = 60_000
 #: Longer runs are not kept.
 KEPT = 64
 
