@@ -16,8 +16,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch, and the setting that holds them.
+BATCH, BATCH_ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors, once per session, for those that do not have it installed."""
+    """Send the package's source to the executors, once per session, for those that do not have it installed.
+
+    Tasks get their rows in batches of ``BATCH`` where the session has Spark's default, which for texts would fill a worker.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(BATCH))
     context = spark.sparkContext
     if getattr(context, "_duebook_shipped", False):
         return
