@@ -188,6 +188,15 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_long_chains_close(spark):
+    ids = list(range(1000))
+    random.Random(6).shuffle(ids)
+    falling = [5000, *range(5999, 5000, -1)]
+    chains = [(a, b) for chain in (ids, falling) for a, b in zip(chain, chain[1:], strict=False)]
+    got = {r["id"]: r["label"] for r in graph.components(spark.createDataFrame(chains, "a long, b long")).collect()}
+    assert got == {i: 0 for i in ids} | {i: 5000 for i in falling}
+
+
 def test_queries_on_the_small_tables(spark, folder):
     documents = spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect()
     got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.op6_repeated_passages(spark, folder).collect())
