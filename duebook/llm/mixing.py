@@ -13,6 +13,8 @@ from duebook.session import materialise
 
 #: Rows of one cell that one task numbers; larger cells are dealt over several.
 CELL_ROWS = 1_000
+#: Repeated rows that are written out at a time.
+REPEATS = 1_000
 
 
 def _key(source: str) -> Column:
@@ -102,12 +104,15 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
     source of its own, last in order. Rates come from ``balance`` over cells of equal source and size, so a source with a third of
     all rows is one row per distinct size. Rounding: per source, sizes falling, the running sum of ideal copies is rounded, which keeps
     the words within half of the largest document; three corrections then give or take copies of smaller documents. Inside a cell
-    the copies go to documents in the order of a hash of ``doc_id``; cells of over ``CELL_ROWS`` rows are dealt over several
-    tasks. Repeated rows are counted and taken one by one. An empty table gives an empty result.
+    the copies go to documents in the order of a hash of ``doc_id``. Rows equal in ``doc_id``, source and size are counted first and
+    written out at the end; cells of over ``CELL_ROWS`` rows are dealt over several tasks by ranges of the hash, and the rows of the
+    deals before come from a count, so the order is one over the whole cell. Repeated rows are taken one by one. An empty table gives an
+    empty result.
     """
     sized = materialise(documents.select("doc_id", _key(source).alias("key"),
-                                         F.regexp_count(whole_text(text), F.lit(WORD)).cast("long").alias("size")), "sizes")
-    cells = materialise(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "cells")
+                                         F.regexp_count(whole_text(text), F.lit(WORD)).cast("long").alias("size"))
+                        .groupBy("doc_id", "key", "size").agg(F.count("*").alias("rows")), "sizes")
+    cells = materialise(sized.groupBy("key", "size").agg(F.sum("rows").alias("n")), "cells")
     targets = materialise(source_targets(cells, weights, float(most)), "targets")
     tilts = balance(cells, targets, float(most))
     rate = F.when((F.col("size") == 0) | F.col("tilt").isNull(), F.when(F.col("size") == 0, 1.0).otherwise(0.0)).otherwise(
@@ -124,12 +129,20 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
         plan = _corrected(plan, most, part)
     plan = materialise(plan.withColumn("deals", F.ceil(F.col("n") / CELL_ROWS)), "copies")
     place = F.xxhash64("doc_id", F.lit(7))
-    dealt = sized.join(plan, ["key", "size"]).withColumn("deal", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("deals")))
-    rank = F.row_number().over(Window.partitionBy("key", "size", "deal").orderBy(place, "doc_id"))
-    extra = F.col("copies") % F.col("n")
-    share = F.floor((F.col("deal") + 1) * extra / F.col("deals")) - F.floor(F.col("deal") * extra / F.col("deals"))
-    taken = F.floor(F.col("copies") / F.col("n")) + (rank <= share).cast("long")
-    return dealt.withColumn("taken", taken).select(
+    range_of = F.floor((place.cast("double") / F.lit(2.0 ** 64) + 0.5) * F.col("deals"))
+    dealt = sized.join(plan, ["key", "size"]).withColumn("place", place).withColumn(
+        "deal", F.greatest(F.lit(0), F.least(range_of, F.col("deals") - 1)).cast("long"))
+    upto_deal = Window.partitionBy("key", "size").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.where("deals > 1").groupBy("key", "size", "deal").agg(F.sum("rows").alias("held")).select(
+        "key", "size", "deal", F.sum("held").over(upto_deal).alias("offset"))
+    within = Window.partitionBy("key", "size", "deal").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("before", F.coalesce(F.sum("rows").over(within), F.lit(0))).join(offsets, ["key", "size", "deal"], "left")
+    more = F.col("copies") % F.col("n") - F.col("before") - F.coalesce("offset", F.lit(0))
+    parts = ranked.withColumn("more", more).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / REPEATS))))
+    first, last = F.col("part") * REPEATS + 1, F.least(F.col("rows"), (F.col("part") + 1) * REPEATS)
+    each = parts.withColumn("number", F.explode(F.sequence(first, last)))
+    taken = F.floor(F.col("copies") / F.col("n")) + (F.col("number") <= F.col("more")).cast("long")
+    return each.withColumn("taken", taken).select(
         "doc_id", "size", "source_size", "target", "rate", F.col("taken").alias("copies"), (F.col("taken") * F.col("size")).alias("taken"))
 
 

@@ -69,6 +69,18 @@ def test_mix_of_odd_rows(odd, none, monkeypatch):
     assert mixing.mix(odd.where("text IS NULL OR trim(text) = ''")).agg({"taken": "sum"}).first()[0] == 0
 
 
+def test_large_cells_lose_no_copies(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL_ROWS", 50)
+    monkeypatch.setattr(mixing, "REPEATS", 300)
+    text = "w " * 10
+    rows = [(None if i % 3 else i, text, "a") for i in range(3000)] + [(10_000 + i // 2, text, "b") for i in range(5316)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(documents).groupBy("source_size", "target").agg({"taken": "sum", "copies": "min", "*": "count"}).collect()
+    assert {(r["source_size"], r["count(1)"]) for r in found} == {(30_000, 3000), (53_160, 5316)}
+    for r in found:
+        assert abs(r["sum(taken)"] - r["target"]) <= 5
+
+
 def test_targets_stop_at_the_bound(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, None: 300, "ä": 40}
     cells = spark.createDataFrame([("n" if s is None else "a" + s, n, 1) for s, n in sizes.items()], "key string, size long, n long")
