@@ -299,6 +299,11 @@ def similarity_join(documents: DataFrame, words: int = WORDS, threshold: float =
     left only connects classes to clusters, inside which all pairs are decided by exact overlap. Buckets and clusters of over
     ``BLOCK`` members are dealt over pairs of blocks; a task passes on sums and stars of what is connected, not pairs.
     """
+    return _classes(documents, words, threshold).drop("class_key")
+
+
+def _classes(documents: DataFrame, words: int, threshold: float) -> DataFrame:
+    """The columns of ``similarity_join`` and ``class_key``, which tells classes apart whatever their ids; null for texts without words."""
     ship(documents.sparkSession)
     signed = materialise(signatures(documents, words), "signatures")
     known = signed.where("s1 IS NOT NULL")
@@ -319,13 +324,13 @@ def similarity_join(documents: DataFrame, words: int = WORDS, threshold: float =
     links = checked.where("b IS NULL").groupBy("s1").agg(F.sum("links").alias("links"))
     joined = components(checked.where("b IS NOT NULL").select(F.col("s1").alias("a"), "b")).withColumnsRenamed({"id": "s1"})
     least = joined.join(copies, "s1").groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    facts = copies.join(links, "s1", "left").join(joined.join(least, "label").select("s1", "class_id"), "s1", "left").select(
-        "s1", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
+    facts = copies.join(links, "s1", "left").join(joined.join(least, "label").select("s1", "label", "class_id"), "s1", "left").select(
+        "s1", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("label", "s1").alias("class_key"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return signed.select("doc_id", "text_key", "s1", "n_shingles").join(facts, "s1", "left").select(
         "doc_id", "text_key", F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("s1").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles", "class_key")
 
 
 def one_of_each(documents: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -333,9 +338,10 @@ def one_of_each(documents: DataFrame, words: int = WORDS, threshold: float = THR
 
     Rows equal in ``doc_id`` and text count as one. Texts without words and rows without any ``doc_id`` in their class stay.
     """
-    found = similarity_join(documents, words, threshold)
-    kept = found.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key")).alias("best")).select("best.*")
-    kept = kept.where("doc_id IS NOT NULL").unionByName(found.where("class_id IS NULL").select("doc_id", "text_key").distinct())
+    found = _classes(documents, words, threshold)
+    with_id = found.where("class_key IS NOT NULL AND doc_id IS NOT NULL")
+    kept = with_id.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("best")).select("best.*")
+    kept = kept.unionByName(found.where("class_key IS NULL OR class_id IS NULL").select("doc_id", "text_key").distinct())
     kept = kept.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     rows = documents.withColumn("_text_key", F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text_key"] == kept["_key"])

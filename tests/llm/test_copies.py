@@ -169,6 +169,14 @@ def test_similarity_join(spark, odd, none, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(classes)
 
 
+def test_one_of_each_of_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (5, a), (7, a + " end"), (5, b), (9, b), (5, ""), (5, None), (3, c), (None, c + " end"), (None, d), (5, " \n")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(5, a), (5, b), (5, ""), (5, None), (3, c), (None, d), (5, " \n")]
+    assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, expected))
+
+
 def test_pruning_bound():
     least = jaccard.least_matches(0.8, 1e-6, 160)
     assert least[0] == 0 and least[160] > 90
