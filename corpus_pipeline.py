@@ -10,8 +10,9 @@ from duebook.llm import bpe, jaccard, mixing, quality, suffixes
 from duebook.session import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Bytes of a passage that repeats: the least that 51 words of prose take, so that passages of over 50 words are found.
-PASSAGE = 256
+#: Words of a passage that repeats, over 50, and the least bytes that they can take: a byte each and one between two.
+PASSAGE_WORDS = 51
+PASSAGE = 2 * PASSAGE_WORDS - 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -27,8 +28,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that also stand elsewhere; characters that a passage holds in part stay, ``n_chars`` follows the text."""
-    cut = suffixes.remove_repeats(docs.select(*COLUMNS), PASSAGE, characters=True)
+    """Texts without the passages of over 50 whole words that also stand elsewhere; ``n_chars`` follows the text."""
+    cut = suffixes.remove_repeats(docs.select(*COLUMNS), PASSAGE, characters=True, words=PASSAGE_WORDS)
     text = F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8"))
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

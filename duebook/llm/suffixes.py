@@ -9,6 +9,7 @@ them, go into a Burrows-Wheeler transform, and the expansion says which strings
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import ship, slices, whole_text
+from duebook.llm.common import WORD, ship, slices, whole_text
 from duebook.session import materialise
 
 #: Ranges of anchor places, and the part of the length that an anchor has.
@@ -32,6 +33,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = 0xBF58476D1CE4E5B9
 _BITS = 24
 _LOW = (1 << _BITS) - 1
+_WORD = re.compile(WORD.encode())
 
 
 # ---- the transform -------------------------------------------------------------------------------------------------------------
@@ -124,6 +126,14 @@ class Cutter:
                 steps.append(np.multiply.accumulate(powers))
             self.powers, self.inverse = steps[:2], steps[2:]
 
+    def sums(self, data: bytes) -> list[np.ndarray]:
+        """Running sums of the bytes' codes under both bases, from which ``_sum`` has the hash of any stretch."""
+        n = len(data)
+        self._grow(n + 1)
+        codes = (np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX)
+        codes ^= codes >> np.uint64(31)
+        return [np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * p[:n], dtype=np.uint64)]) for p in self.powers]
+
     def _sum(self, sums: np.ndarray, which: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         hashes = (sums[stop] - sums[start]) * self.inverse[which][start]
         hashes ^= hashes >> np.uint64(29)
@@ -151,10 +161,7 @@ class Cutter:
         n, length = len(data), self.length
         if n < length:
             return None
-        self._grow(n + 1)
-        codes = (np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(_MIX)
-        codes ^= codes >> np.uint64(31)
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * p[:n], dtype=np.uint64)]) for p in self.powers]
+        sums = self.sums(data)
         grams = (sums[0][self.gram:] - sums[0][:n - self.gram + 1]) * self.inverse[0][:n - self.gram + 1]
         grams ^= grams >> np.uint64(29)
         grams *= np.uint64(_MIX)
@@ -372,6 +379,43 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def runs_of_words(data: bytes, spans: list[tuple[int, int]], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stop of every run of ``words`` whole words that lies in one of the spans, which are merged."""
+    if sum(stop - start for start, stop in spans if stop - start >= 2 * words - 1) == 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    ends = np.array([m.span() for m in _WORD.finditer(data)], dtype=np.int64).reshape(-1, 2)
+    start, stop = ends[:max(0, len(ends) - words + 1), 0], ends[words - 1:, 1]
+    lows, highs = np.array(spans, dtype=np.int64).T
+    at = np.searchsorted(lows, start, side="right") - 1
+    inside = (at >= 0) & (stop <= highs[at])
+    return start[inside], stop[inside]
+
+
+def repeated_words(texts: DataFrame, spans: DataFrame, words: int) -> DataFrame:
+    """``t1, t2, spans``: the runs of ``words`` whole words that also stand at another place, looked for in the spans alone.
+
+    A run that repeats is a string that repeats, so it lies in a span at all its places; a span can also come from several shorter
+    strings, whose words do not repeat as one run.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(2 * words - 1)
+        for part in slices(batches):
+            for t1, t2, text, own in zip(*(part.column(c).to_pylist() for c in ("t1", "t2", "text", "spans")), strict=True):
+                data = text.encode()
+                start, stop = runs_of_words(data, merged([(s["start"], s["stop"]) for s in own]), words)
+                if not len(start):
+                    continue
+                sums = cutter.sums(data)
+                run = cutter._sum(sums[0], 0, start, stop) + (stop - start).astype(np.uint64) * np.uint64(_BASES[1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(start), t1)), pa.array(np.full(len(start), t2)), pa.array(run.view(np.int64)), pa.array(start), pa.array(stop)],
+                    names=["t1", "t2", "run", "start", "stop"])
+    found = texts.join(spans, ["t1", "t2"]).select("t1", "t2", "text", "spans").mapInArrow(run, "t1 long, t2 long, run long, start long, stop long")
+    found = materialise(found, "runs")
+    twice = found.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    return found.join(twice, "run", "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+
+
 def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans without the bytes of characters that they hold in part."""
     out = []
@@ -385,17 +429,24 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def remove_repeats(documents: DataFrame, length: int = 400, characters: bool = False, most: int | None = None) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 400, characters: bool = False, most: int | None = None, words: int | None = None) -> DataFrame:
     """All columns of the input, with ``kept`` (bytes left) and ``removed`` (spans of bytes, in order) beside them.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same text or another; overlapping strings
     count, and strings are judged on the input. Null text is empty; texts shorter than ``length`` stay as they are; copies of a
-    text of at least ``length`` bytes all go whole. With ``characters``, characters that a span holds in part stay.
+    text of at least ``length`` bytes all go whole. With ``characters``, characters that a span holds in part stay. With ``words``, a byte
+    only goes if it lies in a run of so many whole words that starts anywhere else too; the least length of such a run is
+    ``2 * words - 1`` bytes, and ``length`` must not be more.
     """
     ship(documents.sparkSession)
     names = documents.columns
     texts = documents.select(whole_text().alias("text")).select(*_keys(F.col("text")), "text")
-    spans = repeated_spans(texts, length, most).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "spans")
+    spans = repeated_spans(texts, length, most)
+    if words is not None:
+        if length > 2 * words - 1:
+            raise ValueError(f"{words} words can take {2 * words - 1} bytes, fewer than {length}")
+        spans = repeated_words(texts, spans, words)
+    spans = spans.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "spans")
     carried = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), whole_text().alias("text"))
     keyed = carried.select("row", "text", F.xxhash64("text").alias("_t1"), F.xxhash64("text", F.lit(1)).alias("_t2"))
 

@@ -110,6 +110,22 @@ def test_repeated_passages(spark, odd, none):
     assert suffixes.remove_repeats(none, 12).count() == 0
 
 
+def test_passages_are_counted_in_words(spark, folder):
+    import corpus_pipeline
+    draw = random.Random(8)
+
+    def prose(n, letters, size):
+        return " ".join("".join(draw.choice(letters) for _ in range(size)) for _ in range(n))
+    short, fifty, wide = prose(51, "abcdefgh", 2), prose(50, "ijklmnop", 12), prose(60, "éüабв", 5)
+    halves = [prose(30, "qrstuv", 6), prose(30, "qrstuv", 6)]
+    texts = [f"{prose(20, 'wxyz', 6)} {x} {prose(20, 'wxyz', 6)}" for x in (short, short, fifty, fifty, wide, "é" + wide, *halves, " ".join(halves))]
+    documents = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["text"] for r in corpus_pipeline.remove_passages(spark, documents, folder).orderBy("doc_id").collect()]
+    first = wide.split(" ")[0]
+    rest = wide.removeprefix(first + " ")  # the first word differs
+    assert got == [t.replace(short, "").replace(rest, "") for t in texts]
+
+
 def test_whole_characters_stay():
     data = "aé日".encode()
     assert suffixes.whole_characters(data, [(2, 4)]) == []
