@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from duebook.llm import bpe, idfiles, jaccard, mixing, quality, suffixes, tokens, topk, warc, winnowing
+from duebook.llm import bpe, divergence, idfiles, jaccard, mixing, quality, suffixes, tokens, topk, warc, winnowing
 from duebook.llm.common import table, whole_text
 
 
@@ -81,8 +81,12 @@ def op10_ngram_jaccard_join(spark, folder):
     return jaccard.similarity_join(table(spark, folder, "documents")).drop("text_key")
 
 
+def op11_source_divergence(spark, folder):
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_quality, op4_fingerprints, op5_token_id_files, op6_repeated_passages, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives,
-                                 op10_ngram_jaccard_join)}
+                                 op10_ngram_jaccard_join, op11_source_divergence)}
 SQL: dict[str, str] = {
     "op6_repeated_passages": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -120,4 +124,28 @@ copies AS (SELECT a AS r, min(s.doc_id) AS copy_id FROM l JOIN s ON l.b = s.r WH
 links AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY 1)
 SELECT doc_id, class_id, least(doc_id, coalesce(copy_id, doc_id)) AS copy_id, coalesce(n_links, 0) AS n_links, len(s) AS n_shingles
 FROM s JOIN class USING (r) LEFT JOIN copies USING (r) LEFT JOIN links USING (r)""",
+    "op11_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(any_value(v.v), 0) AS v, coalesce(sum(c.n), 0) AS total
+  FROM g LEFT JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (s.total + s.v) AS p
+  FROM s JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+l AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (n + 1) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term)),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(any_value(x.value), 0) AS BIGINT) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) AS x
+  ON x.lang = a.lang AND x.source = a.source AND x.item = b.source GROUP BY ALL),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST((p.p - l.q) * (p.p - l.q) // l.q AS BIGINT) AS value
+  FROM p JOIN l USING (lang, term) WHERE p.n > 0 AND p.p > l.q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200""",
 }
