@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from duebook.llm import bpe, divergence, idfiles, jaccard, mixing, quality, suffixes, tokens, topk, warc, winnowing
+from duebook.llm import bpe, divergence, idfiles, jaccard, mixing, quality, repair, suffixes, tokens, topk, warc, winnowing
 from duebook.llm.common import table, whole_text
 
 
@@ -85,8 +85,20 @@ def op11_source_divergence(spark, folder):
     return divergence.source_divergence(table(spark, folder, "documents"))
 
 
+def op12_conversation_repair(spark, folder):
+    """Repair of conversations whose turns were damaged by the checksum of their place: left out, emptied, without ends of sentences, repeated, given to the user."""
+    turns = repair.standing(table(spark, folder, "conversations"))
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    kind = F.crc32(place.cast("binary")) % 20
+    damaged = turns.withColumn("kind", kind).withColumn("copy", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    return repair.repair(damaged.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("row") * 2 + F.col("copy")).alias("row"),
+                                        (F.col("kind") != 0).alias("there")), numbered_rows=True)
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_quality, op4_fingerprints, op5_token_id_files, op6_repeated_passages, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives,
-                                 op10_ngram_jaccard_join, op11_source_divergence)}
+                                 op10_ngram_jaccard_join, op11_source_divergence, op12_conversation_repair)}
 SQL: dict[str, str] = {
     "op6_repeated_passages": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -148,4 +160,40 @@ term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST((p.p - l.
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
   FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    ORDER BY i) AS t FROM range(256) AS x(i)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM k, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM d),
+f AS (SELECT conv_id, turn, role, text, i, CASE WHEN last = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+    WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+a AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count_if(fault = 1) AS blank,
+    count_if(fault = 2) AS duplicate, count_if(fault = 3) AS truncated,
+    count_if(before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+steps AS (SELECT * FROM (VALUES ('e', 's', 's'), ('e', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')) AS v(x, c, y)),
+fits AS (SELECT * FROM (VALUES ('e', 'u', 'user'), ('s', 'u', 'user'), ('a', 'u', 'user'), ('u', 'a', 'assistant')) AS v(x, y, role)),
+ins AS (SELECT x, x AS y, 0 AS cost, '' AS edits, '' AS lines FROM (VALUES ('e'), ('s'), ('u'), ('a')) AS v(x)
+  UNION ALL SELECT x, y, 3, 'I', role || ':' || chr(10) FROM fits
+  UNION ALL SELECT p.x, q.y, 6, 'II', p.role || ':' || chr(10) || q.role || ':' || chr(10) FROM fits AS p JOIN fits AS q ON p.y = q.x),
+best(conv_id, i, x, cost, audit, lines) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 'e', CAST(0 AS BIGINT), '', '' FROM a
+  UNION ALL
+  SELECT conv_id, i, y, got.cost, got.audit, got.lines FROM (
+    SELECT b.conv_id, f.i, e.y, min(struct_pack(cost := CAST(b.cost + ins.cost + e.cost AS BIGINT), audit := b.audit || ins.edits || e.edit, lines := b.lines || ins.lines || e.line)) AS got
+    FROM best AS b JOIN ins ON b.x = ins.x JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1,
+    LATERAL (SELECT ins.y AS y, 4 AS cost, 'D' AS edit, '' AS line
+      UNION ALL SELECT s.y, CASE WHEN f.fault = 3 THEN 3 ELSE 0 END, 'K', f.role || ':' || f.text || chr(10) FROM steps AS s WHERE s.x = ins.y AND s.c = f.c AND f.fault NOT IN (1, 2)
+      UNION ALL SELECT t.y, CASE WHEN f.fault = 3 THEN 6 ELSE 3 END, 'R', t.role || ':' || f.text || chr(10) FROM fits AS t WHERE t.x = ins.y AND f.fault NOT IN (1, 2)) AS e
+    GROUP BY b.conv_id, f.i, e.y)),
+done AS (SELECT a.conv_id, min(struct_pack(cost := b.cost + ins.cost, audit := b.audit || ins.edits, lines := b.lines || ins.lines)) AS got
+  FROM a JOIN best AS b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = a.n JOIN ins ON b.x = ins.x AND ins.y IN ('e', 'a') GROUP BY a.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(done.got.cost, 0) AS cost, coalesce(done.got.audit, '') AS audit,
+  sha256(coalesce(left(done.got.lines, length(done.got.lines) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }
