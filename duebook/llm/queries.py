@@ -10,8 +10,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from duebook.llm import bpe, divergence, idfiles, jaccard, mixing, quality, repair, suffixes, tokens, topk, warc, winnowing
-from duebook.llm.common import table, whole_text
+from duebook.llm import bpe, collide, divergence, idfiles, jaccard, mixing, quality, repair, suffixes, tokens, topk, warc, winnowing
+from duebook.llm.common import numbered, table, whole_text
+from duebook.session import materialise
 
 
 def op1_token_counts(spark, folder):
@@ -97,8 +98,13 @@ def op12_conversation_repair(spark, folder):
                                         (F.col("kind") != 0).alias("there")), numbered_rows=True)
 
 
+def op13_near_vectors(spark, folder):
+    vectors = materialise(numbered(collide.usable(table(spark, folder, "embeddings")), "id", "v", "norm"), "vectors")
+    return collide.nearest(vectors, vectors.where("id % 20 = 0"), 20)
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_round_trip, op3_quality, op4_fingerprints, op5_token_id_files, op6_repeated_passages, op7_mix_to_targets, op8_exact_top_k, op9_warc_derivatives,
-                                 op10_ngram_jaccard_join, op11_source_divergence, op12_conversation_repair)}
+                                 op10_ngram_jaccard_join, op11_source_divergence, op12_conversation_repair, op13_near_vectors)}
 SQL: dict[str, str] = {
     "op6_repeated_passages": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
