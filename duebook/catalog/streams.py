@@ -11,6 +11,7 @@ from duebook.operators import models as ML
 from duebook.operators import snapshots as S
 from duebook.session import run_folder
 from duebook.sources import adapter as A
+from duebook.sources.ledger import Ledger
 from duebook.streaming import arrivals as X
 
 START = "2001-03-04"
@@ -42,6 +43,22 @@ def _(spark, d):
     return plain(X.read_upserted_history(spark, every, root).select("doc_id", "total_open_amount", "invoice_sent"))
 
 
+@query("stream_into_ledger", sql("inv", f"""
+  SELECT doc_id, {r('CASE WHEN invoice_paid IS NULL THEN total_open_amount + 1 ELSE total_open_amount END')} AS total_open_amount,
+    CAST(invoice_sent AS VARCHAR) AS invoice_sent FROM inv"""))
+def _(spark, d):
+    """Open invoices arrive in several files, taken one per batch, into a stored history."""
+    every = A.invoices(spark, d, only_paid=False).select("doc_id", "total_open_amount", "invoice_sent", "invoice_paid")
+    path = run_folder(spark, "arrivals")
+    news = every.where("invoice_paid is null").withColumn("total_open_amount", F.col("total_open_amount") + 1)
+    news.repartition(2).write.parquet(path)
+    ledger = Ledger(spark, run_folder(spark, "ledger"), buckets=8)
+    ledger.create(every)
+    source = X.landing(spark, path, news.schema, maxFilesPerTrigger=1)
+    X.stream_into_ledger(source, ledger, run_folder(spark, "checkpoint")).awaitTermination()
+    return plain(ledger.read().select("doc_id", "total_open_amount", "invoice_sent"))
+
+
 @query("stream_score")
 def _(spark, d):
     train, _, _ = parts(spark, d)

@@ -15,6 +15,7 @@ from duebook.operators import queue as Q
 from duebook.session import run_folder
 from duebook.sources import adapter as A
 from duebook.sources import readers as RD
+from duebook.sources.ledger import Ledger
 from duebook.sources import writers as W
 
 CLEAN = f"""SELECT doc_id, cust_number, business_year, CAST(due_in_date AS VARCHAR) AS due_in_date, invoice_currency, document_type,
@@ -110,6 +111,53 @@ def _(spark, d):
     return plain(merged.select("doc_id", "cust_number", "invoice_paid", "total_open_amount", "invoice_amount_log"))
 
 
+LAST_FILE = sql("inv", f"""
+  SELECT doc_id, {r('CASE WHEN invoice_paid IS NULL THEN total_open_amount + 2 WHEN doc_id % 3 = 0 THEN total_open_amount + 1 ELSE total_open_amount END')}
+    AS total_open_amount, CAST(invoice_sent AS VARCHAR) AS invoice_sent, CASE WHEN invoice_paid IS NULL OR doc_id % 3 = 0 THEN 'new' END AS note FROM inv""")
+
+
+def arrivals(spark, d):
+    """The paid invoices as history, and a folder of files: of every third and every open invoice, then of the open ones again, in a larger or smaller file."""
+    every = A.invoices(spark, d, only_paid=False).select("doc_id", "total_open_amount", "invoice_sent", "invoice_paid")
+    path = run_folder(spark, "landing")
+    news = every.withColumn("note", F.lit("new"))
+    for more, rows in enumerate([news.where("invoice_paid IS NULL OR doc_id % 3 = 0"), news.where("invoice_paid IS NULL")]):
+        changed = rows.withColumn("total_open_amount", F.col("total_open_amount") + more + 1).drop("invoice_paid")
+        changed.coalesce(1).write.mode("append").parquet(path)
+    return C.paid_only(every).drop("invoice_paid"), spark.read.parquet(path)
+
+
+@query("upsert_uploaded_files", LAST_FILE)
+def _(spark, d):
+    """A batch of two files that repeat ids: the row of the later file stays, whichever file is larger."""
+    history, batch = arrivals(spark, d)
+    return plain(H.upsert_history(history, batch).select("doc_id", "total_open_amount", "invoice_sent", "note"))
+
+
+@query("upsert_ledger", LAST_FILE)
+def _(spark, d):
+    """The same batch into a stored history."""
+    history, batch = arrivals(spark, d)
+    ledger = Ledger(spark, run_folder(spark, "ledger"), buckets=16)
+    ledger.create(history)
+    ledger.upsert(batch)
+    return plain(ledger.read().select("doc_id", "total_open_amount", "invoice_sent", "note"))
+
+
+@query("compact_ledger", LAST_FILE)
+def _(spark, d):
+    """New ids only add runs; compacting merges them, and vacuum leaves the last version alone."""
+    history, batch = arrivals(spark, d)
+    ledger = Ledger(spark, run_folder(spark, "ledger"), buckets=16)
+    ledger.create(history.where("doc_id % 5 = 0"))
+    for part in range(1, 5):
+        ledger.upsert(history.where(F.col("doc_id") % 5 == part))
+    ledger.upsert(batch)
+    ledger.compact(runs=1)
+    ledger.vacuum()
+    return plain(ledger.read().select("doc_id", "total_open_amount", "invoice_sent", "note"))
+
+
 @query("union_history", sql("inv", f"""
   SELECT doc_id, {r('total_open_amount')} AS total_open_amount, NULL AS note FROM inv WHERE invoice_paid IS NOT NULL UNION ALL
   SELECT doc_id, {r('total_open_amount')}, 'new' FROM inv WHERE invoice_paid IS NULL"""))

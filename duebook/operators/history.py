@@ -117,20 +117,35 @@ def union_history(history: DataFrame, batch: DataFrame) -> DataFrame:
     return history.unionByName(batch, allowMissingColumns=True)
 
 
+def arrived_last(batch: DataFrame, key: str = "doc_id", batch_order: str | None = None, features: DataFrame | None = None) -> DataFrame:
+    """The last row of each key of a batch, with ``features`` by key: the one with the largest ``batch_order``, by default the one that arrived last.
+
+    Rows have arrived by the time of their file, its path and their place in it (``with_arrival``). The other columns, in ascending order, decide
+    among rows of equal ``batch_order``.
+    """
+    from duebook.operators.cleaning import keep_one
+    from duebook.operators.joins import add_missing_columns
+    from duebook.sources.arrival import ARRIVAL, with_arrival
+
+    if batch_order:
+        rows = batch.drop(ARRIVAL)
+        last = keep_one(rows, key, [-F.col(f"`{batch_order}`"), *[F.col(f"`{c}`") for c in rows.columns if c != key]])
+    else:
+        payload = F.struct(*[F.col(f"`{c}`") for c in batch.columns if c != ARRIVAL])
+        last = with_arrival(batch).groupBy(F.col(f"`{key}`")).agg(F.max_by(payload, ARRIVAL).alias("_row")).select("_row.*")
+    return last if features is None else add_missing_columns(last, features, key)
+
+
 def upsert_history(history: DataFrame, batch: DataFrame, features: DataFrame | None = None,
                    batch_order: str | None = None) -> DataFrame:
     """Append a batch with its features and keep the last row of each ``doc_id``.
 
-    Rows of the batch replace rows of the history; within the batch the row with the largest ``batch_order`` is the last, by
-    default the one read last.
+    Rows of the batch replace rows of the history; within the batch the row with the largest ``batch_order`` is the last, by default the one that
+    arrived last. A history that repeats an id keeps the row that is least in all columns. For a history that is stored, ``sources.ledger`` rewrites only what a batch touches.
     """
     from duebook.operators.cleaning import keep_one
-    from duebook.operators.joins import add_missing_columns
 
-    batch = batch.withColumn("_seq", F.col(batch_order) if batch_order else F.monotonically_increasing_id())
-    if features is not None:
-        batch = add_missing_columns(batch, features)
-    combined = union_history(history.withColumn("_side", F.lit(0)), batch.withColumn("_side", F.lit(1)))
-    order = [-F.col("_side"), -F.col("_seq")]
-    order += [F.col(f"`{c}`") for c in combined.columns if c not in ("_side", "_seq", "doc_id")]
-    return keep_one(combined, "doc_id", order).drop("_side", "_seq")
+    last = arrived_last(batch, "doc_id", batch_order, features)
+    combined = union_history(history.withColumn("_side", F.lit(0)), last.withColumn("_side", F.lit(1)))
+    order = [-F.col("_side")] + [F.col(f"`{c}`") for c in combined.columns if c not in ("_side", "doc_id")]
+    return keep_one(combined, "doc_id", order).drop("_side")

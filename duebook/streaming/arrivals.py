@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from duebook.operators.history import union_history
 from duebook.operators.snapshots import Population
 from duebook.plans.scoring import score_batch
 from duebook.session import materialise
+from duebook.sources.arrival import ARRIVAL, with_arrival, with_file_order
+from duebook.sources.ledger import Ledger
 
 
 def landing(spark: SparkSession, path: str, table: T.StructType, fmt: str = "parquet", **options) -> DataFrame:
@@ -54,28 +57,51 @@ def compact(merged: DataFrame, target: str) -> None:
     merged.write.parquet(f"{target}/batch=-1")
 
 
+def _in_files(source: DataFrame) -> DataFrame:
+    """A stream of files with the order of its files; other streams as they are, ordered by their place in a batch."""
+    try:
+        return with_file_order(source)
+    except AnalysisException:
+        return source
+
+
 def stream_upsert_history(source: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Add arriving rows to the history, one folder per batch.
+    """Add arriving rows to the history, one folder per batch, with their order of arrival.
 
     A batch writes its own rows only, whatever the size of the history; a repeated batch overwrites its folder.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_seq", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        with_arrival(batch).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
-    return (source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (_in_files(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def read_upserted_history(spark: SparkSession, initial: DataFrame, root: str) -> DataFrame:
-    """The history with all arrivals merged in: the last row of each ``doc_id`` wins, in order of batch and place in it.
+    """The history with all arrivals merged in: the last row of each ``doc_id`` wins, in order of batch, file and place in it.
 
     ``compact`` writes this table as the first batch of a new root, which keeps the number of batches to merge small.
     """
     arrived = spark.read.parquet(root)
-    arrived = arrived if "_seq" in arrived.columns else arrived.withColumn("_seq", F.lit(0).cast("long"))
-    merged = union_history(initial.withColumn("batch", F.lit(-2)), arrived)
-    rest = [F.col(f"`{c}`") for c in merged.columns if c not in ("batch", "_seq", "doc_id")]
-    return keep_one(merged, "doc_id", [-F.col("batch"), -F.col("_seq"), *rest]).drop("batch", "_seq")
+    order = F.col(ARRIVAL) if ARRIVAL in arrived.columns else F.lit(None)
+    columns = [c for c in arrived.columns if c not in ("batch", ARRIVAL)]
+    payload = F.struct(*[F.col(f"`{c}`") for c in columns])
+    last = arrived.groupBy("doc_id").agg(F.max_by(payload, F.struct("batch", order.alias("order"))).alias("_row")).select("_row.*")
+    merged = union_history(initial.withColumn("_side", F.lit(0)), last.withColumn("_side", F.lit(1)))
+    rest = [F.col(f"`{c}`") for c in merged.columns if c not in ("_side", "doc_id")]
+    return keep_one(merged, "doc_id", [-F.col("_side"), *rest]).drop("_side")
+
+
+def stream_into_ledger(source: DataFrame, ledger: Ledger, checkpoint: str) -> StreamingQuery:
+    """Upsert arriving rows into a stored history, batch by batch; a repeated batch changes nothing.
+
+    A batch reads and rewrites the runs that may hold its ids. ``compact`` and ``vacuum`` run between streams.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ledger.upsert(batch, applied=batch_id)
+
+    return (_in_files(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def weekly_cash(payments: DataFrame, reference_date: str, late_by: str = "7 days") -> DataFrame:
