@@ -55,7 +55,7 @@ def op6_repeated_passages(spark, folder):
     cut = suffixes.remove_repeats(documents, 400)
     return cut.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
                       (F.octet_length("text") - F.octet_length("kept")).cast("long").alias("n_removed"),
-                      F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                      F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("left").alias("text"))
 
 
 def op7_mix_to_targets(spark, folder):
@@ -63,7 +63,7 @@ def op7_mix_to_targets(spark, folder):
 
 
 def op8_exact_top_k(spark, folder):
-    vectors = topk.quantised(table(spark, folder, "embeddings"))
+    vectors = materialise(numbered(topk.quantised(table(spark, folder, "embeddings")), "id", "v"), "vectors")
     return topk.top_k(vectors, vectors.where("id % 20 = 0"), 20)
 
 
@@ -117,17 +117,20 @@ n AS (SELECT r, pos, sum(fresh) OVER (PARTITION BY r ORDER BY pos) AS span FROM
 e AS (SELECT r, min(pos) AS low, max(pos) + 400 AS high FROM n GROUP BY r, span),
 f AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM e),
 t AS (SELECT r, sum(high - low) AS gone, count(*) AS spans, max(high) AS last,
-  string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS kept FROM f JOIN d USING (r) GROUP BY r)
+  string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS kept,
+  string_agg(regexp_replace(regexp_replace(substr(h, 2 * before + 1, 2 * (low - before)), '^([89AB].)+', ''), '(C.|D.|E.([89AB].)?|F.([89AB].){0,2})$', ''),
+    '' ORDER BY low) AS whole FROM f JOIN d USING (r) GROUP BY r)
 SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
-  sha256(from_hex(CASE WHEN kept IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+  sha256(from_hex(CASE WHEN kept IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256,
+  decode(from_hex(CASE WHEN kept IS NULL THEN h ELSE whole || regexp_replace(substr(h, 2 * last + 1), '^([89AB].)+', '') END)) AS text
 FROM d LEFT JOIN t USING (r)""",
     "op8_exact_top_k": """
-WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM v AS q JOIN v AS c ON q.id % 20 = 0 AND q.id <> c.id AND len(q.v) = len(c.v))
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+WITH v AS (SELECT row_number() OVER () AS r, vec_id AS id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.r, q.id AS query_id, c.id AS vec_id, c.r AS c, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.id % 20 = 0 AND q.r <> c.r AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM p
+WINDOW best AS (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, c) QUALIFY row_number() OVER best <= 20""",
     "op10_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
     list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -430,7 +430,9 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def remove_repeats(documents: DataFrame, length: int = 400, characters: bool = False, most: int | None = None, words: int | None = None) -> DataFrame:
-    """All columns of the input, with ``kept`` (bytes left) and ``removed`` (spans of bytes, in order) beside them.
+    """All columns of the input, with ``kept`` (bytes left), ``removed`` (spans of bytes, in order) and ``left`` beside them.
+
+    ``left`` is what is left as text, without the characters of which a part has gone. An input column of one of these three names is not allowed.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same text or another; overlapping strings
     count, and strings are judged on the input. Null text is empty; texts shorter than ``length`` stay as they are; copies of a
@@ -438,6 +440,8 @@ def remove_repeats(documents: DataFrame, length: int = 400, characters: bool = F
     only goes if it lies in a run of so many whole words that starts anywhere else too; the least length of such a run is
     ``2 * words - 1`` bytes, and ``length`` must not be more.
     """
+    if clash := {"kept", "removed", "left"} & set(documents.columns):
+        raise ValueError(f"rename the input's columns {sorted(clash)}")
     ship(documents.sparkSession)
     names = documents.columns
     texts = documents.select(whole_text().alias("text")).select(*_keys(F.col("text")), "text")
@@ -450,18 +454,20 @@ def remove_repeats(documents: DataFrame, length: int = 400, characters: bool = F
     carried = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), whole_text().alias("text"))
     keyed = carried.select("row", "text", F.xxhash64("text").alias("_t1"), F.xxhash64("text", F.lit(1)).alias("_t2"))
 
-    @F.pandas_udf("kept binary, removed array<struct<start:long,stop:long>>")
+    @F.pandas_udf("kept binary, removed array<struct<start:long,stop:long>>, left string")
     def cut(text, found):
         import pandas as pd
-        kept, removed = [], []
+        kept, removed, left = [], [], []
         for value, own in zip(text, found, strict=True):
             data = value.encode()
             gone = merged([(s["start"], s["stop"]) for s in own]) if own is not None else []
             gone = whole_characters(data, gone) if characters else gone
             ends = [0, *[x for span in gone for x in span], len(data)]
-            kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
+            pieces = [data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]
+            kept.append(b"".join(pieces))
             removed.append([{"start": a, "stop": b} for a, b in gone])
-        return pd.DataFrame({"kept": kept, "removed": removed})
+            left.append("".join(p.decode("utf-8", "ignore") for p in pieces) if gone else value)
+        return pd.DataFrame({"kept": kept, "removed": removed, "left": left})
     joined = keyed.join(spans, ["_t1", "_t2"], "left")
-    return joined.select("row", cut("text", "spans").alias("cut")).select("row.*", "cut.kept", "cut.removed")
+    return joined.select("row", cut("text", "spans").alias("cut")).select("row.*", "cut.kept", "cut.removed", "cut.left")
 

@@ -52,6 +52,21 @@ def piece_counts(frequencies: DataFrame, tokenizer: str) -> DataFrame:
     return frequencies.mapInArrow(run, "pretoken string, n long, pieces int")
 
 
+def frequent_pieces(counted: DataFrame, most: int) -> DataFrame:
+    """``pretoken, pieces`` of the pre-tokens of up to ``LONGEST`` characters above a frequency that at most ``most`` of them have.
+
+    Frequencies are counted in 16 steps to an octave, at most 1 000 rows, of which whole steps are taken from the top; nothing is sorted.
+    """
+    short = counted.where(F.length("pretoken") <= LONGEST).withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 16))
+    least, held = None, 0
+    for row in sorted(short.groupBy("step").agg(F.count("*").alias("held")).collect(), key=lambda r: -r["step"]):
+        held += row["held"]
+        if held > most:
+            break
+        least = row["step"]
+    return short.where(F.lit(False) if least is None else F.col("step") >= least).select("pretoken", "pieces")
+
+
 def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row, as the tokenizers library counts without added tokens.
 
@@ -61,8 +76,7 @@ def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 2048, text:
     """
     ship(documents.sparkSession)
     counted = materialise(piece_counts(pretoken_frequencies(documents, tokenizer, text), tokenizer), "pieces")
-    top = counted.where(F.length("pretoken") <= LONGEST).orderBy(F.desc("n"), "pretoken").limit(FREQUENT).select("pretoken", "pieces").collect()
-    frequent = documents.sparkSession.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in top})
+    frequent = documents.sparkSession.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in frequent_pieces(counted, FREQUENT).collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known, runs = pieces(tokenizer), frequent.value, {}

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -110,6 +111,25 @@ def test_repeated_passages(spark, odd, none):
     assert suffixes.remove_repeats(none, 12).count() == 0
 
 
+def test_text_that_is_left_has_whole_characters(spark):
+    rows = [(1, "ab\u00e9" + "x" * 10 + "\u20acend"), (2, "\u00a9" + "x" * 10 + "\u20ac?"), (3, None), (4, "short")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in suffixes.remove_repeats(documents, 8).collect()}
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        gone = {i for s in found[doc_id]["removed"] for i in range(s["start"], s["stop"])}
+        assert bytes(b for i, b in enumerate(data) if i not in gone) == found[doc_id]["kept"]
+        at, whole = 0, []
+        for c in text or "":
+            size = len(c.encode())
+            whole.append("" if gone & set(range(at, at + size)) else c)
+            at += size
+        assert found[doc_id]["left"] == "".join(whole)
+    for name in ("kept", "removed", "left"):
+        with pytest.raises(ValueError):
+            suffixes.remove_repeats(documents.withColumn(name, documents.doc_id), 8)
+
+
 def test_passages_are_counted_in_words(spark, folder):
     import corpus_pipeline
     draw = random.Random(8)

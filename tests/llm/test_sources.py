@@ -11,7 +11,8 @@ import pytest
 
 import corpus_pipeline
 from duebook.llm import mixing, quality, queries, topk, warc
-from duebook.session import run_folder
+from duebook.llm.common import numbered
+from duebook.session import materialise, run_folder
 
 PYTHON_NODES = ("Python", "Arrow", "Pandas")
 
@@ -112,18 +113,24 @@ LAST = 2 ** 63 - 1
 
 
 def naive_top(rows, k, scale=64):
-    kept = []
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        kept.append((i, [math.floor(scale * x) for x in v]))
+    """Every row whose id is divisible by 20 against every other row; null ids come last among equals."""
+    kept = [(n, i, [math.floor(scale * x) for x in v]) for n, (i, v) in enumerate(rows)
+            if v is not None and not any(x is None or not math.isfinite(x) for x in v)]
     out = []
-    for q, a in {i: v for i, v in kept if i % 20 == 0}.items():
-        scored = sorted((-max(-LAST, min(LAST, sum(x * y for x, y in zip(a, v, strict=True)))), i) for i, v in kept if i != q and len(v) == len(a))
-        out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
+    for n, q, a in kept:
+        if q is not None and q % 20 == 0:
+            scored = sorted((-max(-LAST, min(LAST, sum(x * y for x, y in zip(a, v, strict=True)))), math.inf if i is None else i)
+                            for m, i, v in kept if m != n and len(v) == len(a))
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
+def top_of(spark, rows, where, k=20):
+    vectors = materialise(numbered(topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "id", "v"), "vectors")
+    found = topk.top_k(vectors, vectors.where(where), k).collect()
+    return sorted((r["query_id"], r["rank"], math.inf if r["vec_id"] is None else r["vec_id"], r["score"]) for r in found)
+
+
 @pytest.mark.parametrize("spread", [1.0, 3000.0, 1e6, 1e12])
 def test_top_k(spark, spread, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 50)
@@ -131,16 +138,15 @@ def test_top_k(spark, spread, monkeypatch):
     draw = random.Random(7)
     rows = [(i, [draw.gauss(0, spread) if i % 7 else float(i % 3) for _ in range(24)]) for i in range(200)]
     rows += [(900, None), (901, [None] * 24), (902, [float("nan")] * 24), (903, [float("inf")] * 24), (None, [1.0] * 24), (920, [1.0, 2.0]), (921, [2.0, 1.0]),
-             (940, []), (55, rows[55][1]), (60, rows[60][1])]
-    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.where("id % 20 = 0"), 20).collect())
-    assert got == naive_top(rows, 20)
+             (940, []), (55, rows[55][1]), (60, rows[60][1]), (40, rows[41][1]), (40, [9.0 * spread] * 24), (None, rows[60][1])]
+    assert top_of(spark, rows, "id % 20 = 0") == naive_top(rows, 20)
 
 
 def test_top_k_of_few_or_none(spark):
-    vectors = topk.quantised(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [-2.0])], "vec_id long, embedding array<double>"))
-    assert sorted(tuple(r) for r in topk.top_k(vectors, vectors.where("id = 0"), 20).collect()) == [(0, 1, 1, 8192), (0, 2, 2, -8192)]
-    assert topk.top_k(vectors.where("false"), vectors.where("false"), 20).count() == 0
+    assert top_of(spark, [(0, [1.0]), (1, [2.0]), (2, [-2.0])], "id = 0") == [(0, 1, 1, 8192), (0, 2, 2, -8192)]
+    assert top_of(spark, [(0, [1.0])], "false") == [] and top_of(spark, [], "true") == []
+    repeated = [(20, [1.0]), (20, [3.0]), (None, [9.0])]
+    assert top_of(spark, repeated, "id % 20 = 0") == naive_top(repeated, 20) and len(naive_top(repeated, 20)) == 4
 
 
 PAGE = """<html lang=en><head><title>A &amp; B</title><base href='http://x.org/d/'><meta name="k" content="v"><style>p{}</style>
@@ -241,11 +247,11 @@ def test_pipeline(spark, folder):
 def test_all_are_registered():
     import __spark_entry__
     numbers = {int(n.split("_")[0][2:]) for n in queries.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
 def test_numpy_is_the_only_order(spark):
     ids, score = np.array([5, 3, 9]), np.array([[1, 1, 2]])
-    q, found, scores = topk.search(np.array([[1]]), ids, score, np.array([9]), np.array([-np.inf]), 2)
-    assert (q.tolist(), found.tolist(), scores.tolist()) == ([0, 0], [3, 5], [1, 1])
+    q, found, scores = topk.search(np.array([[1]]), ids, np.array([7, 8, 1]), score, np.array([1]), np.array([-np.inf]), 2)
+    assert (q.tolist(), ids[found].tolist(), scores.tolist()) == ([0, 0], [3, 5], [1, 1])

@@ -123,3 +123,14 @@ def test_queries_on_the_small_tables(spark, folder, libraries):
     for r in queries.op5_token_id_files(spark, folder).collect():
         ids = [*libraries[BYTE].encode(documents[r["doc_id"]], add_special_tokens=False).ids, 2]
         assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_frequent_pieces_hold_to_their_bound(spark):
+    rows = [(f"w{i}", 1 + 1000 // (i + 1), 1) for i in range(400)] + [("x" * 100, 10 ** 6, 9)]
+    counted = spark.createDataFrame(rows, "pretoken string, n long, pieces int")
+    for most in (0, 1, 7, 60, 399, 400, 10 ** 6):
+        got = {r["pretoken"] for r in tokens.frequent_pieces(counted, most).collect()}
+        others = [n for p, n, _ in rows if p not in got and len(p) <= 48]
+        assert len(got) <= most and (not got or not others or min(n for p, n, _ in rows if p in got) > max(others))
+        assert len(got) == 400 or most < 400
+    assert tokens.frequent_pieces(counted.where("false"), 5).count() == 0
