@@ -182,13 +182,20 @@ def vectors(spark, d):
 @query("knn_join", knn_sql("true"))
 def _(spark, d):
     q, s = vectors(spark, d)
-    return plain(RT.knn_join(q, s, pivots=8))
+    return plain(RT.knn_join(q, s))
+
+
+@query("knn_join_cells", knn_sql("true"))
+def _(spark, d):
+    """The same by two levels of cells and a second round for the queries whose neighbours may lie in other cells."""
+    q, s = vectors(spark, d)
+    return plain(RT.knn_join(q, s, fan=4))
 
 
 @query("knn_join_filtered", knn_sql("q.label = s.label"))
 def _(spark, d):
     q, s = vectors(spark, d)
-    return plain(RT.knn_join(q, s, by="label", pivots=8))
+    return plain(RT.knn_join(q, s, by="label"))
 
 
 NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
@@ -202,7 +209,7 @@ NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CA
         list_sum(list_transform(list_zip(a.v, b.v), lambda x: pow(x[1] - x[2], 2))) AS distance FROM u a CROSS JOIN u b)) WHERE rank <= 4""")
 def _(spark, d):
     q, s = vectors(spark, d)
-    return plain(RT.knn_join(RT.unit_vectors(q), RT.unit_vectors(s), pivots=8))
+    return plain(RT.knn_join(RT.unit_vectors(q), RT.unit_vectors(s)))
 
 
 def playbook(spark, d):

@@ -102,9 +102,9 @@ def brute(q, s, k, same=lambda a, b: True):
     return out
 
 
-@pytest.mark.parametrize("pivots, block_rows, query_rows", [(1, 1000, 1000), (6, 20, 10), (40, 7, 3), (None, 50, 9)])
+@pytest.mark.parametrize("fan, block_rows, query_rows", [(1, 1000, 1000), (3, 20, 10), (9, 7, 3), (None, 50, 9)])
 @pytest.mark.parametrize("by", [None, "label"])
-def test_knn_equals_brute_force(spark, pivots, block_rows, query_rows, by):
+def test_knn_equals_brute_force(spark, fan, block_rows, query_rows, by):
     rnd = random.Random(7)
     def point(centre):
         return [float(round(centre + rnd.gauss(0, 0.5), 2)) for _ in range(3)]
@@ -116,7 +116,7 @@ def test_knn_equals_brute_force(spark, pivots, block_rows, query_rows, by):
     q[40] = ("a", [5.0, 5.0, 5.0])
     store = spark.createDataFrame([(i, v, lab) for i, (lab, v) in s.items()], "id long, vector array<double>, label string")
     queries = spark.createDataFrame([(i, v, lab) for i, (lab, v) in q.items()], "query_id long, vector array<double>, label string")
-    got = knn_join(queries, store, 4, by=by, pivots=pivots, block_rows=block_rows, query_rows=query_rows)
+    got = knn_join(queries, store, 4, by=by, fan=fan, block_rows=block_rows, query_rows=query_rows)
     same = (lambda a, b: True) if by is None else (lambda a, b: a == b)
     assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == brute(q, s, 4, same)
 
@@ -125,13 +125,36 @@ def test_task_functions_need_no_package(spark):
     """Executors may lack the package: the functions sent to them must not refer to it."""
     from pyspark import cloudpickle
     from duebook.operators import retrieval
-    for function in (retrieval._nearest_in_block(3), retrieval._pivot_distances(np.zeros((2, 2))).func):
+    for function in (retrieval._nearest_in_block(3), retrieval._centre_distances(np.zeros((2, 2))).func,
+                     retrieval._to_cells(["id"]), retrieval._reached(True)):
         code = "import sys, pickle; pickle.loads(sys.stdin.buffer.read()); print('duebook' in sys.modules)"
         done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(function), capture_output=True, cwd="/",
                               env={**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(pyspark.__file__))})
         assert done.returncode == 0 and done.stdout.strip() == b"False", done.stderr
 
 
+def test_queries_see_few_cells(spark):
+    """Clustered vectors: the true distance in the nearest cell leaves a query few other cells, and the count of cells follows the root of the store."""
+    from duebook.operators import retrieval
+    rnd = np.random.default_rng(3)
+    centres = rnd.uniform(-50, 50, (25, 6))
+    points = [(i, (centres[i % 25] + rnd.normal(0, 0.5, 6)).tolist()) for i in range(4000)]
+    store = spark.createDataFrame(points, "id long, vector array<double>").withColumn("by", F.lit(0))
+    queries = spark.createDataFrame([(i, (centres[i % 25] + rnd.normal(0, 0.5, 6)).tolist()) for i in range(200)],
+                                    "query_id long, vector array<double>").withColumn("by", F.lit(0))
+    cells = retrieval.store_cells(store, 8, 4, 500)
+    held = cells.inner.count()
+    assert 32 <= held <= 64 and cells.rows.count() == 4000
+    home = retrieval.home_cells(queries, cells, 50)
+    assert home.count() == 200 and home.select("query_id").distinct().count() == 200
+    first = retrieval._in_cells(home, cells.rows, ["by", "outer", "inner"], 4, 500, 50)
+    rest = retrieval.other_cells(home, first, cells, 4, 50)
+    assert rest.count() <= 200 * held / 8  # of all cells, few lie within reach
+    got = knn_join(queries.drop("by"), store.drop("by"), 4, fan=8, block_rows=500, query_rows=50)
+    s, q = ({i: ("", v) for i, v in side} for side in (points, [(r["query_id"], r["vector"]) for r in queries.collect()]))
+    assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == brute(q, s, 4)
+
+
 def test_knn_without_store(spark):
     empty = spark.createDataFrame([], "id long, vector array<double>")
     queries = spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>")
