@@ -8,7 +8,9 @@ from duebook import schema
 from duebook.catalog.base import plain, query, r, sql
 from duebook.catalog.features import paid
 from duebook.operators import profiling as PR
+from duebook.operators import sketches as SK
 from duebook.operators import snapshots as S
+from duebook.session import run_folder
 from duebook.sources import adapter as A
 
 
@@ -132,3 +134,35 @@ VARIANCES = schema.MODEL_FEATURES
   SELECT '{c}' AS feature, {r(f'var_pop({c})')} AS variance, CAST(var_pop({c}) > 0.05 AS INTEGER) AS kept FROM feat""")))
 def _(spark, d):
     return plain(PR.variance_threshold(S.build_snapshots(paid(spark, d)), VARIANCES))
+
+
+def order_sketches(spark, d):
+    """Sketches of the orders, one batch for each order status, kept and read back."""
+    orders, root = A.table(spark, d, "orders"), run_folder(spark, "sketches")
+    for status in ("F", "O", "P"):
+        SK.add_batch(root, SK.batch_sketches(orders.where(F.col("o_orderstatus") == status), NUMERIC, ["o_orderpriority"], F.lit(status)), status)
+    return SK.merged_sketches(SK.read_batches(spark, root))
+
+
+@query("sketched_quantiles", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS probability, count({c}) AS present, 1 AS within FROM orders" for c in NUMERIC for p in (0.1, 0.25, 0.5, 0.75, 0.9)))
+def _(spark, d):
+    """Quantiles from sketches that three batches have left; ``within`` says that the share of rows up to each is off by 1 % at most."""
+    merged = order_sketches(spark, d)
+    found = SK.approximate_quantiles(merged, (0.1, 0.25, 0.5, 0.75, 0.9))
+    values = A.table(spark, d, "orders").select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in NUMERIC])).alias("x"))
+    below = values.select("x.*").join(F.broadcast(found), "column_name").groupBy("column_name", "probability").agg(
+        F.count("v").alias("present"), F.avg((F.col("v") < F.col("value")).cast("double")).alias("below"),
+        F.avg((F.col("v") <= F.col("value")).cast("double")).alias("upto"))
+    p = F.col("probability")
+    return below.select("column_name", "probability", "present", ((F.col("below") <= p + 0.01) & (F.col("upto") >= p - 0.01)).cast("int").alias("within"))
+
+
+@query("sketched_distinct_counts", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS exact, 1 AS within FROM orders" for c in [*NUMERIC, "o_orderpriority"]))
+def _(spark, d):
+    """Distinct counts from the union of three batches' sketches; ``within`` says that each is off by 5 % at most."""
+    found = SK.approximate_distinct(order_sketches(spark, d))
+    exact = PR.distinct_counts(A.table(spark, d, "orders"), [*NUMERIC, "o_orderpriority"]).select("column_name", F.col("distinct_values").alias("exact"))
+    off = F.abs(F.col("distinct_values") - F.col("exact")) / F.col("exact")
+    return exact.join(found, "column_name").select("column_name", "exact", (off <= 0.05).cast("int").alias("within"))

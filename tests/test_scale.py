@@ -77,6 +77,53 @@ def test_quantiles_far_apart(spark):
     assert [got[str(i)] for i in range(9)] == values
 
 
+def test_quantiles_read_the_input_twice(spark, monkeypatch):
+    """Ten decades of amounts: two passes over the input, and what the second leaves to search is small."""
+    from duebook.operators import quantiles
+    rnd = np.random.default_rng(8)
+    values = np.exp(rnd.uniform(-12, 12, 40_000))
+    df = spark.createDataFrame([(float(v),) for v in values], "a double").repartition(4)
+    passes, held = [], []
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+    keep = quantiles.materialise
+    monkeypatch.setattr(quantiles, "materialise", lambda t, name: held.append(keep(t, name)) or held[-1])
+    once = df.select(counted.asNondeterministic()("a").alias("a"))
+    got = exact_quantiles(once, [Quantile(f"p{p}", F.col("a"), p / 100) for p in (1, 33, 50, 99)]).first()
+    for p in (1, 33, 50, 99):
+        assert got[f"p{p}"] == pytest.approx(np.quantile(values, p / 100), rel=1e-12)
+    assert seen.value == 2 * 40_000
+    assert held[0].count() < 0.05 * 40_000
+
+
+def test_a_rank_beside_its_bracket_is_found_still(spark, monkeypatch):
+    from duebook.operators import quantiles
+    monkeypatch.setattr(quantiles, "_brackets", lambda df, values, asked: [{"n": 100, "low": 0.0, "high": 99.0, "spans": [[10.0, 20.0]]}])
+    got = exact_quantiles(spark.range(100).select(F.col("id").cast("double").alias("a")), [Quantile("m", F.col("a"), 0.5)]).first()
+    assert got["m"] == 49.5
+
+
+def test_sketches_of_batches_merge(spark):
+    from duebook.operators import sketches as SK
+    rows = spark.range(20_000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 700).cast("string").alias("k"), (F.col("id") % 3).alias("b"))
+    odd = spark.createDataFrame([(None, None, 0), (float("nan"), "x", 1)], "v double, k string, b long")
+    both = rows.unionByName(odd)
+    merged = SK.merged_sketches(SK.batch_sketches(both, ["v"], ["k"], F.col("b")))
+    facts = {r["column_name"]: r for r in SK.approximate_distinct(merged).collect()}
+    assert facts["v"]["present"] == 20_000 and facts["v"]["rows"] == 20_002 and facts["k"]["present"] == 20_001
+    assert abs(facts["v"]["distinct_values"] - 20_000) < 0.04 * 20_000 and abs(facts["k"]["distinct_values"] - 701) < 15
+    got = {r["probability"]: r["value"] for r in SK.approximate_quantiles(merged, (0.0, 0.25, 0.5, 1.0)).collect()}
+    assert got[0.0] == 0.0 and got[1.0] == 19_999.0 and abs(got[0.5] - 10_000) < 200 and abs(got[0.25] - 5000) < 200
+    nothing = SK.merged_sketches(SK.batch_sketches(odd.where("false"), ["v"], ["k"], F.col("b")))
+    assert nothing.count() == 0
+    empty = SK.merged_sketches(SK.batch_sketches(odd, ["v"], [], F.lit(1)))
+    assert SK.approximate_quantiles(empty, (0.5,)).count() == 0 and SK.approximate_distinct(empty).first()["distinct_values"] == 0
+
+
 def test_many_hot_keys_and_a_map_column(spark):
     """3 000 keys above the bound are all split, nulls too, and a column of a type without hash is carried."""
     left = spark.range(60_000).select((F.col("id") % 3001).alias("k"), F.create_map(F.lit("x"), "id").alias("m")) \
