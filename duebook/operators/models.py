@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,14 +17,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duebook import schema
 from duebook.functions import probability as P
 from duebook.operators.metrics import (classification_report, confusion_counts, log_loss_term, model_metrics,
                                        rank_results, report_means, union_results)
+from duebook.operators.numbering import shuffled_position, with_positions
 from duebook.operators.quantiles import Quantile, exact_quantiles
+from duebook.session import materialise
 
 LABEL = "week_bucket"
 CLASSES = schema.N_CLASSES
@@ -179,23 +182,69 @@ def compare_models(train: DataFrame, test: DataFrame, candidates: dict[str, Esti
 
 # -- calibration -----------------------------------------------------------------------------------------
 
-def calibrate_sigmoid(scored_valid: DataFrame, scored: DataFrame, column: str = "probabilities") -> DataFrame:
-    """Sigmoid calibration of every class on the validation part, renormalised per row."""
-    parts = []
-    seen = {r[0] for r in scored_valid.select(LABEL).distinct().collect()}
-    for c in range(CLASSES):
-        if c not in seen or len(seen) < 2:
-            parts.append(F.col(column).getItem(c))
-            continue
-        rows = scored_valid.select(F.col(column).getItem(c).alias("p"), (F.col(LABEL) == c).cast("double").alias("y"))
-        fitted = LogisticRegression(labelCol="y").fit(VectorAssembler(inputCols=["p"], outputCol="features").transform(rows))
-        slope, shift = float(fitted.coefficients[0]), float(fitted.intercept)
-        parts.append(1 / (1 + F.exp(-(F.col(column).getItem(c) * slope + shift))))
+def fit_sigmoids(scored: DataFrame, column: str = "probabilities", most: int = 60, tolerance: float = 1e-14) -> dict[int, tuple[float, float]]:
+    """Slope and shift of a logistic regression of each class on its own probability, all classes at once.
+
+    Newton steps: one aggregate over the rows gives the gradients, curvatures and losses of all classes that still move. A step that does not lower a class's
+    loss is halved. Classes that do not occur, and a table of one class, have no fit. Perfectly separable classes stop once their loss is next to nothing.
+    """
+    rows = scored.where(F.col(LABEL).isNotNull() & F.col(column).isNotNull())
+    shares = {r[LABEL]: r["count"] for r in rows.groupBy(LABEL).count().collect()}
+    total = sum(shares.values())
+    fits = {int(c): [0.0, math.log(n / (total - n))] for c, n in shares.items() if 0 <= int(c) < CLASSES and n < total}
+    best: dict[int, tuple] = {}  # of each class: loss, fit, step that led away from it
+    moving = sorted(fits)
+    for _ in range(most):
+        sums = []
+        for c in moving:
+            x, y = F.col(column).getItem(c), (F.col(LABEL) == c).cast("double")
+            z = x * F.lit(fits[c][0]) + F.lit(fits[c][1])
+            p = 1 / (1 + F.exp(-z))
+            w = p * (1 - p)
+            loss = F.greatest(z, F.lit(0.0)) - z * y + F.log1p(F.exp(-F.abs(z)))
+            sums.append(F.struct(*[F.avg(v).alias(n) for n, v in (("loss", loss), ("gx", (p - y) * x), ("g", p - y), ("xx", w * x * x), ("x", w * x), ("w", w))])
+                        .alias(f"c{c}"))
+        found = rows.agg(*sums).first()
+        still = []
+        for c in moving:
+            f = found[f"c{c}"]
+            if c in best and f["loss"] > best[c][0]:
+                step = [v / 2 for v in best[c][2]]
+                if max(map(abs, step)) <= 1e-9 * (1 + max(map(abs, best[c][1]))):
+                    fits[c] = list(best[c][1])
+                    continue
+                best[c] = (best[c][0], best[c][1], step)
+            else:
+                lift = 1e-12 * (f["xx"] + f["w"])
+                det = (f["xx"] + lift) * (f["w"] + lift) - f["x"] ** 2
+                if det <= 0 or f["loss"] < 1e-9:
+                    continue
+                step = [((f["w"] + lift) * f["gx"] - f["x"] * f["g"]) / det, ((f["xx"] + lift) * f["g"] - f["x"] * f["gx"]) / det]
+                if step[0] * f["gx"] + step[1] * f["g"] < tolerance:
+                    continue
+                best[c] = (f["loss"], list(fits[c]), step)
+            fits[c] = [v - d for v, d in zip(best[c][1], best[c][2])]
+            still.append(c)
+        moving = still
+        if not moving:
+            break
+    return {c: (v[0], v[1]) for c, v in fits.items()}
+
+
+def apply_sigmoids(scored: DataFrame, fits: dict[int, tuple[float, float]], column: str = "probabilities") -> DataFrame:
+    """Each class's probability through its sigmoid, renormalised per row; classes without a fit keep theirs."""
+    parts = [1 / (1 + F.exp(-(F.col(column).getItem(c) * fits[c][0] + fits[c][1]))) if c in fits else F.col(column).getItem(c) for c in range(CLASSES)]
     row = P.added(parts)
     even = F.lit(1.0 / CLASSES)
     return scored.withColumn(column, F.array(*[F.when(row > 0, x / row).otherwise(even) for x in parts]))
 
 
+def calibrate_sigmoid(scored_valid: DataFrame, scored: DataFrame, column: str = "probabilities") -> DataFrame:
+    """Sigmoid calibration of every class on the validation part, which is written once, renormalised per row."""
+    valid = materialise(scored_valid.select(F.col(column), F.col(LABEL)), "calibration")
+    return apply_sigmoids(scored, fit_sigmoids(valid, column), column)
+
+
 # -- importance and selection ------------------------------------------------------------------------------
 
 def feature_importance(model: PipelineModel, features: list[str] = schema.MODEL_FEATURES) -> list[tuple[str, float]]:
@@ -204,29 +253,31 @@ def feature_importance(model: PipelineModel, features: list[str] = schema.MODEL_
     return sorted(((f, float(w)) for f, w in zip(features, weights)), key=lambda x: (-x[1], x[0]))
 
 
+def permuted(df: DataFrame, id_columns: list[str], features: list[str], repeats: int, seed: int = 42) -> DataFrame:
+    """Every row once per repeat, with ``position``, and as ``_moved`` the features of the row that a permutation of the whole table puts there.
+
+    Positions follow the ids, so a seed gives the same permutation at any partitioning. Rows without label are left out.
+    """
+    rows = with_positions(df.where(F.col(LABEL).isNotNull()).select(*id_columns, *features, LABEL), [F.col(c) for c in (*id_columns, LABEL, *features)])
+    total = rows.count()
+    each = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    place = shuffled_position(F.col("position"), max(total, 1), F.xxhash64(F.lit(seed), F.col("repeat")))
+    moved = each.select("repeat", place.alias("position"), F.struct(*features).alias("_moved"))
+    return each.join(moved, ["repeat", "position"])
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, id_columns: list[str], repeats: int = 10,
-                           features: list[str] = schema.MODEL_FEATURES, rows_per_block: int = 100_000) -> DataFrame:
-    """Rise of the log loss when one feature is shuffled: mean and deviation over the repeats.
+                           features: list[str] = schema.MODEL_FEATURES, seed: int = 42) -> DataFrame:
+    """Rise of the log loss when one feature is shuffled over the whole table: mean and deviation over the repeats.
 
-    Every row falls into a random block; within the block each feature moves to the next row in another random
-    order, which is a random permutation that needs no global numbering. Block sizes stay near
-    ``rows_per_block`` whatever the table's size. All features and repeats are scored in one plan.
+    All features and repeats are scored in one plan.
     """
-    base = model_metrics(score(model, df)).first()["log_loss"]
-    blocks = F.lit(max(1, -(-df.count() // rows_per_block)))
-    ids = [F.col(c).cast("string") for c in id_columns]
-    rows = df.select(*id_columns, *features, LABEL).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    placed = (rows.withColumn("_order", F.xxhash64(F.lit("order"), F.col("repeat"), *ids))
-              .withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), F.col("repeat"), *ids), blocks)))
-    order = Window.partitionBy("repeat", "_block").orderBy("_order", *id_columns)
-    ends = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    packed = F.struct(*features)
-    moved = placed.withColumn("_next", F.coalesce(F.lead(packed).over(order), F.first(packed).over(ends)))
+    base = model_metrics(score(model, df.where(F.col(LABEL).isNotNull()))).first()["log_loss"]
     variants = F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"),
-                 *[(F.col("_next").getField(g) if g == f else F.col(g)).alias(g) for g in features])
+                 *[(F.col("_moved").getField(g) if g == f else F.col(g)).alias(g) for g in features])
         for f in features])).alias("v")
-    shuffled = moved.select("repeat", LABEL, variants).select("repeat", LABEL, "v.*")
+    shuffled = permuted(df, id_columns, features, repeats, seed).select("repeat", LABEL, variants).select("repeat", LABEL, "v.*")
     losses = (score(model, shuffled).groupBy("feature", "repeat")
               .agg(F.avg(log_loss_term(F.col("probabilities"), F.col(LABEL))).alias("loss")))
     return (losses.groupBy("feature").agg((F.avg("loss") - F.lit(base)).alias("importance_mean"),
@@ -260,7 +311,7 @@ def recursive_elimination(folds: list[tuple[DataFrame, DataFrame]], features: li
 
 
 def vif(df: DataFrame, features: list[str]) -> list[tuple[str, float]]:
-    """Variance inflation factor of each feature, without an intercept.
+    """Variance inflation factor of each feature, without an intercept; infinite where the others give it exactly.
 
     One aggregate gives the matrix of products; only that small square matrix reaches the driver.
     """
@@ -270,5 +321,12 @@ def vif(df: DataFrame, features: list[str]) -> list[tuple[str, float]]:
     gram = np.zeros((len(features), len(features)))
     for i, j in cells:
         gram[i, j] = gram[j, i] = row[f"g_{i}_{j}"] or 0.0
-    inverse = np.linalg.pinv(gram)
-    return [(f, float(gram[i, i] * inverse[i, i])) for i, f in enumerate(features)]
+    size = np.sqrt(np.diag(gram))
+    scaled = gram / np.where(size > 0, size, 1)[:, None] / np.where(size > 0, size, 1)[None, :]
+    out = []
+    for i, f in enumerate(features):
+        others = [j for j in range(len(features)) if j != i]
+        explained = scaled[i, others] @ np.linalg.pinv(scaled[np.ix_(others, others)], rcond=1e-12, hermitian=True) @ scaled[others, i]
+        rest = 1 - explained
+        out.append((f, float("nan") if size[i] == 0 else float("inf") if rest < 1e-10 else float(1 / rest)))
+    return out

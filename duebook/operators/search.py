@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
+import math
 import random
+from dataclasses import dataclass
 from itertools import product
 from math import prod
 
-from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from duebook import schema
 from duebook.operators.forecast import forecast_holdout, mape_score
 from duebook.operators.metrics import backtest_aggregate, metric_terms, model_metrics, union_results
-from duebook.operators.models import forest, score, side_by_side, train_classifier
+from duebook.operators.models import LABEL, assemble_features, forest, score, side_by_side, train_classifier
 from duebook.operators.splits import backtest_folds, in_fold
+from duebook.session import materialise
 
 
-def draws(space: dict[str, list], n: int, seed: int = 42) -> list[dict]:
-    """``n`` random parameter sets from lists of values, without repeats."""
+@dataclass(frozen=True)
+class Uniform:
+    """Any number from ``low`` to ``high``, by the inverse of its distribution function."""
+    low: float
+    high: float
+
+    def at(self, u: float) -> float:
+        return self.low + (self.high - self.low) * u
+
+
+@dataclass(frozen=True)
+class LogUniform:
+    """Numbers whose logarithm is uniform."""
+    low: float
+    high: float
+
+    def at(self, u: float) -> float:
+        return math.exp(math.log(self.low) + (math.log(self.high) - math.log(self.low)) * u)
+
+
+@dataclass(frozen=True)
+class RandInt:
+    """Whole numbers from ``low`` to below ``high``, all alike."""
+    low: int
+    high: int
+
+    def at(self, u: float) -> int:
+        return self.low + int((self.high - self.low) * u)
+
+
+def draws(space: dict, n: int, seed: int = 42) -> list[dict]:
+    """``n`` random parameter sets. A space of lists alone gives no set twice; with distributions every parameter is drawn by itself, lists as well."""
+    if any(hasattr(values, "at") for values in space.values()):
+        random_ = random.Random(seed)
+        return [{name: v.at(random_.random()) if hasattr(v, "at") else v[int(random_.random() * len(v))] for name, v in space.items()} for _ in range(n)]
     total = prod(len(values) for values in space.values())
     picked = range(total) if n >= total else random.Random(seed).sample(range(total), n)
     return [_numbered(space, i) for i in picked]
@@ -37,18 +73,30 @@ def grid(space: dict[str, list]) -> list[dict]:
     return [dict(zip(space, values)) for values in product(*space.values())]
 
 
+def prepared(parts: list[tuple[DataFrame, DataFrame]], features: list[str] = schema.MODEL_FEATURES) -> list[tuple[DataFrame, DataFrame]]:
+    """The parts with their feature vectors, written once: what is learnt of the preparation comes from the training part of each fold."""
+    out = []
+    for train, valid in parts:
+        train = train.where(F.col(LABEL).isNotNull())
+        pipeline = Pipeline(stages=assemble_features(features)).fit(train)
+        out.append((materialise(pipeline.transform(train).select("features", F.col(LABEL).cast("double").alias(LABEL)), "fold-train"),
+                    materialise(pipeline.transform(valid).select(*valid.columns, "features"), "fold-valid")))
+    return out
+
+
 def search(parts: list[tuple[DataFrame, DataFrame]], candidates: list[dict], make=forest, scoring: str = "log_loss",
-           parallelism: int = 4) -> list[dict]:
+           parallelism: int = 4, features: list[str] = schema.MODEL_FEATURES) -> list[dict]:
     """Mean score of every parameter set over the (train, validation) pairs, best first.
 
-    Fits run on the cluster; the driver only holds one thread per running fit and one number per result.
+    Preparation is fitted once per pair and shared by all candidates. Fits run on the cluster; the driver only holds one thread per running fit and
+    one number per result.
     """
-    spark = parts[0][0].sparkSession
+    spark, ready = parts[0][0].sparkSession, prepared(parts, features)
 
     def one(params: dict) -> dict:
         values = []
-        for train, valid in parts:
-            scored = score(train_classifier(train, make(**params)), valid)
+        for train, valid in ready:
+            scored = score(make(**params).fit(train), valid)
             measured = mape_score(scored) if scoring == "mape" else model_metrics(scored).select(F.col(scoring).alias("score"))
             values.append(measured.first()["score"])
         mean = sum(values) / len(values)
@@ -58,7 +106,7 @@ def search(parts: list[tuple[DataFrame, DataFrame]], candidates: list[dict], mak
     return sorted(results, key=lambda x: x["score"], reverse=scoring != "log_loss")
 
 
-def random_search(train: DataFrame, valid: DataFrame, space: dict[str, list], n: int = 60, seed: int = 42, **options) -> list[dict]:
+def random_search(train: DataFrame, valid: DataFrame, space: dict, n: int = 60, seed: int = 42, **options) -> list[dict]:
     """Random draws evaluated on one predefined validation part."""
     return search([(train, valid)], draws(space, n, seed), **options)
 

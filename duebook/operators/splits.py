@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duebook import schema
+from duebook.operators.numbering import with_positions
 from duebook.operators.quantiles import date_quantile, date_quantiles, distinct_date_percentiles
 
 
@@ -81,3 +82,22 @@ def time_series_folds(df: DataFrame, column: str = "reference_date", splits: int
         F.min(F.when(F.col("upto") >= start, F.col("day"))).alias("train_end"),
         F.min(F.when(F.col("upto") >= start + 1, F.col("day"))).alias("test_start"),
         F.min(F.when(F.col("upto") >= end, F.col("day"))).alias("test_end"))
+
+
+def time_series_rows(df: DataFrame, order: list[str], splits: int = 5) -> DataFrame:
+    """``df`` with ``test_fold``, the fold whose test part holds the row; a fold trains on all rows of smaller ``test_fold``.
+
+    Rows are in the order of the given columns, inside a day too, so the parts have exactly ``rows // (splits + 1)`` rows each; the first training part, fold 0,
+    takes the remainder. The columns should tell rows apart.
+    """
+    placed = with_positions(df, [F.col(c) for c in order], "_position")
+    total = placed.count()
+    size = total // (splits + 1)
+    first = total - splits * size
+    fold = F.when(F.col("_position") < first, 0).otherwise(F.floor((F.col("_position") - first) / max(size, 1)) + 1)
+    return placed.withColumn("test_fold", fold.cast("int")).drop("_position")
+
+
+def fold_parts(marked: DataFrame, splits: int = 5) -> list[tuple[DataFrame, DataFrame]]:
+    """Training and validation rows of each fold of ``time_series_rows``."""
+    return [(marked.where(F.col("test_fold") < k).drop("test_fold"), marked.where(F.col("test_fold") == k).drop("test_fold")) for k in range(1, splits + 1)]

@@ -97,7 +97,7 @@ def test_calibration_keeps_probabilities(parts, model):
 def test_importance(parts, model):
     pairs = ML.feature_importance(model)
     assert sum(w for _, w in pairs) == pytest.approx(1) and {f for f, _ in pairs} == set(schema.MODEL_FEATURES)
-    shuffled = ML.permutation_importance(model, parts["valid"], ["doc_id", "reference_date"], repeats=2, rows_per_block=200).collect()
+    shuffled = ML.permutation_importance(model, parts["valid"], ["doc_id", "reference_date"], repeats=2).collect()
     assert len(shuffled) == 7 and shuffled[0]["importance_mean"] > 0
 
 
