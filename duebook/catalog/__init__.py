@@ -1,14 +1,13 @@
 """Every operator as a runnable query over the test tables, with the SQL that states its result."""
 
+import importlib
+
 from duebook.catalog.base import QUERIES, SQL
 
-MODULES = ["tables", "features", "cash", "collect", "scores", "profile", "scripts", "learning", "streams"]
+MODULES = ["tables", "features", "cash", "collect", "scores", "profile", "scripts", "learning", "closed", "streams"]
 
 
 def load() -> tuple[dict, dict]:
-    import importlib
-    import importlib.util
     for m in MODULES:
-        if importlib.util.find_spec(f'duebook.catalog.{m}') is None: continue
         importlib.import_module(f"duebook.catalog.{m}")
     return QUERIES, SQL

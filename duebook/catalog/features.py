@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from duebook.catalog.base import AS_OF, plain, query, r, sql
@@ -12,9 +14,10 @@ from duebook.operators import history as H
 from duebook.operators import joins as J
 from duebook.operators import metrics as M
 from duebook.operators import quantiles as Q
+from duebook.operators import running as R
 from duebook.operators import snapshots as S
 from duebook.operators import splits as SP
-from duebook.session import materialise
+from duebook.session import materialise, run_folder
 from duebook.sources import adapter as A
 
 def snaps(spark, d):
@@ -257,16 +260,32 @@ def _(spark, d):
     return plain(H.last_invoice_date(C.sent_before(A.invoices(spark, d, only_paid=False), A.as_of())))
 
 
-@query("join_customer_stats", sql("inv", f"""
+STATS_SQL = sql("inv", f"""
   SELECT cust_number, {r(f'avg(CASE WHEN invoice_paid <= {AS_OF} THEN greatest(invoice_paid - due_in_date, 0) END)')} AS customer_avg_delay,
     {r(f'avg(CASE WHEN invoice_paid <= {AS_OF} THEN CASE WHEN invoice_paid > due_in_date THEN 1e0 ELSE 0e0 END END)')} AS late_payment_ratio,
     count(CASE WHEN invoice_sent < {AS_OF} THEN 1 END) AS prev_transaction_count,
     CAST(max(CASE WHEN invoice_sent < {AS_OF} THEN invoice_sent END) AS VARCHAR) AS last_invoice_date
-  FROM inv WHERE invoice_paid <= {AS_OF} OR invoice_sent < {AS_OF} GROUP BY 1"""))
+  FROM inv WHERE invoice_paid <= {AS_OF} OR invoice_sent < {AS_OF} GROUP BY 1""")
+
+
+@query("join_customer_stats", STATS_SQL)
 def _(spark, d):
     return plain(H.customer_stats(A.invoices(spark, d, only_paid=False), A.as_of()))
 
 
+@query("running_history", STATS_SQL)
+def _(spark, d):
+    """The same from a stored state of four weeks before and the arrivals of each week since."""
+    inv = A.invoices(spark, d, only_paid=False)
+    kept = R.RunningHistory(spark, run_folder(spark, "running"))
+    start = date.fromisoformat(A.AS_OF) - timedelta(weeks=4)
+    kept.move_on(str(start), R.payment_events(inv, after=F.lit("0001-01-01").cast("date"), upto=F.lit(str(start)).cast("date")))
+    for week in range(4):
+        after, upto = (str(start + timedelta(weeks=week + i)) for i in (0, 1))
+        kept.move_on(upto, R.payment_events(inv, after=F.lit(after).cast("date"), upto=F.lit(upto).cast("date")))
+    return plain(kept.history())
+
+
 @query("customer_stats_static", sql("inv", f"""
   SELECT cust_number, {r('l')} AS late_payment_ratio, {r('dl')} AS avg_payment_delay_days, n AS num_previous_invoices,
     {r('0.7e0 * l + 0.3e0 * dl')} AS customer_risk_score, CAST(m AS VARCHAR) AS last_invoice_date FROM (

@@ -22,7 +22,6 @@ from duebook.session import materialise, run_folder
 from duebook.sources import adapter as A
 from duebook.sources import writers as W
 
-SMALL = dict(trees=10, depth=6)
 
 
 def table(spark, d):
@@ -42,6 +41,9 @@ def before_test(spark, d):
 
 IMPUTED = schema.MODEL_FEATURES
 
+#: Forest of the jobs that fit five or more of them; the README gives the times.
+SMALL = dict(trees=10, depth=6)
+
 
 @query("impute_median", sql("feat", "SELECT doc_id, CAST(reference_date AS VARCHAR) AS reference_date, " + ", ".join(
     f"""round_even(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM feat)) * 1e6, 0) / 1e6 AS {c}""" for c in IMPUTED) + " FROM feat"))
@@ -105,7 +107,7 @@ def _(spark, d):
 def _(spark, d):
     """Raw invoices, open ones included, scored as of one date with the paid invoices as history."""
     train, _, _ = parts(spark, d)
-    model = ML.train_classifier(train, ML.forest(**SMALL))
+    model = ML.train_classifier(train, ML.forest())
     scored = scoring.score_batch(A.raw_invoices(spark, d), S.population_as_of(A.invoices(spark, d), A.as_of()), model)
     return plain(scored.select("doc_id", "total_open_amount", *P.spread(F.col("probabilities"))))
 
@@ -113,7 +115,7 @@ def _(spark, d):
 @query("score_forecast_and_queue")
 def _(spark, d):
     train, _, _ = parts(spark, d)
-    model = ML.train_classifier(train, ML.forest(**SMALL))
+    model = ML.train_classifier(train, ML.forest())
     raw = A.raw_invoices(spark, d, with_name=True)
     scored = materialise(scoring.score_batch(raw, S.population_as_of(A.invoices(spark, d), A.as_of()), model, carry=("name_customer",)), "scored")
     weekly = scoring.forecast(scored).select(F.lit("forecast").alias("kind"), F.col("week_bucket").cast("bigint").alias("key"),
@@ -132,11 +134,14 @@ def _(spark, d):
 @query("calibrate_sigmoid")
 def _(spark, d):
     train, valid, test = parts(spark, d)
-    model = ML.train_classifier(train, ML.forest(**SMALL))
+    model = ML.train_classifier(train, ML.forest())
     before = ML.score(model, test)
     after = ML.calibrate_sigmoid(ML.score(model, valid), before)
-    return plain(M.union_results(M.model_metrics(before).withColumn("stage", F.lit("raw")),
-                                 M.model_metrics(after).withColumn("stage", F.lit("calibrated"))))
+
+    def measured(scored, stage):
+        scored = materialise(scored.select("week_bucket", "probabilities"), stage)
+        return M.model_metrics(scored).crossJoin(F.broadcast(M.macro_f1(scored))).withColumn("stage", F.lit(stage))
+    return plain(M.union_results(measured(before, "raw"), measured(after, "calibrated")))
 
 
 def rows_of(spark, results: list[dict]):
@@ -213,7 +218,7 @@ def _(spark, d):
     train, _, test = parts(spark, d)
     root = run_folder(spark, "models")
     W.save_model(ML.train_classifier(train, ML.forest(trees=2, depth=2)), root)
-    W.save_model(ML.train_classifier(train, ML.forest(**SMALL)), root)
+    W.save_model(ML.train_classifier(train, ML.forest()), root)
     return plain(M.model_metrics(ML.score(W.load_latest_model(spark, root), test)))
 
 
@@ -226,7 +231,7 @@ def _(spark, d):
 @query("permutation_importance")
 def _(spark, d):
     train, valid, _ = parts(spark, d)
-    model = ML.train_classifier(train, ML.forest(**SMALL))
+    model = ML.train_classifier(train, ML.forest())
     return plain(ML.permutation_importance(model, valid, ["doc_id", "reference_date"]))
 
 
@@ -236,22 +241,27 @@ def _(spark, d):
     return spark.createDataFrame(ML.recursive_elimination(folds, classifier=ML.forest(trees=5, depth=5), minimum=1))
 
 
-VIF = ["invoice_age_days", "pay_terms_days", "invoice_amount_log"]
+COLLINEAR = ["invoice_age_days", "days_until_due", "pay_terms_days"]  # the first two add up to the third
+VIF = [c for c in schema.MODEL_FEATURES if c != "days_until_due"]
 
 
 def vif_sql() -> str:
-    """Diagonal of the product matrix times the diagonal of its inverse, by cofactors."""
-    g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
-    det = f"({g(0, 0)} * ({g(1, 1)} * {g(2, 2)} - {g(1, 2)} * {g(1, 2)}) - {g(0, 1)} * ({g(0, 1)} * {g(2, 2)} - {g(1, 2)} * {g(0, 2)}) " \
-          f"+ {g(0, 2)} * ({g(0, 1)} * {g(1, 2)} - {g(1, 1)} * {g(0, 2)}))"
-    sums = ", ".join(f"sum(CAST({VIF[i]} AS DOUBLE) * {VIF[j]}) AS g{i}{j}" for i in range(3) for j in range(i, 3))
-    rows = []
-    for i in range(3):
-        j, k = [x for x in range(3) if x != i]
-        rows.append(f"SELECT '{VIF[i]}' AS feature, {r(f'{g(i, i)} * ({g(j, j)} * {g(k, k)} - {g(j, k)} * {g(j, k)}) / {det}', 4)} AS vif FROM g")
-    return f", g AS (SELECT {sums} FROM feat) " + " UNION ALL ".join(rows)
-
-
-@query("vif", sql("feat", vif_sql()))
+    """Diagonal of the product matrix times that of its inverse, by Gauss-Jordan steps; the collinear features are infinite, and one of them is left out."""
+    n = len(VIF)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in VIF)
+    matrix = "[" + ", ".join("[" + ", ".join(
+        [f"sum(CAST({a} AS DOUBLE) * CAST({b} AS DOUBLE))" for b in VIF] + ["1e0" if i == j else "0e0" for j in range(n)]) + "]" for i, a in enumerate(VIF)) + "]"
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'g[{i + 1}][{i + 1}] * m[{i + 1}][{n + i + 1}]', 4)} AS vif FROM done"
+                               for i, c in enumerate(VIF) if c not in COLLINEAR)
+    never = " UNION ALL ".join(f"SELECT '{c}', CAST('inf' AS DOUBLE)" for c in COLLINEAR)
+    return f""", g AS (SELECT {matrix} AS m FROM feat WHERE {known}),
+  steps(k, g, m) AS (SELECT 0, m, m FROM g UNION ALL SELECT k + 1, g, list_transform(m, lambda row, i: CASE WHEN i = k + 1
+    THEN list_transform(row, lambda x: x / m[k + 1][k + 1]) ELSE list_transform(row, lambda x, j: x - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
+    FROM steps WHERE k < {n}), done AS (SELECT * FROM steps WHERE k = {n})
+  {cells} UNION ALL {never}"""
+
+
+@query("vif", sql("feat", vif_sql()).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, d):
-    return plain(spark.createDataFrame(ML.vif(S.build_snapshots(paid(spark, d)), VIF), "feature string, vif double"), 4)
+    """Of all model features."""
+    return plain(spark.createDataFrame(ML.vif(S.build_snapshots(paid(spark, d)), schema.MODEL_FEATURES), "feature string, vif double"), 4)

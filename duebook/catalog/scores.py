@@ -159,17 +159,24 @@ WEIGHTS = " UNION ALL ".join(f"SELECT '{a}-{b}-{c}' AS weights, {a}e0 AS wa, {b}
 VOTES = f"""SELECT weights, reference_date, total_open_amount, week_bucket,
   {', '.join(f'(p{c} * wa + q{c} * wb + u{c} * wc) / (wa + wb + wc) AS v{c}' for c in CLASSES)} FROM members CROSS JOIN ({WEIGHTS})"""
 VOTE_TRUTH = "CASE week_bucket " + " ".join(f"WHEN {c - 1} THEN v{c}" for c in CLASSES) + " END"
+VOTE_ARGMAX = "CASE greatest(v1,v2,v3,v4,v5,v6,v7) " + " ".join(f"WHEN v{c} THEN {c - 1}" for c in CLASSES) + " END"
 
 
 @query("weight_grid", sql("members", f"""
   , votes AS ({VOTES}), sh AS ({sharpened('weights, reference_date, total_open_amount, week_bucket', 'votes', 'v')}),
   cash AS ({grid_sql('sh', 'weights', '')}),
-  loss AS (SELECT weights, {r(f'avg(-ln({VOTE_TRUTH}))')} AS log_loss FROM votes GROUP BY 1)
-  SELECT weights, log_loss, forecast_mae_weekly, forecast_mape_weekly, forecast_total_cf_difference,
-    CAST(rank() OVER (ORDER BY forecast_mae_weekly, forecast_mape_weekly) AS INTEGER) AS place FROM cash JOIN loss USING (weights)"""))
+  loss AS (SELECT weights, {r(f'avg(-ln({VOTE_TRUTH}))')} AS log_loss FROM votes GROUP BY 1),
+  best AS (SELECT weights, week_bucket AS actual, {VOTE_ARGMAX} AS predicted FROM votes),
+  sides AS (SELECT weights, actual AS class, 1 AS t, 0 AS p, CAST(actual = predicted AS INTEGER) AS hit FROM best
+    UNION ALL SELECT weights, predicted, 0, 1, 0 FROM best),
+  f AS (SELECT weights, {r('avg(f1)')} AS f1_macro FROM (SELECT weights, class, CASE WHEN sum(hit) > 0 THEN 2e0 * (sum(hit) / sum(p)) * (sum(hit) / sum(t))
+    / (sum(hit) / sum(p) + sum(hit) / sum(t)) ELSE 0e0 END AS f1 FROM sides GROUP BY 1, 2) GROUP BY 1)
+  SELECT weights, log_loss, f1_macro, forecast_mae_weekly, forecast_mape_weekly, forecast_total_cf_difference,
+    CAST(rank() OVER (ORDER BY forecast_mae_weekly, forecast_mape_weekly) AS INTEGER) AS place FROM cash JOIN loss USING (weights)
+  JOIN f USING (weights)"""))
 def _(spark, d):
     return G.weight_grid(members(spark, d), ["m1", "m2", "m3"]).select(
-        "weights", "log_loss", "forecast_mae_weekly", "forecast_mape_weekly", "forecast_total_cf_difference", "place")
+        "weights", "log_loss", "f1_macro", "forecast_mae_weekly", "forecast_mape_weekly", "forecast_total_cf_difference", "place")
 
 
 BIAS = " UNION ALL ".join(f"SELECT '{n}' AS bias_name, " + ", ".join(f"{x}e0 AS b{c + 1}" for c, x in enumerate(w))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duebook.catalog.base import dsum, plain, query, r, sql
-from duebook.catalog.learning import SMALL, parts
+from duebook.catalog.learning import parts
 from duebook.functions import probability as P
 from duebook.operators import models as ML
 from duebook.operators import snapshots as S
@@ -62,7 +62,7 @@ def _(spark, d):
 @query("stream_score")
 def _(spark, d):
     train, _, _ = parts(spark, d)
-    model = ML.train_classifier(train, ML.forest(**SMALL))
+    model = ML.train_classifier(train, ML.forest())
     raw = A.raw_invoices(spark, d)
     path, out = run_folder(spark, "uploads"), run_folder(spark, "scored")
     raw.repartition(2).write.parquet(path)

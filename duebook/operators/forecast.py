@@ -91,17 +91,26 @@ def forecast_metrics(comparison: DataFrame, keys: list[str] | None = None) -> Da
                     round_even(F.col("f") - F.col("a"), 2).alias("total_cf_difference")))
 
 
+def expected_in_week(p: Column) -> list[Column]:
+    """Expected cash of the weeks 1..6, before any rounding."""
+    return [F.col("total_open_amount") * p.getItem(w - 1) for w in WEEKS]
+
+
+def paid_in_week() -> list[Column]:
+    """Aggregates: cash paid in each week after the reference date, and the invoice total."""
+    amount = F.col("total_open_amount")
+    week = payment_week(F.col("invoice_paid"), F.col("reference_date"))
+    return [*_sum_in_week(week, amount), round_even(money_sum(amount), 2).alias("total_invoice_amount")]
+
+
 def _weekly_sums(scored: DataFrame, keys: list[str], probabilities: str, temperature: float | None,
                  extra: list[Column] | None = None) -> DataFrame:
     """One wide row per key: forecast and actual cash of each week and the invoice total."""
     p = F.col(probabilities)
     if temperature is not None:
         p = P.sharpen(p, temperature)
-    amount = F.col("total_open_amount")
-    week = payment_week(F.col("invoice_paid"), F.col("reference_date"))
-    forecast = [round_even(F.sum(amount * F.col("_p").getItem(w - 1)), 2).alias(f"forecast_{w}") for w in WEEKS]
-    return scored.withColumn("_p", p).groupBy(*keys).agg(
-        *forecast, *_sum_in_week(week, amount), round_even(money_sum(amount), 2).alias("total_invoice_amount"), *(extra or []))
+    forecast = [round_even(F.sum(x), 2).alias(f"forecast_{w}") for w, x in zip(WEEKS, expected_in_week(F.col("_p")))]
+    return scored.withColumn("_p", p).groupBy(*keys).agg(*forecast, *paid_in_week(), *(extra or []))
 
 
 def forecast_comparison(scored: DataFrame, keys: list[str] | None = None, probabilities: str = "probabilities",
@@ -124,7 +133,11 @@ def forecast_per_reference_date(scored: DataFrame, keys: list[str] | None = None
     aggregates over the same rows.
     """
     keys = ["reference_date"] if keys is None else keys
-    sums = _weekly_sums(scored, keys, probabilities, temperature, extra)
+    return metrics_of_sums(_weekly_sums(scored, keys, probabilities, temperature, extra), keys)
+
+
+def metrics_of_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Forecast metrics of rows that hold the cash of the six weeks, ``forecast_1..6`` and ``actual_1..6``; other columns stay."""
     pairs = [(F.col(f"forecast_{w}"), F.col(f"actual_{w}")) for w in WEEKS]
     errors = [round_even(F.abs(f - a), 2) for f, a in pairs]
     ratios = [F.when(a > 0, e / a) for e, (_, a) in zip(errors, pairs)]
@@ -149,13 +162,18 @@ def forecast_holdout(scored: DataFrame, by: list[str] | None = None, probabiliti
     extra = [F.struct(F.sum(c).alias("s"), F.count(c).alias("n")).alias(f"_{name}") for name, c in (means or {}).items()]
     per_date = forecast_per_reference_date(scored, [*by, "reference_date"], probabilities, temperature, extra)
     rolled = [(F.sum(F.col(f"_{name}").getField("s")) / F.sum(F.col(f"_{name}").getField("n"))).alias(name) for name in means or {}]
+    return mean_of_dates(per_date, by, rolled)
+
+
+def mean_of_dates(per_date: DataFrame, by: list[str], rolled: list[Column] | None = None) -> DataFrame:
+    """Means of the metrics of every reference date, and other aggregates over the dates."""
     return per_date.groupBy(*by).agg(
         money_mean(F.col("forecast_mae_weekly")).alias("forecast_mae_weekly"),
         money_mean(F.col("forecast_mape_weekly")).alias("forecast_mape_weekly"),
         money_mean(F.col("total_actual_cf")).alias("forecast_total_actual_cf"),
         money_mean(F.col("total_forecast_cf")).alias("forecast_total_forecast_cf"),
         money_mean(F.col("total_cf_difference")).alias("forecast_total_cf_difference"),
-        F.count(F.lit(1)).alias("reference_dates"), *rolled)
+        F.count(F.lit(1)).alias("reference_dates"), *(rolled or []))
 
 
 def forecast_within_total(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:

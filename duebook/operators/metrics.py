@@ -76,6 +76,11 @@ def report_means(report: DataFrame, by: list[str] | None = None) -> DataFrame:
     return report.groupBy(*(by or [])).agg(*macro, *weighted)
 
 
+def macro_f1(scored: DataFrame, by: list[str] | None = None, label: str = "week_bucket") -> DataFrame:
+    """Mean F1 over the classes that occur or are predicted, as ``f1_macro``."""
+    return classification_report(confusion_counts(scored, by, label), by).groupBy(*(by or [])).agg(F.avg("f1").alias("f1_macro"))
+
+
 def calibration_bins(scored: DataFrame, bins: int = 10, label: str = "week_bucket") -> DataFrame:
     """Mean predicted probability and observed rate per class and bin (left-closed bins).
 

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from duebook import schema
 from duebook.functions import probability as P
-from duebook.operators.metrics import (classification_report, confusion_counts, log_loss_term, model_metrics,
+from duebook.operators.forecast import forecast_holdout
+from duebook.operators.metrics import (classification_report, confusion_counts, log_loss_term, macro_f1, metric_terms, model_metrics,
                                        rank_results, report_means, union_results)
 from duebook.operators.numbering import shuffled_position, with_positions
 from duebook.operators.quantiles import Quantile, exact_quantiles
@@ -169,13 +170,18 @@ def learners(seed: int = 42) -> dict[str, Estimator]:
 
 
 def compare_models(train: DataFrame, test: DataFrame, candidates: dict[str, Estimator] | None = None) -> DataFrame:
-    """One row of metrics per learner, macro F1 among them, best log loss first. Every model scores the same table."""
+    """One row per learner: model metrics, macro F1 and the metrics of its cash forecast, best log loss first.
+
+    Every model scores the same table, which is written once per learner, as two aggregates read it. Cash metrics need the amounts and payment dates in ``test``.
+    """
     chosen = candidates or learners()
+    cash = {"total_open_amount", "invoice_paid", "reference_date"} <= set(test.columns)
+    kept = [c for c in ("total_open_amount", "invoice_paid", "reference_date", LABEL) if c in test.columns]
 
     def one(name: str) -> DataFrame:
-        scored = score(train_classifier(train, chosen[name]), test)
-        macro = classification_report(confusion_counts(scored)).agg(F.avg("f1").alias("f1_macro"))
-        return model_metrics(scored).withColumn("f1_macro", macro.scalar()).withColumn("model", F.lit(name))
+        scored = materialise(score(train_classifier(train, chosen[name]), test).select(*kept, "probabilities"), "compared")
+        measured = forecast_holdout(scored, means=metric_terms()) if cash else model_metrics(scored)
+        return measured.crossJoin(F.broadcast(macro_f1(scored))).withColumn("model", F.lit(name))
 
     return rank_results(union_results(*side_by_side(train.sparkSession, one, list(chosen))), ["log_loss"])
 
@@ -194,7 +200,7 @@ def fit_sigmoids(scored: DataFrame, column: str = "probabilities", most: int = 6
     fits = {int(c): [0.0, math.log(n / (total - n))] for c, n in shares.items() if 0 <= int(c) < CLASSES and n < total}
     best: dict[int, tuple] = {}  # of each class: loss, fit, step that led away from it
     moving = sorted(fits)
-    for _ in range(most):
+    for _ in range(most if moving else 0):
         sums = []
         for c in moving:
             x, y = F.col(column).getItem(c), (F.col(LABEL) == c).cast("double")

@@ -94,6 +94,88 @@ def test_calibration_keeps_probabilities(parts, model):
     assert M.model_metrics(out).first()["log_loss"] < prior_loss(parts["train"], parts["test"]) * 1.1
 
 
+def test_joint_newton_equals_separate_fits(spark):
+    """Slopes and shifts of all classes at once, against MLlib's logistic regression of each class by itself."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    rnd = np.random.default_rng(4)
+    rows = []
+    for _ in range(3000):
+        p = rnd.dirichlet(np.ones(6) * 0.7)
+        rows.append(([*map(float, p), 0.0], int(rnd.choice(6, p=0.6 * p + 0.4 / 6))))
+    scored = spark.createDataFrame(rows, "probabilities array<double>, week_bucket int").repartition(3)
+    fits = ML.fit_sigmoids(scored)
+    assert sorted(fits) == list(range(6))  # class 6 does not occur
+    for c in (0, 3, 5):
+        one = scored.select(F.col("probabilities")[c].alias("p"), (F.col("week_bucket") == c).cast("double").alias("y"))
+        alone = LogisticRegression(labelCol="y", tol=1e-12, maxIter=500).fit(VectorAssembler(inputCols=["p"], outputCol="features").transform(one))
+        assert fits[c] == pytest.approx((float(alone.coefficients[0]), float(alone.intercept)), rel=1e-4)
+    assert ML.fit_sigmoids(scored.where("week_bucket = 2")) == {} and ML.fit_sigmoids(scored.where("false")) == {}
+    apart = spark.createDataFrame([([1.0 * (y == c) for c in range(7)], y) for y in (0, 1)] * 20, scored.schema)
+    after = ML.apply_sigmoids(apart, ML.fit_sigmoids(apart))
+    assert after.where("probabilities[week_bucket] < 0.9").count() == 0  # separable classes end too
+
+
+def test_permutation_is_global_and_repeatable(spark):
+    from duebook.operators.numbering import shuffled_position, with_positions
+    df = small_table(spark)
+    features = schema.MODEL_FEATURES
+
+    def places(table):
+        return sorted((r["repeat"], r["doc_id"], r["position"], r["_moved"][features[1]])
+                      for r in ML.permuted(table, ["doc_id"], features, 2, seed=7).collect())
+    once = places(df)
+    assert once == places(df.repartition(5)) and len(once) == 600
+    assert {p for k, _, p, _ in once if k == 1} == set(range(300))
+    own = {r["doc_id"]: r[features[1]] for r in df.collect()}
+    for k in (1, 2):
+        assert sorted(v for r, _, _, v in once if r == k) == sorted(own.values())
+    assert [v for k, _, _, v in once if k == 1] != [v for k, _, _, v in once if k == 2]
+    for n in (1, 2, 3, 17, 1000):
+        got = spark.range(n).select(shuffled_position(F.col("id"), n, F.lit(3)).alias("p"), "id").collect()
+        assert sorted(r["p"] for r in got) == list(range(n))
+        if n == 1000:
+            assert sum(r["p"] == r["id"] for r in got) < 10 and abs(np.corrcoef([r["p"] for r in got], [r["id"] for r in got])[0, 1]) < 0.1
+    numbered = with_positions(spark.range(100, 0, -1, 4), [F.col("id")]).orderBy("id").collect()
+    assert [r["position"] for r in numbered] == list(range(100))
+
+
+def test_folds_by_position(spark):
+    df = small_table(spark).select("doc_id", "reference_date")
+    marked = SP.time_series_rows(df, ["reference_date", "doc_id"], splits=4)
+    ordered = [r["test_fold"] for r in marked.orderBy("reference_date", "doc_id").collect()]
+    assert ordered == [0] * 60 + [1] * 60 + [2] * 60 + [3] * 60 + [4] * 60
+    folds = SP.fold_parts(marked, 4)
+    assert [(t.count(), v.count()) for t, v in folds] == [(60, 60), (120, 60), (180, 60), (240, 60)]
+    assert SP.time_series_rows(df.limit(3), ["doc_id"], splits=5).where("test_fold > 0").count() == 0
+
+
+def test_distributions():
+    space = {"a": SE.Uniform(2, 4), "b": SE.LogUniform(1, 1000), "c": SE.RandInt(3, 6), "d": ["x", "y"]}
+    got = SE.draws(space, 200)
+    assert got == SE.draws(space, 200) != SE.draws(space, 200, seed=1) and len(got) == 200
+    assert all(2 <= g["a"] < 4 and 1 <= g["b"] <= 1000 and g["c"] in (3, 4, 5) and g["d"] in "xy" for g in got)
+    assert {g["c"] for g in got} == {3, 4, 5} and 60 < sum(g["b"] < 32 for g in got) < 140
+    assert SE.Uniform(2, 4).at(0.5) == 3 and SE.LogUniform(1, 100).at(0.5) == pytest.approx(10) and SE.RandInt(0, 2).at(0.99) == 1
+
+
+def test_class_shares_of_cells(spark):
+    from duebook.operators import shares as SH
+    rows = [(0.5, 0), (0.7, 0), (0.9, 1), (5.0, 3), (None, 2)]
+    train = spark.createDataFrame(rows, "a double, week_bucket int")
+    learner = SH.CellShares(places=[0], widths=[1.0], smoothing=2.0)
+    model = ML.train_classifier(train, learner, ["a"])
+    got = {r["a"]: list(r["probabilities"]) for r in ML.score(model, spark.createDataFrame([(0.1,), (5.5,), (99.0,)], "a double")).collect()}
+    prior = [0.4, 0.2, 0.2, 0.2, 0, 0, 0]
+    assert got[99.0] == pytest.approx(prior)
+    held = [2, 1, 1, 0, 0, 0, 0]  # the null is the median, 0.8
+    assert got[0.1] == pytest.approx([(n + 2 * p) / 6 for n, p in zip(held, prior)])
+    assert got[5.5] == pytest.approx([((c == 3) + 2 * p) / 3 for c, p in enumerate(prior)])
+    assert sum(got[0.1]) == pytest.approx(1)
+    nothing = ML.train_classifier(train.where("false"), learner, ["a"])
+    assert list(ML.score(nothing, train.limit(1)).first()["probabilities"]) == pytest.approx([1 / 7] * 7)
+
+
 def test_importance(parts, model):
     pairs = ML.feature_importance(model)
     assert sum(w for _, w in pairs) == pytest.approx(1) and {f for f, _ in pairs} == set(schema.MODEL_FEATURES)
@@ -101,6 +183,14 @@ def test_importance(parts, model):
     assert len(shuffled) == 7 and shuffled[0]["importance_mean"] > 0
 
 
+def test_vif_of_collinear_features(snapshots):
+    got = dict(ML.vif(snapshots, schema.MODEL_FEATURES))
+    assert all(math.isinf(got[c]) for c in ("invoice_age_days", "days_until_due", "pay_terms_days"))
+    assert all(1 <= got[c] < 1000 for c in schema.MODEL_FEATURES if not math.isinf(got[c]))
+    zero = snapshots.select(F.lit(0.0).alias("z"), F.col("invoice_age_days"))
+    assert math.isnan(dict(ML.vif(zero, ["z", "invoice_age_days"]))["z"])
+
+
 def test_vif(snapshots):
     names = ["invoice_age_days", "pay_terms_days", "invoice_amount_log"]
     x = np.array([[float(v) for v in r] for r in snapshots.select(*names).collect()])
@@ -178,7 +268,10 @@ def test_balanced_classes_weigh_alike(spark):
 def test_comparison_has_macro_f1(spark):
     df = small_table(spark)
     got = ML.compare_models(df, df, {"forest": ML.forest(trees=3, depth=4)}).first()
-    assert 0 < got["f1_macro"] <= 1
+    assert 0 < got["f1_macro"] <= 1 and "forecast_mae_weekly" not in got
+    paid = df.withColumn("total_open_amount", F.lit(10.0)).withColumn("invoice_paid", F.date_add("reference_date", F.col("week_bucket") * 7))
+    got = ML.compare_models(paid, paid, {"forest": ML.forest(trees=3, depth=4), "small": ML.forest(trees=1, depth=1)}).collect()
+    assert len(got) == 2 and all(r["forecast_mae_weekly"] >= 0 and r["reference_dates"] == 10 for r in got)
 
 
 def test_draws_do_not_build_the_product():
