@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duebook.session import materialise
+
 
 def hot_keys(left: DataFrame, on: list[str], rows_per_task: int) -> DataFrame:
     """Every key with more than ``rows_per_task`` rows as ``_hot0, _hot1, ...`` and the tasks it is spread over, ``_fan``.
@@ -50,8 +52,16 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
+# The joins below have keys that few rows share, or a small right side. They are plain equi joins: Spark broadcasts what is small and adaptive
+# execution splits what is skewed, without a pass that counts keys first.
+
+
 def attach_customer_name(queue: DataFrame, names: DataFrame) -> DataFrame:
-    """Left join of the customer's name by ``doc_id``; one name per invoice, so no row multiplies."""
+    """Left join of the customer's name by ``doc_id``; one name per invoice, so no row multiplies.
+
+    The queue is a report of a few rows. It is written first, as it both picks the names and takes them.
+    """
+    queue = materialise(queue, "queue")
     wanted = names.join(queue.select("doc_id"), "doc_id", "left_semi")
     one_name = wanted.groupBy("doc_id").agg(F.min("name_customer").alias("name_customer"))
     return queue.join(one_name, "doc_id", "left")
@@ -59,7 +69,7 @@ def attach_customer_name(queue: DataFrame, names: DataFrame) -> DataFrame:
 
 def attach_probabilities(invoices: DataFrame, scored: DataFrame) -> DataFrame:
     """Invoices that have probabilities, matched by ``doc_id``."""
-    return salted_join(invoices, scored, ["doc_id"], "inner")
+    return invoices.join(scored, "doc_id", "inner")
 
 
 def add_missing_columns(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -70,7 +80,7 @@ def add_missing_columns(left: DataFrame, right: DataFrame, key: str = "doc_id")
     first = right.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in extra])).alias("_extra"))
     kept = [F.col(f"`{c}`") for c in left.columns]
     added = [F.col("_extra").getField(c).alias(c) for c in extra]
-    return salted_join(left, first, [key]).select(*kept, *added)
+    return left.join(first, key, "left").select(*kept, *added)
 
 
 def fx_lookup_join(invoices: DataFrame, rates: DataFrame) -> DataFrame:
@@ -78,7 +88,7 @@ def fx_lookup_join(invoices: DataFrame, rates: DataFrame) -> DataFrame:
     per_year = rates.groupBy("business_year").agg(F.max("cad_usd_rate").alias("cad_usd_rate"))
     is_cad = F.col("invoice_currency") == "CAD"
     amount_usd = F.when(is_cad, F.col("invoice_amount") * F.col("cad_usd_rate")).otherwise(F.col("invoice_amount"))
-    return (salted_join(invoices, per_year, ["business_year"])
+    return (invoices.join(per_year, "business_year", "left")
             .withColumn("amount_usd", amount_usd)
             .withColumn("amount_usd_log", F.log1p(F.when(F.col("amount_usd").isNotNull(),
                                                          F.greatest(F.col("amount_usd"), F.lit(0.0))))))
@@ -87,7 +97,7 @@ def fx_lookup_join(invoices: DataFrame, rates: DataFrame) -> DataFrame:
 def segment_lookup(invoices: DataFrame, segments: DataFrame, default: str = "Other") -> DataFrame:
     """Business segment of each customer, ``default`` where the lookup has none."""
     one = segments.groupBy("cust_number").agg(F.min("business_segment").alias("business_segment"))
-    return (salted_join(invoices, one, ["cust_number"])
+    return (invoices.join(one, "cust_number", "left")
             .withColumn("business_segment", F.coalesce("business_segment", F.lit(default))))
 
 
@@ -96,7 +106,7 @@ def enrich_request(requests: DataFrame, history: DataFrame, fields: list[str]) -
     wanted = [c for c in fields if c != "doc_id" and c in history.columns]
     known = (history.groupBy("doc_id")
              .agg(F.min(F.struct(*wanted)).alias("_known")))
-    joined = salted_join(requests, known, ["doc_id"], "inner")
+    joined = requests.join(known, "doc_id", "inner")
     filled = []
     for c in wanted:
         stored = F.col("_known").getField(c)
@@ -107,4 +117,4 @@ def enrich_request(requests: DataFrame, history: DataFrame, fields: list[str]) -
 
 def unknown_requests(requests: DataFrame, history: DataFrame) -> DataFrame:
     """Requests whose invoice the history does not have."""
-    return salted_join(requests, history.select("doc_id"), ["doc_id"], "left_anti")
+    return requests.join(history.select("doc_id"), "doc_id", "left_anti")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from duebook.functions import invoice as I
 from duebook.operators.history import asof_customer_history, customer_stats
-from duebook.operators.joins import salted_join
 from duebook.operators.quantiles import amount_quantiles
 
 
@@ -80,7 +79,7 @@ def attach_history(snapshots: DataFrame, history: DataFrame) -> DataFrame:
     A history without dates belongs to one date and is joined by customer.
     """
     keys = [c for c in ("cust_number", "reference_date") if c in history.columns]
-    joined = salted_join(snapshots, history, keys)
+    joined = snapshots.join(history, keys, "left")
     return (joined
             .withColumn("prev_transaction_count", F.coalesce("prev_transaction_count", F.lit(0).cast("bigint")))
             .withColumn("customer_risk_score",

@@ -12,7 +12,6 @@ from duebook import schema
 from duebook.functions.dates import as_yyyymmdd
 from duebook.functions.probability import added
 from duebook.operators.cleaning import clean_invoices
-from duebook.operators.joins import salted_join
 
 AS_OF = "2001-06-01"
 TERMS_DAYS = {"1": 10, "2": 15, "3": 30, "4": 45, "5": 60}
@@ -36,7 +35,7 @@ def raw_invoices(spark: SparkSession, sf_dir: str, with_name: bool = False) -> D
     if with_name:
         names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"),
                                                         F.col("c_name").alias("name_customer"))
-        orders = salted_join(orders, names, ["o_custkey"])
+        orders = orders.join(names, "o_custkey", "left")
     rows = orders.withColumn("_terms", terms)
     return rows.select(
         F.col("o_orderstatus").alias("business_code"),

@@ -249,3 +249,43 @@ def test_histogram_leaves_out_nan(spark):
     from duebook.operators.profiling import histogram
     df = spark.createDataFrame([(0.0,), (1.0,), (float("nan"),), (None,)], "a double")
     assert sorted((r["bin"], r["n"]) for r in histogram(df, bins=2).collect()) == [(0, 1), (1, 1)]
+
+
+def test_headers_are_read_file_by_file(spark, tmp_path):
+    """A header per file although files are split, and next to none of the lines are read for them."""
+    from duebook.sources import readers as RD
+    rows = "".join(f"x,{i},1\n" for i in range(60_000))
+    for n in range(6):
+        (tmp_path / f"{n}.csv").write_text(("business_code, doc_id ,total_open_amount\n" if n < 4 else "doc_id,business_code\n") + (rows if n == 0 else "y,7,2\n" if n < 4 else "8,z\n"))
+    (tmp_path / "empty.csv").write_text("")
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        headers = {r["file"].rsplit("/", 1)[1]: r["header"] for r in RD.file_headers(spark, str(tmp_path)).collect()}
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "65536" and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+        assert headers == {f"{n}.csv": "business_code, doc_id ,total_open_amount" if n < 4 else "doc_id,business_code" for n in range(6)}
+        batch = RD.read_uploaded_batch(spark, str(tmp_path))
+        assert set(batch.columns) == {"business_code", "doc_id", "total_open_amount"}
+        found = batch.groupBy("business_code").agg(F.count(F.lit(1)), F.max("doc_id"), F.sum("total_open_amount")).collect()
+        assert {tuple(r) for r in found} == {("x", 60_000, 59_999, 60_000.0), ("y", 3, 7, 6.0), ("z", 2, 8, None)}
+        assert batch.schema["doc_id"].dataType == schema.RAW_INVOICE["doc_id"].dataType
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+
+
+def test_order_of_files_with_different_headers(spark, tmp_path):
+    import os
+    from duebook.sources import readers as RD
+    for n, (name, text) in enumerate([("z.csv", "doc_id,total_open_amount\n1,10\n2,5\n"), ("a.csv", "total_open_amount,doc_id\n20,1\n30,1\n" + "0,3\n" * 3000)]):
+        (tmp_path / name).write_text(text)
+        os.utime(tmp_path / name, (2000 + n, 2000 + n))
+    batch = RD.read_uploaded_batch(spark, str(tmp_path), arrival=True)
+    got = H.upsert_history(batch.drop("_arrival").limit(0), batch)
+    assert sorted(tuple(r) for r in got.select("doc_id", "total_open_amount").collect()) == [(1, 30.0), (2, 5.0), (3, 0.0)]
+    assert "_arrival" not in got.columns
+
+
+def test_folder_of_empty_files(spark, tmp_path):
+    from duebook.sources import readers as RD
+    (tmp_path / "empty.csv").write_text("")
+    assert RD.read_uploaded_batch(spark, str(tmp_path)).count() == 0

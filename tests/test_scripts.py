@@ -1,6 +1,8 @@
 """Markdown chunks, script validation and the two halves of the script job."""
 
 import json
+import time
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +152,40 @@ def test_scenarios(spark):
     assert done[4]["reasoning"] == "Fallback triggered: Validation failed: Invalid tone: x" and done[4]["retrieved_sections"] == []
     assert PS.fallback_count(PS.finish_scripts(raw)).first()["fallbacks"] == 3
     assert set(done[0].asDict()) == {*schema.SCRIPT_KEYS, "doc_id", "customer_name", "generated_at", "retrieved_sections"}
+
+
+def toggles_of(lines):
+    """Fence by fence: which lines open or close one."""
+    inside, out = "", []
+    for line in lines:
+        opens = "```" if line.startswith("```") and line.count("```") == 1 else "~~~" if line.startswith("~~~") else ""
+        if inside:
+            closes = line.startswith(inside)
+            out.append(int(closes))
+            inside = "" if closes else inside
+        else:
+            out.append(int(bool(opens)))
+            inside = opens
+    return out
+
+
+def test_fences_of_long_documents(spark):
+    rnd = random.Random(6)
+    marks = ["```", "```py", "``` a ``` b", "~~~", "~~~~ x", "text", "# head", "", "``````"]
+    documents = [[rnd.choice(marks) for _ in range(n)] for n in (1, 5, 255, 256, 257, 3000)]
+    documents += [["```"] * 1000, ["text"] * 600, [""]]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(documents)], "i int, lines array<string>")
+    got = {r["i"]: list(r["t"]) for r in df.select("i", RT._fence_toggles(F.col("lines")).alias("t")).collect()}
+    for i, d in enumerate(documents):
+        assert got[i] == toggles_of(d)
+
+
+def test_chunks_of_a_long_document_take_time_in_proportion(spark):
+    def seconds(lines):
+        text = "\n".join("```" if i % 7 == 0 else f"## head {i}" if i % 50 == 1 else f"line {i}" for i in range(lines))
+        book = spark.createDataFrame([("a.md", text)], "source string, text string")
+        start = time.time()
+        assert RT.chunk_by_headers(book).count() > 10
+        return time.time() - start
+    seconds(2000)
+    assert seconds(200_000) < 30 * max(seconds(20_000), 0.5)
