@@ -8,7 +8,9 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,25 @@ def file_system(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+#: Bits of a bitmap of hashes: 16 MB for the driver and every worker, whatever the table.
+BITS = 1 << 27
+
+
+def bitmap(keys: DataFrame, column: str) -> Broadcast:
+    """A bitmap of fixed size of the low bits of all values of a column of hashes, for the tasks.
+
+    ``marked`` says of other hashes whether they can be among them: never no for one that is, the more often yes for others the more values there are. So
+    tasks drop most of what a join would drop, and the join decides. Nothing that is sent grows with the table.
+    """
+    at = keys.select(F.col(column).bitwiseAND(F.lit(BITS - 1)).alias("at"))
+    words = at.selectExpr("at >> 6 AS word", "shiftleft(1L, CAST(at & 63 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(BITS // 64, dtype=np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.astype(np.int64) & np.int64(len(table) * 64 - 1)
+    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import ship, slices, whole_text
+from duebook.llm.common import bitmap, marked, ship, slices, whole_text
 from duebook.llm.graph import components
 from duebook.session import materialise
 
@@ -24,8 +24,6 @@ BANDS, ROWS = 32, 5
 STEP, TOLERANCE = 32, 1e-6
 #: Members of a block: larger buckets and clusters are compared block against block.
 BLOCK = 512
-#: Set identifiers (8 bytes each) that may be sent to all tasks to drop rows early; beyond, a join drops them.
-SENT = 4_000_000
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -262,10 +260,8 @@ def signatures(documents: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _elements(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``s1, elements``: the shingle sets of the wanted classes, one row each."""
-    sent = None
-    if wanted.count() <= SENT:
-        sent = documents.sparkSession.sparkContext.broadcast(np.sort(wanted.select("s1").toArrow().column("s1").to_numpy()))
+    """``s1, elements``: the shingle sets of the wanted classes, one row each. A bitmap of fixed size drops most others before the join decides."""
+    sent = bitmap(wanted, "s1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -275,10 +271,8 @@ def _elements(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 if not len(found):
                     continue
                 s1 = _set_id(found)
-                if sent is not None:
-                    at = np.searchsorted(sent.value, s1)
-                    if at == len(sent.value) or sent.value[at] != s1:
-                        continue
+                if not marked(sent.value, np.array([s1]))[0]:
+                    continue
                 ids.append(s1)
                 sets.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["s1", "elements"])
@@ -343,6 +337,6 @@ def one_of_each(documents: DataFrame, words: int = WORDS, threshold: float = THR
     kept = with_id.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("best")).select("best.*")
     kept = kept.unionByName(found.where("class_key IS NULL OR class_id IS NULL").select("doc_id", "text_key").distinct())
     kept = kept.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    rows = documents.withColumn("_text_key", F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text_key"] == kept["_key"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").alias("own"), F.xxhash64("text").alias("text_key"))
+    same = rows["own"].eqNullSafe(kept["_id"]) & (rows["text_key"] == kept["_key"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["own", "text_key"]).select("row.*")

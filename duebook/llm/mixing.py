@@ -147,11 +147,10 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
 
 
 def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents as often as ``mixed`` takes them; rows that share a ``doc_id`` are matched by size."""
+    """The documents as often as ``mixed`` takes them, whatever their columns are called; rows that share a ``doc_id`` are matched by size."""
     size = F.regexp_count(whole_text(), F.lit(WORD)).cast("long")
-    columns = [F.col(c) for c in documents.columns]
-    rows = documents.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(size, F.xxhash64("text"))))
-    counts = mixed.select(F.col("doc_id").alias("_id"), "copies",
-                          F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "copies")).alias("_m"))
-    return rows.join(counts, rows["doc_id"].eqNullSafe(counts["_id"]) & (F.col("_n") == F.col("_m"))).where("copies > 0").select(
-        *columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").alias("own"),
+                            F.row_number().over(Window.partitionBy("doc_id").orderBy(size, F.xxhash64("text"))).alias("n"))
+    counts = mixed.select(F.col("doc_id").alias("id"), "copies", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "copies")).alias("m"))
+    return rows.join(counts, rows["own"].eqNullSafe(counts["id"]) & (F.col("n") == F.col("m"))).where("copies > 0").select(
+        "row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -20,8 +20,6 @@ from duebook.session import materialise
 SAMPLE = 20_000
 #: Words that speak against a document: at most so many, each in at least so many documents of the sample, with at least this share of bad ones.
 LEXICON, LEAST_SEEN, BAD_SHARE = 5_000, 8, 0.6
-#: Paths whose priors are sent to all tasks; beyond, they are joined by a shuffle.
-SENT = 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = np.zeros(256, dtype=bool)
@@ -90,8 +88,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(good.cast("int")).alias("good")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents.select("doc_id", whole_text().alias("text"))
-    rows = materialise(texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "good", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).alias("half")),
-                       "labelled")
+    one_each = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = materialise(one_each.select("doc_id", "text", "good", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).alias("half")), "labelled")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -165,13 +163,15 @@ def classify(documents: DataFrame, labels: DataFrame, host: Column | None = None
     host and a host toward all documents, by as many rows as the differences between groups warrant. A document's prior leaves out its
     own share. The score is the chance from the path's posterior and the document's evidence; ``quality_keep`` is score >= ``keep_at``.
     ``host`` defaults to ``source``, ``path`` to ``lang`` below it; null hosts and paths are groups of their own. Null text is empty;
-    repeated rows are classified one by one; an empty table gives an empty result.
+    repeated rows are classified one by one; an empty table gives an empty result. The five columns take the place of input columns of their names. Where rows
+    share a labelled ``doc_id``, one of them is fitted.
     """
     ship(documents.sparkSession)
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model = fit(documents, labels, sample)
-    names = documents.columns
+    added = ("quality_evidence", "quality_host", "quality_path", "quality_score", "quality_keep")
+    names = [c for c in documents.columns if c not in added]
 
     def key(column: Column) -> Column:
         return F.when(column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), column.cast("string")))
@@ -181,7 +181,6 @@ def classify(documents: DataFrame, labels: DataFrame, host: Column | None = None
     shares = materialise(read.select("host", "path", "evidence"), "evidence").withColumn(
         "share", 1 / (1 + F.exp(-(F.col("evidence") + F.lit(_logit(base))))))
     table, worth, path_worth = priors(shares)
-    table = F.broadcast(table) if table.count() <= SENT else table
     share = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(_logit(base)))))
     of_host = (F.col("host_k") - share + F.lit(worth) * F.col("mean")) / (F.col("host_n") - 1 + F.lit(worth))
     of_path = (F.col("k") - share + F.lit(path_worth) * F.col("of_host")) / (F.col("n") - 1 + F.lit(path_worth))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duebook.llm.common import WORD, ship, slices, whole_text
+from duebook.llm.common import WORD, bitmap, marked, ship, slices, whole_text
 from duebook.session import materialise
 
 #: Ranges of anchor places, and the part of the length that an anchor has.
@@ -26,8 +26,6 @@ RANGES, GRAM_PART = 4, 8
 SURROUNDINGS = 20_000
 #: Symbols of one transform.
 SYMBOLS = 1 << 18
-#: Cores (8 bytes each) that may be sent to all tasks to drop rows early; beyond, the join alone drops them.
-SENT = 4_000_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = 0xBF58476D1CE4E5B9
@@ -200,14 +198,11 @@ def repeated_cores(texts: DataFrame, length: int) -> DataFrame:
 
 
 def places_of(texts: DataFrame, cores: DataFrame, length: int) -> DataFrame:
-    """Every place of a repeated core: ``t1, t2, core, around, at, nl, nr, same, left, right``; bytes on the sides only where places differ."""
-    spark = texts.sparkSession
-    sent = None
-    if cores.count() <= SENT:
-        known = cores.select("core", "same").toArrow()
-        values = known.column("core").to_numpy()
-        order = np.argsort(values)
-        sent = spark.sparkContext.broadcast((values[order], known.column("same").to_numpy(zero_copy_only=False)[order]))
+    """Every place of a repeated core: ``t1, t2, core, around, at, nl, nr, same, left, right``; bytes on the sides only where places differ.
+
+    Bitmaps of fixed size let the tasks drop most other cores, and most bytes that are not needed, before the join decides.
+    """
+    repeated, differing = bitmap(cores, "core"), bitmap(cores.where("NOT same"), "core")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(length)
@@ -218,16 +213,11 @@ def places_of(texts: DataFrame, cores: DataFrame, length: int) -> DataFrame:
                 if (found := cutter.cut(data)) is None:
                     continue
                 core, around, at, nl, nr = found
-                alike = np.zeros(len(core), dtype=bool)
-                if sent is not None:
-                    values, same = sent.value
-                    if not len(values):
-                        continue
-                    where = np.minimum(np.searchsorted(values, core), len(values) - 1)
-                    known = np.flatnonzero(values[where] == core)
-                    if not len(known):
-                        continue
-                    core, around, at, nl, nr, alike = core[known], around[known], at[known], nl[known], nr[known], same[where[known]]
+                known = np.flatnonzero(marked(repeated.value, core))
+                if not len(known):
+                    continue
+                core, around, at, nl, nr = core[known], around[known], at[known], nl[known], nr[known]
+                alike = ~marked(differing.value, core)
                 width = length - cutter.spread + 1
                 keep[0].append(np.full(len(core), t1))
                 keep[1].append(np.full(len(core), t2))
@@ -432,7 +422,7 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 def remove_repeats(documents: DataFrame, length: int = 400, characters: bool = False, most: int | None = None, words: int | None = None) -> DataFrame:
     """All columns of the input, with ``kept`` (bytes left), ``removed`` (spans of bytes, in order) and ``left`` beside them.
 
-    ``left`` is what is left as text, without the characters of which a part has gone. An input column of one of these three names is not allowed.
+    ``left`` is what is left as text, without the characters of which a part has gone. They take the place of input columns of these names.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same text or another; overlapping strings
     count, and strings are judged on the input. Null text is empty; texts shorter than ``length`` stay as they are; copies of a
@@ -440,10 +430,8 @@ def remove_repeats(documents: DataFrame, length: int = 400, characters: bool = F
     only goes if it lies in a run of so many whole words that starts anywhere else too; the least length of such a run is
     ``2 * words - 1`` bytes, and ``length`` must not be more.
     """
-    if clash := {"kept", "removed", "left"} & set(documents.columns):
-        raise ValueError(f"rename the input's columns {sorted(clash)}")
     ship(documents.sparkSession)
-    names = documents.columns
+    names = [c for c in documents.columns if c not in ("kept", "removed", "left")]
     texts = documents.select(whole_text().alias("text")).select(*_keys(F.col("text")), "text")
     spans = repeated_spans(texts, length, most)
     if words is not None:

@@ -125,9 +125,25 @@ def test_text_that_is_left_has_whole_characters(spark):
             whole.append("" if gone & set(range(at, at + size)) else c)
             at += size
         assert found[doc_id]["left"] == "".join(whole)
-    for name in ("kept", "removed", "left"):
-        with pytest.raises(ValueError):
-            suffixes.remove_repeats(documents.withColumn(name, documents.doc_id), 8)
+    clashing = documents.selectExpr("doc_id", "text", "doc_id AS kept", "doc_id AS removed", "doc_id AS left", "doc_id AS spans", "doc_id AS row")
+    again = {r["doc_id"]: r for r in suffixes.remove_repeats(clashing, 8).collect()}
+    assert all(again[i][c] == found[i][c] for i in found for c in ("kept", "removed", "left")) and all(again[i]["spans"] == again[i]["row"] == i for i in found)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g", 7), (2, "a b c d e f g", 8), (3, "x y z", 9)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, _text_key long").selectExpr("*", "doc_id AS row", "doc_id AS own", "doc_id AS text_key")
+    got = jaccard.one_of_each(documents)
+    assert got.columns == documents.columns and sorted((r["doc_id"], r["_text_key"], r["row"], r["own"]) for r in got.collect()) == [(1, 7, 1, 1), (3, 9, 3, 3)]
+
+
+def test_bitmaps_never_miss(spark):
+    from duebook.llm.common import bitmap, marked
+    rng = np.random.default_rng(1)
+    held, others = (rng.integers(-2 ** 63, 2 ** 63 - 1, 5000) for _ in range(2))
+    table = bitmap(spark.createDataFrame([(int(x),) for x in held], "k long"), "k").value
+    assert marked(table, held).all() and marked(table, others).mean() < 0.01
+    assert not marked(bitmap(spark.createDataFrame([], "k long"), "k").value, held).any()
 
 
 def test_passages_are_counted_in_words(spark, folder):

@@ -149,6 +149,31 @@ def test_top_k_of_few_or_none(spark):
     assert top_of(spark, repeated, "id % 20 = 0") == naive_top(repeated, 20) and len(naive_top(repeated, 20)) == 4
 
 
+def test_columns_of_any_name(spark, odd):
+    """Columns that an operator adds take the place of such columns; all others stay."""
+    documents = spark.createDataFrame([(i, "good words here " * (i % 5 + 1), "en", "s", i * 3) for i in range(40)],
+                                      "doc_id long, text string, lang string, source string, x long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    clashing = documents.selectExpr("*", "x AS quality_score", "x AS quality_keep", "x AS host", "x AS share", "x AS row")
+    got = quality.classify(clashing, labels)
+    assert sorted(got.columns) == sorted(set(got.columns)) and {r["host"] for r in got.collect()} == {3 * i for i in range(40)}
+    plain = {r["doc_id"]: r["quality_score"] for r in quality.classify(documents, labels).collect()}
+    assert {r["doc_id"]: r["quality_score"] for r in got.collect()} == plain
+    mixed = mixing.mix(documents)
+    named = documents.selectExpr("*", "x AS _m", "x AS _id", "x AS _n", "x AS copies", "x AS row", "x AS own")
+    out = mixing.apply_mix(named, mixed)
+    assert out.columns == named.columns and out.count() == mixing.apply_mix(documents, mixed).count()
+    assert all(r["_m"] == r["copies"] == 3 * r["doc_id"] for r in out.collect())
+
+
+def test_many_rows_of_one_labelled_id_are_one_sample(spark):
+    rows = [(1, f"junk {i}") for i in range(300)] + [(i, "fine words " * 3 if i % 2 else "junk " * 4) for i in range(2, 42)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 42)], "doc_id long, quality int, toxic int")
+    once = quality.fit(documents.dropDuplicates(["doc_id"]), labels)
+    assert quality.fit(documents, labels).base == pytest.approx(once.base, abs=0.2)
+
+
 PAGE = """<html lang=en><head><title>A &amp; B</title><base href='http://x.org/d/'><meta name="k" content="v"><style>p{}</style>
 <script>var t="</p>";</script></head><body><h1>Head  line</h1><!-- <p>no</p> --><p>one<b> two</b><br>three &lt;x&gt;
 <a href="/r">r</a> <a href='s?q=1&amp;p=2'>s</a><img src="//y.org/i.png"></body></html>"""
