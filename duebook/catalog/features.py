@@ -62,22 +62,8 @@ def _(spark, d):
     count(CASE WHEN invoice_sent < p.reference_date THEN 1 END) AS sent_before
   FROM (SELECT DISTINCT cust_number, reference_date FROM snap) p JOIN paid USING (cust_number) GROUP BY 1, 2"""))
 def _(spark, d):
-    from pyspark.sql import Window
-    inv = A.invoices(spark, d)
-    probes = snaps(spark, d).select("cust_number", F.col("reference_date").alias("day"),
-                                    F.lit(0).alias("p"), F.lit(0).alias("s"), F.lit(1).alias("probe"))
-    events = inv.select("cust_number", F.explode(F.array(
-        F.struct(F.col("invoice_paid").alias("day"), F.lit(1).alias("p"), F.lit(0).alias("s"), F.lit(0).alias("probe")),
-        F.struct(F.col("invoice_sent").alias("day"), F.lit(0).alias("p"), F.lit(1).alias("s"), F.lit(0).alias("probe")),
-    )).alias("e")).select("cust_number", "e.*")
-    daily = (events.unionByName(probes).groupBy("cust_number", "day")
-             .agg(F.sum("p").alias("p"), F.sum("s").alias("s"), F.max("probe").alias("probe")))
-    days = Window.partitionBy("cust_number").orderBy(F.unix_date("day"))
-    out = daily.select("cust_number", F.col("day").alias("reference_date"), "probe",
-                       F.sum("p").over(days.rangeBetween(Window.unboundedPreceding, 0)).alias("paid_until"),
-                       F.coalesce(F.sum("s").over(days.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
-                       .alias("sent_before"))
-    return plain(out.where("probe = 1").drop("probe"))
+    frames = {"paid_until": ("invoice_paid", 0), "sent_before": ("invoice_sent", 1)}
+    return plain(H.asof_frames(A.invoices(spark, d), snaps(spark, d).select("cust_number", "reference_date"), frames))
 
 
 @query("attach_history", sql("feat", f"""

@@ -12,6 +12,7 @@ from duebook.operators import cleaning as C
 from duebook.operators import history as H
 from duebook.operators import joins as J
 from duebook.operators import queue as Q
+from duebook.operators import splits as SP
 from duebook.session import run_folder
 from duebook.sources import adapter as A
 from duebook.sources import readers as RD
@@ -228,7 +229,7 @@ def _(spark, d):
 
 @query("sort_by_sent", sql("inv", f"SELECT doc_id, CAST(invoice_sent AS VARCHAR) AS invoice_sent FROM inv ORDER BY invoice_sent, doc_id"))
 def _(spark, d):
-    return plain(A.invoices(spark, d, only_paid=False).select("doc_id", "invoice_sent").orderBy("invoice_sent", "doc_id"))
+    return plain(SP.sort_by_sent(A.invoices(spark, d, only_paid=False).select("doc_id", "invoice_sent")))
 
 
 # -- duplicates ----------------------------------------------------------------------------------------

@@ -57,6 +57,25 @@ def asof_customer_history(invoices: DataFrame, probes: DataFrame, clip_early: bo
         "prev_transaction_count", "last_invoice_date")
 
 
+def asof_frames(events: DataFrame, probes: DataFrame, counted: dict[str, tuple[str, int]], key: str = "cust_number", at: str = "reference_date") -> DataFrame:
+    """Running counts of dated events at each probe date, one frame for each name in ``counted``: (date column, days before the probe that count last).
+
+    Offset 0 is the frame up to and with the date, 1 the frame strictly before it. Events are summed per key and day first, and the frames are ranges of
+    days, so no event is compared with a probe. Probes without events count 0; null dates and keys count nowhere.
+    """
+    names = list(counted)
+    kinds = [F.struct(F.col(column).alias("_day"), *[F.lit(int(n == name)).cast("long").alias(n) for n in names], F.lit(0).alias("_probe"))
+             for name, (column, _) in counted.items()]
+    happened = events.select(key, F.explode(F.array(*kinds)).alias("e")).select(key, "e.*")
+    asked = probes.select(key, F.col(at).alias("_day"), *[F.lit(0).cast("long").alias(n) for n in names], F.lit(1).alias("_probe"))
+    daily = (happened.unionByName(asked).where(F.col(key).isNotNull() & F.col("_day").isNotNull())
+             .groupBy(key, "_day").agg(*[F.sum(n).alias(n) for n in names], F.max("_probe").alias("_probe")))
+    days = Window.partitionBy(key).orderBy(F.unix_date("_day"))
+    frames = [F.coalesce(F.sum(n).over(days.rangeBetween(Window.unboundedPreceding, -offset)), F.lit(0).cast("long")).alias(n)
+              for n, (_, offset) in counted.items()]
+    return daily.select(key, F.col("_day").alias(at), "_probe", *frames).where("_probe = 1").drop("_probe")
+
+
 def customer_stats(invoices: DataFrame, as_of: Column, clip_early: bool = True,
                    denominator: str = "paid") -> DataFrame:
     """History of every customer at one date, in a single grouped pass.

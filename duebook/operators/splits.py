@@ -21,6 +21,11 @@ def time_split(snapshots: DataFrame, probability: float = 0.8, column: str = "in
     return snapshots.withColumn("part", F.when(F.col("reference_date") <= cutoff, "train").otherwise("test"))
 
 
+def sort_by_sent(invoices: DataFrame, ties: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Invoices by the date they were sent, those without one first, ties by the given columns; for output only, no operator relies on the order of rows."""
+    return invoices.orderBy(F.asc_nulls_first("invoice_sent"), *ties)
+
+
 def train_valid_test(snapshots: DataFrame, column: str = "reference_date") -> DataFrame:
     """Three parts at the 60 and 80 percent date quantiles and the fold column for a predefined split.
 

@@ -142,3 +142,17 @@ def test_folds(spark):
     rows = SP.time_series_folds(df).orderBy("fold").collect()
     assert [r["test_rows"] for r in rows] == [16] * 5 and [r["train_rows"] for r in rows] == [20, 36, 52, 68, 84]
     assert (rows[0]["train_end"], rows[0]["test_start"], rows[0]["test_end"]) == (day(1), day(2), day(3))
+
+
+def test_frames_at_probe_dates(spark):
+    from duebook.operators import history as H
+    import datetime as dt
+    day = lambda n: None if n is None else dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    events = [("a", 1, 3), ("a", 3, 3), ("a", None, 5), ("b", 2, None), (None, 1, 1)]
+    probes = [("a", 3), ("a", 4), ("a", 3), ("b", 1), ("c", 9), (None, 3)]
+    e = spark.createDataFrame([(k, day(x), day(y)) for k, x, y in events], "cust_number string, invoice_sent date, invoice_paid date")
+    p = spark.createDataFrame([(k, day(n)) for k, n in probes], "cust_number string, reference_date date")
+    got = {(r["cust_number"], r["reference_date"]): (r["paid"], r["sent"]) for r in
+           H.asof_frames(e, p, {"paid": ("invoice_paid", 0), "sent": ("invoice_sent", 1)}).collect()}
+    assert got == {(k, day(n)): (sum(c == k and y is not None and y <= n for c, _, y in events), sum(c == k and x is not None and x < n for c, x, _ in events))
+                   for k, n in probes if k}
