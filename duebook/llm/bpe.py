@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -92,20 +92,25 @@ def join_tree(own: Pieces, text: str, ends: list[int], parts: list[Part]) -> np.
     return parts[0][0]
 
 
-def encode(documents: DataFrame, tokenizer: str, leaf: int = LEAF, text: str = "text", decoded: bool = False) -> DataFrame:
-    """``doc_id, ids`` for every row, with ``decoded`` also ``text``, what the ids decode to; ``ids`` are little-endian 32-bit integers, as the tokenizers library gives them without added tokens.
+def encode(documents: DataFrame, tokenizer: str, leaf: int = LEAF, text: str = "text", decoded: bool = False,
+           digest: Callable[[bytes], str] | None = None) -> DataFrame:
+    """``doc_id, ids`` for every row; ``ids`` are little-endian 32-bit integers, as the tokenizers library gives them without added tokens.
+
+    With ``decoded`` also ``text``, what the ids decode to; with ``digest``, a function of the ids, its result as ``digest``, in the same pass.
 
     Null text is empty and has no ids; special strings inside a text count as the library takes them; repeated rows come out one by one. Texts of over
     ``leaf`` characters are cut into halves of halves, whose parts any task may encode; the task that puts a text together holds
     that one text and its ids.
     """
     ship(documents.sparkSession)
-    schema = "doc_id long, ids binary" + ", text string" * decoded
+    schema = "doc_id long, ids binary" + ", text string" * decoded + ", digest string" * (digest is not None)
 
     def out(doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
         columns = {"doc_id": doc_ids, "ids": pa.array(ids, pa.binary())}
         if decoded:
             columns["text"] = pa.array(map(decoder(tokenizer).decode, ids), pa.string())
+        if digest is not None:
+            columns["digest"] = pa.array(map(digest, ids), pa.string())
         return pa.RecordBatch.from_pydict(columns)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

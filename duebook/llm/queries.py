@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from duebook.llm import bpe, collide, divergence, idfiles, jaccard, mixing, quality, repair, suffixes, tokens, topk, warc, winnowing
 from duebook.llm.common import numbered, table, whole_text
@@ -19,16 +18,23 @@ def op1_token_counts(spark, folder):
     return tokens.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@F.pandas_udf(StringType())
-def _decimal_sha256(ids: pd.Series) -> pd.Series:
-    return ids.map(lambda x: hashlib.sha256(" ".join(map(str, np.frombuffer(x, dtype="<i4").tolist())).encode()).hexdigest())
+@lru_cache(maxsize=1)
+def _decimals(size: int) -> list[bytes]:
+    return [b"%d" % i for i in range(size)]
+
+
+def decimal_sha256(ids: bytes) -> str:
+    """Digest of the ids as decimal numbers with a blank between them."""
+    found = np.frombuffer(ids, dtype="<i4")
+    table = _decimals(1 << max(16, int(found.max(initial=0)).bit_length()))
+    return hashlib.sha256(b" ".join(map(table.__getitem__, found.tolist()))).hexdigest()
 
 
 def op2_bpe_round_trip(spark, folder):
     """Sizes and digests of ids and of the texts that they decode to."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    decoded = bpe.encode(table(spark, folder, "documents"), tokenizer, decoded=True)
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), _decimal_sha256("ids").alias("ids_sha256"),
+    decoded = bpe.encode(table(spark, folder, "documents"), tokenizer, decoded=True, digest=decimal_sha256)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.col("digest").alias("ids_sha256"),
                           F.sha2("text", 256).alias("decoded_sha256"))
 
 
