@@ -58,15 +58,16 @@ def backtest_windows(snapshots: DataFrame, weeks: int = 6,
                      percentiles: tuple[float, ...] = schema.BACKTEST_PERCENTILES) -> DataFrame:
     """Each snapshot row once per cutoff whose training or test part it belongs to.
 
-    The handful of cutoffs is fetched and becomes one constant array, so no join is needed.
+    The handful of cutoffs is fetched and compared as constants, so no join is needed and only the parts that a row belongs to are made.
     """
-    folds = [F.struct(F.lit(r["percentile"]).alias("percentile"), F.lit(r["cutoff"]).alias("cutoff"))
-             for r in backtest_folds(snapshots, percentiles).collect()]
-    expanded = snapshots.withColumn("_f", F.explode(F.array(*folds))).select(
-        *[F.col(f"`{c}`") for c in snapshots.columns], F.col("_f.percentile").alias("percentile"),
-        F.col("_f.cutoff").alias("cutoff"))
-    train, test = in_fold(F.col("cutoff"), weeks)
-    return expanded.withColumn("part", F.when(train, "train").when(test, "test")).where(F.col("part").isNotNull())
+    parts = []
+    for fold in backtest_folds(snapshots, percentiles).collect():
+        cutoff = F.lit(fold["cutoff"])
+        train, test = in_fold(cutoff, weeks)
+        parts.append(F.when(train | test, F.struct(F.lit(fold["percentile"]).alias("percentile"), cutoff.alias("cutoff"),
+                                                   F.when(train, "train").otherwise("test").alias("part"))))
+    return snapshots.select(*[F.col(f"`{c}`") for c in snapshots.columns], F.explode(F.array_compact(F.array(*parts))).alias("_f")).select(
+        *[F.col(f"`{c}`") for c in snapshots.columns], "_f.*")
 
 
 def time_series_folds(df: DataFrame, column: str = "reference_date", splits: int = 5) -> DataFrame:
