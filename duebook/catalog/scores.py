@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duebook import schema
-from duebook.catalog.base import ARGMAX, CLASSES, PARTS, WEEKS, dsum, mean, plain, query, r, scored_parts, sql
+from duebook.catalog.base import ARGMAX, CLASSES, PARTS, WEEKS, dsum, mean, plain, query, r, sql
 from duebook.catalog.cash import COMPARISON, ERRORS
 from duebook.functions import probability as P
 from duebook.operators import grids as G
@@ -117,9 +117,13 @@ def _(spark, d):
 
 # -- votes and grids -------------------------------------------------------------------------------------
 
-PARTS["members"] = (["snap"], "SELECT a.*, " + ", ".join(f"b.p{c} AS q{c}, c.p{c} AS u{c}" for c in CLASSES) + f"""
-  FROM ({scored_parts('snap')}) a JOIN ({scored_parts('snap', 2)}) b USING (doc_id, reference_date)
-  JOIN ({scored_parts('snap', 4)}) c USING (doc_id, reference_date)""")
+def member_sql(prefix: str, salt: int) -> str:
+    """The seven probabilities of one member, from the key alone."""
+    weights = [f"CAST(1 + (doc_id * {2 * c + 1 + salt}) % 11 AS DOUBLE)" for c in range(7)]
+    return ", ".join(f"{w} / ({' + '.join(weights)}) AS {prefix}{c}" for c, w in zip(CLASSES, weights))
+
+
+PARTS["members"] = (["snap"], f"SELECT *, {member_sql('p', 0)}, {member_sql('q', 2)}, {member_sql('u', 4)} FROM snap")
 
 
 def members(spark, d):

@@ -33,6 +33,7 @@ def build_session(app_name: str = "duebook", master: str | None = None, **conf:
 
 
 _local_fallback: str | None = None
+_open_scratch: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,22 +53,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh sub-folder name of the shared folder; nothing is created yet."""
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
-
-
-_open_scratch: list[list[str]] = []
+    """A fresh sub-folder name of the shared folder; nothing is created yet. Inside ``scratch`` the folder goes with the rest."""
+    path = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    if _open_scratch:
+        _open_scratch[-1].append(path)
+    return path
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Remove on exit what ``materialise`` writes inside; results must be written or collected by then."""
+    """Remove on exit what ``materialise`` writes inside and the other folders taken there; results must be written or collected by then."""
     written: list[str] = []
     _open_scratch.append(written)
     try:
         yield
     finally:
-        _open_scratch.remove(written)
+        _open_scratch[:] = [x for x in _open_scratch if x is not written]
         for path in written:
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -79,7 +80,5 @@ def materialise(df: DataFrame, purpose: str, partition_by: str | None = None) ->
     Cuts the lineage of tables with many consumers in a way that survives lost executors.
     """
     path = run_folder(df.sparkSession, purpose)
-    if _open_scratch:
-        _open_scratch[-1].append(path)
     (df.repartition(partition_by).write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
