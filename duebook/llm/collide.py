@@ -20,7 +20,7 @@ from duebook.llm.common import ship
 from duebook.session import materialise
 
 #: Lines, half-width of the last window over the distance of the k-th best, and collisions that have a vector verified. A vector at that distance
-#: lies in a window with probability 0.683, so it has 22 collisions of 40 with probability 0.976, nearer ones with more.
+#: lies in a window with probability 0.683, so it has 22 collisions of 40 with probability 0.973, nearer ones with more.
 LINES, REACH, COLLISIONS = 40, 1.0, 22
 #: A window's half-width grows by this factor from level to level.
 GROWTH = 1.3
@@ -166,7 +166,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
     Both sides are rows of one table with ``id, v, norm`` as ``usable`` makes them and ``row``, a number written with the table; a query's own row is no
     candidate, other rows with its id are. Candidates are put in order of length, so that a block holds vectors of like length: it is passed over
     where its longest vector cannot reach the score that a first round over one block gave the query. A block's index holds every row.
-    What is found is approximate, its scores are exact; all candidates within reach of their query are found with probability 0.976 or more each.
+    What is found is approximate, its scores are exact; all candidates within reach of their query are found with probability 0.973 or more each.
 
     Fewer than ``k`` candidates are all returned. Vectors meet vectors of as many dimensions only. Repeated rows count one by one, null ids stay and come
     last among equals. Empty sides give an empty result. Each unit of work holds one block and one tile of queries at a time.
