@@ -47,3 +47,26 @@ def test_copies_of_a_vector_do_not_pile_up(spark):
         got = retrieval.knn_join(spark.createDataFrame(queries, "query_id long, vector array<double>"),
                                  spark.createDataFrame(store, "id long, vector array<double>"), 4, fan=fan, block_rows=150, query_rows=4)
         assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == nearest(queries, store, 4)
+
+
+def test_prompts_of_many_questions_search_blocks(spark, monkeypatch):
+    """Questions are not sent to every cell of the store of chunks, and every invoice keeps its four chunks."""
+    from duebook.plans import scripts
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    chunks = spark.createDataFrame([(i, "s", "h", " ".join(rnd.choices([*words, "invoice", "amount", "days"], k=12))) for i in range(600)],
+                                   "id long, source string, section_h2 string, text string")
+    model = retrieval.text_model(chunks, size=32)
+    asked = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("c").alias("cust_number"), (F.col("id") * 10.5).alias("total_open_amount"),
+                                   F.lit("2020-01-01").cast("date").alias("due_in_date"), F.col("id").cast("int").alias("days_past_due"))
+    copies, keep, join = [], retrieval.materialise, scripts.knn_join
+
+    def watched(df, purpose, *rest):
+        out = keep(df, purpose, *rest)
+        copies.append((purpose, out.count()))
+        return out
+    monkeypatch.setattr(retrieval, "materialise", watched)
+    monkeypatch.setattr(scripts, "knn_join", lambda q, s, k: join(q, s, k, fan=8, block_rows=300, query_rows=20, cells_a_query=8))
+    got = scripts.prepare_prompts(asked, retrieval.embed_text(model, chunks), model)
+    assert [len(r["retrieved_sections"]) for r in got.collect()] == [4] * 40
+    assert dict(copies)["knn-rest"] <= 8 * 40
