@@ -70,3 +70,10 @@ def test_prompts_of_many_questions_search_blocks(spark, monkeypatch):
     got = scripts.prepare_prompts(asked, retrieval.embed_text(model, chunks), model)
     assert [len(r["retrieved_sections"]) for r in got.collect()] == [4] * 40
     assert dict(copies)["knn-rest"] <= 8 * 40
+
+
+def test_medians_read_a_written_table(spark, folder):
+    """The medians and the result read snapshots that were written; none of them joins the history anew."""
+    from duebook import catalog
+    plan = catalog.load()[0]["impute_median"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
