@@ -77,3 +77,11 @@ def test_medians_read_a_written_table(spark, folder):
     from duebook import catalog
     plan = catalog.load()[0]["impute_median"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_training_table_has_what_is_read(spark, folder):
+    """Columns that no fit, score or forecast reads are not moved and written with the snapshots."""
+    from duebook import schema
+    from duebook.catalog import learning
+    got = learning.table(spark, folder)
+    assert set(got.columns) == {"doc_id", "reference_date", "total_open_amount", "invoice_sent", "invoice_paid", "week_bucket", *schema.MODEL_FEATURES}
