@@ -85,3 +85,15 @@ def test_training_table_has_what_is_read(spark, folder):
     from duebook.catalog import learning
     got = learning.table(spark, folder)
     assert set(got.columns) == {"doc_id", "reference_date", "total_open_amount", "invoice_sent", "invoice_paid", "week_bucket", *schema.MODEL_FEATURES}
+
+
+def test_forest_keeps_the_node_of_a_row(spark):
+    """A level does not walk every row down all trees from the root; the model is the same."""
+    from pyspark.ml.feature import VectorAssembler
+    from duebook.operators import models as ML
+    rnd = random.Random(6)
+    rows = [(float(rnd.randint(0, 2)), rnd.random(), rnd.random()) for _ in range(300)]
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(rows, "week_bucket double, a double, b double").coalesce(1))
+    learner = ML.forest(trees=5, depth=4)
+    assert learner.getCacheNodeIds()
+    assert learner.fit(df).toDebugString.split("\n")[1:] == learner.copy().setCacheNodeIds(False).fit(df).toDebugString.split("\n")[1:]
