@@ -72,6 +72,55 @@ def test_prompts_of_many_questions_search_blocks(spark, monkeypatch):
     assert dict(copies)["knn-rest"] <= 8 * 40
 
 
+def test_a_few_queries_tell_that_balls_do_not_help(spark, monkeypatch):
+    """Where they rule out nothing for a trial, the other queries are not sent to cells first."""
+    rnd = np.random.default_rng(7)
+    store, queries = ([(i, v.tolist()) for i, v in enumerate(rnd.normal(0, 1, (n, 24)))] for n in (900, 80))
+    homes, keep = [], retrieval.materialise
+
+    def watched(df, purpose, *rest):
+        out = keep(df, purpose, *rest)
+        homes.append(out.count() if purpose == "knn-home" else 0)
+        return out
+    monkeypatch.setattr(retrieval, "materialise", watched)
+    got = retrieval.knn_join(spark.createDataFrame(queries, "query_id long, vector array<double>"),
+                             spark.createDataFrame(store, "id long, vector array<double>"), 4, fan=8, block_rows=300, query_rows=20, cells_a_query=8, trial_rows=10)
+    assert {(r["query_id"], r["id"], r["rank"]) for r in got.collect()} == nearest(queries, store, 4)
+    assert sum(homes) == 10
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e-120, 1e6])
+@pytest.mark.parametrize("outlier", [1.0, 1e5])
+def test_single_precision_loses_no_neighbour(scale, outlier):
+    """Rows that differ by less than single precision tells, and one row far longer than the others."""
+    import pandas as pd
+    rnd = np.random.default_rng(8)
+    s = 1 + 1e-9 * rnd.integers(0, 4, (2500, 16)) + (rnd.random((2500, 1)) < 0.5) * rnd.normal(0, 1, (2500, 16))
+    s[7] *= outlier
+    s, q = s * scale, np.vstack([1 + 1e-9 * rnd.random((20, 16)), rnd.normal(0, 1, (280, 16))]) * scale
+    got = retrieval._nearest_in_block(4)(pd.DataFrame({"query_id": range(300), "vector": list(q)}), pd.DataFrame({"id": range(2500), "vector": list(s)}))
+    d = ((q[:, None, :] - s[None, :, :]) ** 2).sum(axis=2)
+    want = [(i, int(j)) for i in range(300) for j in np.lexsort((np.arange(2500), d[i]))[:4]]
+    assert list(zip(got["query_id"], got["id"])) == want
+
+
+def test_questions_with_the_same_chunks_share_one_text(spark):
+    """The texts of chunks are moved once for each list of chunks that is found, not once for each question."""
+    from duebook.plans import scripts
+    chunks = spark.createDataFrame([(i, "s", f"h{i}", f"word{i} invoice amount") for i in range(4)], "id long, source string, section_h2 string, text string")
+    model = retrieval.text_model(chunks, size=32)
+    asked = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("c").alias("cust_number"), (F.col("id") * 10.5).alias("total_open_amount"),
+                                   F.lit("2020-01-01").cast("date").alias("due_in_date"), F.col("id").cast("int").alias("days_past_due"))
+    seen, keep = [], scripts.build_context
+    scripts.build_context = lambda hits: seen.append(hits.count()) or keep(hits)
+    try:
+        got = scripts.prepare_prompts(asked, retrieval.embed_text(model, chunks), model).collect()
+    finally:
+        scripts.build_context = keep
+    lists = {tuple(r["retrieved_sections"]) for r in got}
+    assert len(got) == 30 and all(r["context"].count("[s") == 4 for r in got) and seen == [4 * len(lists)] and len(lists) < 30
+
+
 def test_medians_read_a_written_table(spark, folder):
     """The medians and the result read snapshots that were written; none of them joins the history anew."""
     from duebook import catalog
