@@ -118,19 +118,21 @@ LAST_FILE = sql("inv", f"""
 
 
 def arrivals(spark, d):
-    """The paid invoices as history, and a folder of files: of every third and every open invoice, then of the open ones again, in a larger or smaller file."""
+    """The paid invoices as history, and a folder of files: of every third and every open invoice, then of the open ones again, in more or fewer files.
+
+    Each task writes a file of its own; those of the second upload are later than all of the first."""
     every = A.invoices(spark, d, only_paid=False).select("doc_id", "total_open_amount", "invoice_sent", "invoice_paid")
     path = run_folder(spark, "landing")
     news = every.withColumn("note", F.lit("new"))
     for more, rows in enumerate([news.where("invoice_paid IS NULL OR doc_id % 3 = 0"), news.where("invoice_paid IS NULL")]):
         changed = rows.withColumn("total_open_amount", F.col("total_open_amount") + more + 1).drop("invoice_paid")
-        changed.coalesce(1).write.mode("append").parquet(path)
+        changed.write.mode("append").parquet(path)
     return C.paid_only(every).drop("invoice_paid"), spark.read.parquet(path)
 
 
 @query("upsert_uploaded_files", LAST_FILE)
 def _(spark, d):
-    """A batch of two files that repeat ids: the row of the later file stays, whichever file is larger."""
+    """A batch of two uploads that repeat ids: the row of the later file stays, whichever file is larger."""
     history, batch = arrivals(spark, d)
     return plain(H.upsert_history(history, batch).select("doc_id", "total_open_amount", "invoice_sent", "note"))
 

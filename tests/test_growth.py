@@ -146,3 +146,18 @@ def test_forest_keeps_the_node_of_a_row(spark):
     learner = ML.forest(trees=5, depth=4)
     assert learner.getCacheNodeIds()
     assert learner.fit(df).toDebugString.split("\n")[1:] == learner.copy().setCacheNodeIds(False).fit(df).toDebugString.split("\n")[1:]
+
+
+def test_uploads_are_written_by_many_tasks(spark, folder):
+    """No task reads all arriving rows to write one file; the later upload still wins."""
+    from duebook.catalog import tables
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        _, batch = tables.arrivals(spark, folder)
+        assert len(batch.inputFiles()) > 2
+        from duebook.operators.history import arrived_last
+        first = batch.groupBy("doc_id").agg(F.max("total_open_amount").alias("last"))
+        assert arrived_last(batch).join(first, "doc_id").where("total_open_amount <> last").isEmpty()
+    finally:
+        spark.conf.set(name, "true")
