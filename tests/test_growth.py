@@ -161,3 +161,56 @@ def test_uploads_are_written_by_many_tasks(spark, folder):
         assert arrived_last(batch).join(first, "doc_id").where("total_open_amount <> last").isEmpty()
     finally:
         spark.conf.set(name, "true")
+
+
+def model_rows(spark, n):
+    from duebook import schema
+    columns = {c: (F.col("id") % (7 + i)).cast("double") for i, c in enumerate(schema.MODEL_FEATURES)}
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 9).cast("int")).alias("reference_date"),
+                                 (F.col("id") % 5).cast("int").alias("week_bucket"), *[v.alias(c) for c, v in columns.items()])
+
+
+def test_searches_in_closed_form_share_counts(spark, monkeypatch):
+    """Rows alike to all candidates are counted once a fold instead of written and read by each; the scores are those of the rows."""
+    from duebook.operators import search as SE
+    from duebook.operators import shares as SH
+    from duebook.operators.models import score
+    from duebook.operators.metrics import model_metrics
+    df, written, keep = model_rows(spark, 600), [], SE.materialise
+
+    def watched(part, purpose, *rest):
+        out = keep(part, purpose, *rest)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(SE, "materialise", watched)
+    fold = (df.where("doc_id < 400"), df.where("doc_id >= 400"))
+    got = SE.search([fold], [{"w": 3.0}, {"w": 5.0}], lambda w: SH.cell_shares(10, invoice_age_days=w))
+    assert max(written) < 200
+    for r in got:
+        [(train, valid)] = SE.prepared([fold])
+        whole = score(SH.cell_shares(10, invoice_age_days=r["w"]).fit(train), valid)
+        assert abs(model_metrics(whole).first()["log_loss"] - r["score"]) < 1e-9
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_folds_number_only_the_columns_of_the_order(spark, monkeypatch, twice):
+    """Rows are not dealt out to learn their fold, unless equal ones lie on both sides of a border."""
+    from duebook.operators import splits as SP
+    df = model_rows(spark, 100)
+    df = df.unionByName(df.where("doc_id % 2 = 0")) if twice else df
+    dealt, keep = [], SP.with_positions
+    monkeypatch.setattr(SP, "with_positions", lambda rows, *rest: dealt.append(rows.columns) or keep(rows, *rest))
+    got = [r["test_fold"] for r in SP.time_series_rows(df, ["reference_date", "doc_id"]).orderBy("reference_date", "doc_id", "test_fold").collect()]
+    n = len(got)
+    first = n - 5 * (n // 6)
+    assert got == [0 if i < first else (i - first) // (n // 6) + 1 for i in range(n)]
+    assert dealt[0] == ["reference_date", "doc_id"] and (twice or len(dealt) == 1)
+
+
+def test_permutation_deals_out_written_rows(spark, monkeypatch):
+    """Dealing out by ranges reads its rows twice, so they are written first."""
+    from duebook.operators import models as ML
+    plans, keep = [], ML.with_positions
+    monkeypatch.setattr(ML, "with_positions", lambda rows, *rest: plans.append(rows.inputFiles()) or keep(rows, *rest))
+    moved = ML.permuted(model_rows(spark, 50), ["doc_id", "reference_date"], ["invoice_age_days"], 2)
+    assert plans[0] and moved.select("repeat", "position").distinct().count() == 100
