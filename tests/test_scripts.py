@@ -189,3 +189,18 @@ def test_chunks_of_a_long_document_take_time_in_proportion(spark):
         return time.time() - start
     seconds(2000)
     assert seconds(200_000) < 30 * max(seconds(20_000), 0.5)
+
+
+def test_every_text_is_a_file_that_its_task_wrote(spark, tmp_path):
+    """Files stay where tasks write them, a folder for each task; no commit moves them, and files of other attempts are not read."""
+    from duebook.sources import writers as W
+    texts = ["one", "two\nlines", "ä" * 3000, "", None, "one"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for folder in (str(tmp_path / "a"), f"file://{tmp_path}/b", f"file:{tmp_path}/c d"):
+        folders = W.write_texts(frame, folder)
+        lost = tmp_path / folder.rsplit("/", 1)[1] / "part-lost"
+        lost.mkdir()
+        (lost / "0.txt").write_text("of an attempt that failed\n")
+        assert sorted(r["text"] for r in RD.read_playbook(spark, folders, "*.txt").collect()) == sorted(f"{t or ''}\n" for t in texts)
+        assert len(list(lost.parent.rglob("*"))) == len(folders) + len(texts) + 2
+    assert RD.read_playbook(spark, W.write_texts(frame.where("false"), str(tmp_path / "none")), "*.txt").count() == 0
