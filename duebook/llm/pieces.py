@@ -31,6 +31,8 @@ _WIDE_BLANKS = "\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "
 _STOP = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 _RUN = re.compile(r"\s*\S+|\s+")
 _MARK = "\0"
+#: Packs so many ids as little-endian 32-bit integers.
+_PACK = [struct.Struct(f"<{n}i").pack for n in range(4 * KEPT + 1)]
 
 
 class Halves(dict):
@@ -120,19 +122,17 @@ class Pieces:
 
     def _short(self, run: str) -> list[str] | None:
         """Pre-tokens of a word of Latin letters, with a blank before or one mark behind; None for anything else."""
-        word = run[1:] if run[:1] == " " else run
-        lead = "Ġ" if word is not run else ""
+        lead, word = ("Ġ", run[1:]) if run[:1] == " " else ("", run)
+        last = None
         if not word.isalpha():
-            if word[-1:] not in _STOP or not word[:-1].isalpha():
+            last, word = word[-1:], word[:-1]
+            if last not in _STOP or not word.isalpha():
                 return None
-            word, last = word[:-1], [word[-1]]
-        else:
-            last = []
-        if word.isascii():
-            return [lead + word, *last]
-        if max(word) >= "\u0180" or "\u0130" in word:
-            return None
-        return [lead + word.encode().decode("latin-1").translate(_BYTES), *last]
+        if not word.isascii():
+            if max(word) >= "\u0180" or "\u0130" in word:
+                return None
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return [lead + word] if last is None else [lead + word, last]
 
     def pretokens(self, run: str) -> list[str]:
         """The pre-tokens of a part as the model reads them; a special token is marked."""
@@ -161,16 +161,19 @@ class Pieces:
         ids = table.get(pretoken) or table.revive(pretoken)
         if ids is None:
             got = [self.special[pretoken[1:]]] if pretoken[:1] == _MARK else [t.id for t in self.model.tokenize(pretoken)]
-            ids = struct.pack(f"<{len(got)}i", *got)
             if len(pretoken) <= KEPT:
+                ids = _PACK[len(got)](*got)
                 table.keep(pretoken, ids)
+            else:
+                ids = struct.pack(f"<{len(got)}i", *got)
         return ids
 
     def _run_ids(self, run: str) -> bytes:
         if self.kind == "other":
             got = self.tokenizer.encode(run, add_special_tokens=False).ids
             return struct.pack(f"<{len(got)}i", *got)
-        return b"".join([self._pretoken_ids(p) for p in self.pretokens(run)])
+        found = self.pretokens(run)
+        return self._pretoken_ids(found[0]) if len(found) == 1 else b"".join(map(self._pretoken_ids, found))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""

@@ -134,3 +134,16 @@ def test_frequent_pieces_hold_to_their_bound(spark):
         assert len(got) <= most and (not got or not others or min(n for p, n, _ in rows if p in got) > max(others))
         assert len(got) == 400 or most < 400
     assert tokens.frequent_pieces(counted.where("false"), 5).count() == 0
+
+
+def test_long_and_short_pretokens_as_the_library():
+    """Ids are packed by prepared forms up to the longest pre-token that is kept; longer ones and all kinds of ends agree with the library."""
+    from tokenizers import Tokenizer
+
+    from duebook.llm import pieces as P
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = P.Pieces(path, 50), Tokenizer.from_file(path)
+    assert len(P._PACK) > P.KEPT
+    words = [w for n in (1, 2, P.KEPT - 1, P.KEPT, P.KEPT + 1, 300) for w in ("q" * n, "é" * n, "Q" * n + ".", "!" * n, "ő" * n + ",")]
+    for text in (" ".join(words), " " + "  ".join(words), "".join(words), " .", ".", "a.", " a", "İ a", "x. İ. ſ ƀ. "):
+        assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
