@@ -156,3 +156,17 @@ def test_frames_at_probe_dates(spark):
            H.asof_frames(e, p, {"paid": ("invoice_paid", 0), "sent": ("invoice_sent", 1)}).collect()}
     assert got == {(k, day(n)): (sum(c == k and y is not None and y <= n for c, _, y in events), sum(c == k and x is not None and x < n for c, x, _ in events))
                    for k, n in probes if k}
+
+
+def test_days_of_a_frame_stay_in_as_many_parts(spark):
+    """Rows are dealt by key before they are summed, in a number of parts that is not merged: the sums of a task take little memory."""
+    e = spark.createDataFrame([(f"c{i % 40}", i % 300, i % 7) for i in range(2000)], "cust_number string, a int, b int").selectExpr(
+        "cust_number", "date_add(DATE '2020-01-01', a) AS invoice_paid", "date_add(DATE '2020-01-01', b) AS invoice_sent")
+    p = e.select("cust_number", F.col("invoice_paid").alias("reference_date"))
+    frames = H.asof_frames(e, p, {"paid": ("invoice_paid", 0), "sent": ("invoice_sent", 1)})
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert frames.rdd.getNumPartitions() == parts
+    rows = e.collect()
+    for r in frames.collect():
+        own = [x for x in rows if x["cust_number"] == r["cust_number"]]
+        assert r["paid"] == sum(x["invoice_paid"] <= r["reference_date"] for x in own) and r["sent"] == sum(x["invoice_sent"] < r["reference_date"] for x in own)
