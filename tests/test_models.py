@@ -221,6 +221,13 @@ def test_elimination(parts):
     assert len(rows) == 7 and any(r["selected"] for r in rows) and all((r["ranking"] == 1) == r["selected"] for r in rows)
 
 
+def test_elimination_learns_the_medians_of_a_fold_once(parts, monkeypatch):
+    fits, fit = [], ML.ExactMedianImputer._fit
+    monkeypatch.setattr(ML.ExactMedianImputer, "_fit", lambda self, df: fits.append(self) or fit(self, df))
+    ML.recursive_elimination([(parts["train"], parts["valid"])], classifier=ML.forest(trees=2, depth=2), minimum=5)
+    assert len(fits) == 1
+
+
 def test_training_and_scoring_jobs(spark, folder):
     raw = A.raw_invoices(spark, folder, with_name=True)
     run = training.train(raw, ML.forest(trees=3, depth=3))
