@@ -34,6 +34,10 @@ def test_gives_rows(spark, folder, name):
     assert df.columns and df.count() > 0
 
 
+def test_weight_grid_cleans_the_invoices_once(spark, folder):
+    assert not any("orders.parquet" in f for f in QUERIES["weight_grid"](spark, folder).inputFiles())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 300 and "forecast_mae_weekly" in df.columns
